@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.columns import dtype_label, present, ref, spread
+from gaugeline.columns import dtype_label, present, ref
 from gaugeline.settings import DEFAULTS, Settings
 
 
@@ -47,9 +47,8 @@ def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def column_dominance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: distinct values including null, rows of the most frequent one."""
     names = list(columns) if columns is not None else df.columns
-    source = spread(df.select(*[ref(c) for c in names]))
     return union_all(
-        column_counts(source, c).agg(
+        column_counts(df, c).agg(
             F.lit(c).alias("column"),
             F.count("*").alias("unique_count_including_null"),
             F.coalesce(F.max("n"), F.lit(0)).alias("dominant_count"),
@@ -63,9 +62,8 @@ def distinct_counts(
     df: DataFrame, columns: Sequence[str], hashed: Sequence[str] = ()
 ) -> DataFrame:
     """(column, unique_count, non_null_count), exact; ``hashed`` names long-text columns."""
-    source = spread(df.select(*[ref(c) for c in columns]))
     return union_all(
-        _hashed_distinct(source, c) if c in hashed else _plain_distinct(source, c) for c in columns
+        _hashed_distinct(df, c) if c in hashed else _plain_distinct(df, c) for c in columns
     )
 
 
@@ -149,8 +147,6 @@ def repeated_rows(df: DataFrame, rows: int | None = None, settings: Settings = D
             source = keyed.drop("__row_hash").limit(0)
         elif found <= settings.broadcast_max_rows:
             source = keyed.join(F.broadcast(repeats), "__row_hash", "left_semi").drop("__row_hash")
-    elif len(df.columns) > 0:
-        source = spread(source)
     groups = source.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
     return groups.agg(
         F.lit(total).cast("bigint").alias("row_count"),

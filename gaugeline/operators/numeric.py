@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
-from gaugeline.columns import finite, numeric_columns, outside, spread
+from gaugeline.columns import finite, numeric_columns, outside
+from gaugeline.operators.distinct import union_all
 from gaugeline.operators.metrics import ratio, unpivot_row
 from gaugeline.operators.quantiles import quantile_values
 from gaugeline.settings import DEFAULTS, Settings
@@ -42,7 +43,9 @@ def outliers(
         return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
     row = df.agg(
         *[
-            F.count_if(outside(finite(df, name), F.lit(low), F.lit(high))).alias(f"o{i}")
+            F.sum(
+                F.when(outside(finite(df, name), F.lit(low), F.lit(high)), 1).otherwise(0)
+            ).alias(f"o{i}")
             for i, (name, _, low, high) in enumerate(bounds)
         ],
         *[F.lit(n).cast("bigint").alias(f"n{i}") for i, (_, n, _, _) in enumerate(bounds)],
@@ -63,40 +66,84 @@ def outliers(
     )
 
 
+# pairs per aggregate when columns have gaps; each pair then needs its own sums
+GAPPED_PAIRS_PER_PASS = 40
+
+
 def pearson_pairs(
     df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None
 ) -> DataFrame:
     """(position, left, right, r) for every pair of columns, pairwise-complete finite rows.
 
-    r is NULL when a column does not vary.  A first cheap count tells which columns
-    are finite in every row; between two such columns the deviations are the same in
-    every pair, so Catalyst computes each of them once instead of once per pair.
+    A first scan takes count, mean and range of each column.  The second sums products
+    of deviations from those means, which keeps the sums well conditioned and in plain
+    generated code.  Two columns without gaps share their column sums with every other
+    such pair; a pair with gaps sums over its own complete rows.  r is NULL when a
+    column does not vary over the rows of the pair.
     """
     names = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
     pairs = list(combinations(range(len(names)), 2))
-    values = spread(df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(names)]))
-    counted = values.agg(
-        F.count("*").alias("total"), *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]
+    values = df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    stats = [("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max)]
+    first = values.agg(
+        F.count("*").alias("total"),
+        *[f(f"x{i}").alias(f"{tag}{i}") for i in range(len(names)) for tag, f in stats],
     ).first()
-    whole = {i for i in range(len(names)) if counted[f"n{i}"] == counted["total"]}
-    aggs = []
-    for k, (i, j) in enumerate(pairs):
-        x, y = F.col(f"x{i}"), F.col(f"x{j}")
-        left = x if j in whole else F.when(y.isNotNull(), x)
-        right = y if i in whole else F.when(x.isNotNull(), y)
-        spread_product = F.stddev_pop(left) * F.stddev_pop(right)
-        aggs.append(F.try_divide(F.covar_pop(left, right), spread_product).alias(f"r{k}"))
-    row = values.agg(*aggs)
-    items = [
-        F.struct(
-            F.lit(k).alias("position"),
-            F.lit(names[i]).alias("left"),
-            F.lit(names[j]).alias("right"),
-            F.col(f"r{k}").alias("r"),
-        )
-        for k, (i, j) in enumerate(pairs)
-    ]
-    return row.select(F.inline(F.array(*items)))
+    total = first["total"]
+    whole = {i for i in range(len(names)) if first[f"n{i}"] == total}
+    fixed = {i for i in range(len(names)) if first[f"lo{i}"] == first[f"hi{i}"]}
+    shifted = values.select(
+        *[(F.col(f"x{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"d{i}") for i in range(len(names))]
+    )
+    shared = [(k, i, j) for k, (i, j) in enumerate(pairs) if i in whole and j in whole]
+    gapped = [(k, i, j) for k, (i, j) in enumerate(pairs) if not (i in whole and j in whole)]
+    jobs = []
+    if shared:
+        sums = [F.sum(F.col(f"d{i}")).alias(f"s{i}") for i in sorted(whole)]
+        sums += [F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"q{i}") for i in sorted(whole)]
+        sums += [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{k}") for k, i, j in shared]
+        rows = [
+            _pair(k, names[i], names[j], _pearson(
+                F.lit(float(total)), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"),
+                F.col(f"q{j}"), F.col(f"p{k}"), F.lit(i not in fixed and j not in fixed),
+            ))
+            for k, i, j in shared
+        ]
+        jobs.append((sums, rows))
+    for start in range(0, len(gapped), GAPPED_PAIRS_PER_PASS):
+        sums, rows = [], []
+        for k, i, j in gapped[start : start + GAPPED_PAIRS_PER_PASS]:
+            x, y = F.col(f"d{i}"), F.col(f"d{j}")
+            left, right = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            sums += [
+                F.count(x * y).alias(f"n{k}"), F.sum(x * y).alias(f"p{k}"),
+                F.sum(left).alias(f"a{k}"), F.sum(right).alias(f"b{k}"),
+                F.sum(left * left).alias(f"u{k}"), F.sum(right * right).alias(f"v{k}"),
+                (F.min(left) < F.max(left)).alias(f"f{k}"),
+                (F.min(right) < F.max(right)).alias(f"g{k}"),
+            ]
+            rows.append(_pair(k, names[i], names[j], _pearson(
+                F.col(f"n{k}").cast("double"), F.col(f"a{k}"), F.col(f"b{k}"), F.col(f"u{k}"),
+                F.col(f"v{k}"), F.col(f"p{k}"), F.col(f"f{k}") & F.col(f"g{k}"),
+            )))
+        jobs.append((sums, rows))
+    return union_all(
+        shifted.agg(*sums).select(F.inline(F.array(*rows))) for sums, rows in jobs
+    )
+
+
+def _pair(k: int, left: str, right: str, r: Column) -> Column:
+    return F.struct(
+        F.lit(k).alias("position"), F.lit(left).alias("left"), F.lit(right).alias("right"),
+        r.alias("r"),
+    )
+
+
+def _pearson(n, sx, sy, sxx, syy, sxy, varies) -> Column:
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    r = F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(varies & (vx > 0) & (vy > 0), bounded)
 
 
 def strong_correlations(

@@ -1,11 +1,11 @@
 """Exact quantiles of many columns without sorting or shuffling the columns.
 
-For each wanted quantile an approximate-percentile pass returns a narrow bracket of
-values around it, and a counting pass says how many rows lie below, on and inside
-the bracket.  If the wanted rank falls on an end point the value is known; if it
-falls inside, only the rows inside (a sliver of the table) are grouped and ranked.
-A bracket that is still too big is narrowed again, and one that missed is widened,
-so the sketch only steers the search: every answer is settled by exact counts.
+A cheap look at some of the rows proposes, for each wanted quantile, a narrow bracket
+of values around it.  A counting pass over all rows then says how many lie below, on
+and inside the bracket.  If the wanted rank falls on an end point the value is known;
+if it falls inside, the rows inside (a sliver of the table) are grouped and ranked.  A
+bracket that is still too big is narrowed again, and one that missed is widened.  The
+look only steers the search: every answer is settled by counts over the whole table.
 All columns share each pass.  The driver holds a few numbers per column.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.columns import finite, spread
+from gaugeline.columns import finite
 from gaugeline.settings import DEFAULTS, Settings
 
 
@@ -63,13 +63,34 @@ class _Bracket:
         return missed_low or missed_high
 
 
-def _bracket_pass(df: DataFrame, prefix: str, wanted: dict[int, list[float]], accuracy: int):
-    """Approximate percentiles for several (column, fractions) in one aggregate row."""
+STEER_SEED = 7
+
+
+def _steer(values: DataFrame, rows: int, wanted: dict[str, tuple], settings: Settings):
+    """Approximate percentiles of several expressions over about ``quantile_steer_rows`` rows.
+
+    ``wanted`` maps an alias to (expression, [(low fraction, high fraction), ...]).  The
+    fractions are moved apart by four standard errors, so a bracket rarely misses its
+    rank.  The answer holds two values per pair of fractions.
+    """
+    share = min(1.0, settings.quantile_steer_rows / max(1, rows))
+    seen = values if share == 1.0 else values.sample(share, STEER_SEED)
+    used = max(1.0, rows * share)
     aggs = []
-    for i, fractions in wanted.items():
-        points = F.array(*[F.lit(float(p)) for p in fractions])
-        aggs.append(F.percentile_approx(f"{prefix}{i}", points, F.lit(accuracy)).alias(f"q{i}"))
-    return aggs
+    for alias, (expression, spans) in wanted.items():
+        noise = 0.0 if share == 1.0 else 4.0 * math.sqrt(0.25 / used)
+        margin = 2.0 / settings.quantile_accuracy + noise
+        points = [
+            point
+            for low, high in spans
+            for point in (max(0.0, low - margin), min(1.0, high + margin))
+        ]
+        aggs.append(
+            F.percentile_approx(
+                expression, F.array(*[F.lit(p) for p in points]), F.lit(settings.quantile_accuracy)
+            ).alias(alias)
+        )
+    return seen.agg(*aggs).first()
 
 
 def quantile_values(
@@ -79,29 +100,29 @@ def quantile_values(
     settings: Settings = DEFAULTS,
 ) -> list[tuple[str, int, list[float | None]]]:
     """[(column, finite rows, interpolated quantiles)], values None without rows."""
-    values = spread(df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(columns)]))
-    margin = 2.0 / settings.quantile_accuracy
-    fractions = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    every = {i: fractions for i in range(len(columns))}
+    values = df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
     first = values.agg(
-        *[F.count(f"x{i}").alias(f"n{i}") for i in every],
-        *[F.min(f"x{i}").alias(f"lo{i}") for i in every],
-        *[F.max(f"x{i}").alias(f"hi{i}") for i in every],
-        *_bracket_pass(values, "x", every, settings.quantile_accuracy),
+        *[
+            f(f"x{i}").alias(f"{tag}{i}")
+            for i in range(len(columns))
+            for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+        ]
     ).first()
+    filled = [i for i in range(len(columns)) if first[f"n{i}"]]
     brackets: list[_Bracket] = []
-    for i in every:
-        n = first[f"n{i}"]
-        if not n:
-            continue
-        for j, p in enumerate(probs):
-            place = p * (n - 1)
-            brackets.append(
-                _Bracket(
-                    i, p, tuple(sorted({math.floor(place), math.ceil(place)})),
-                    first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1],
+    if filled:
+        wanted = {f"q{i}": (F.col(f"x{i}"), [(p, p) for p in probs]) for i in filled}
+        # the scarcest column decides how many rows the look needs
+        hint = _steer(values, min(first[f"n{i}"] for i in filled), wanted, settings)
+        for i in filled:
+            for j, p in enumerate(probs):
+                place = p * (first[f"n{i}"] - 1)
+                ranks = tuple(sorted({math.floor(place), math.ceil(place)}))
+                seen = hint[f"q{i}"]
+                low, high = (
+                    seen[2 * j : 2 * j + 2] if seen else (first[f"lo{i}"], first[f"hi{i}"])
                 )
-            )
+                brackets.append(_Bracket(i, p, ranks, low, high))
     _search(values, brackets, first, settings)
     solved = {(b.column, b.prob): b for b in brackets}
     out = []
@@ -121,7 +142,7 @@ def _search(values: DataFrame, brackets: list[_Bracket], first, settings: Settin
         for k, b in enumerate(todo):
             x, low, high = F.col(f"x{b.column}"), F.lit(b.low), F.lit(b.high)
             for tag, test in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high)):
-                exprs.append(F.count_if(test).alias(f"{tag}{k}"))
+                exprs.append(F.sum(F.when(test, 1).otherwise(0)).alias(f"{tag}{k}"))
         row = values.agg(*exprs).first()
         widened = [
             b
@@ -145,22 +166,16 @@ def _search(values: DataFrame, brackets: list[_Bracket], first, settings: Settin
 
 def _narrow(values: DataFrame, brackets: list[_Bracket], settings: Settings) -> None:
     """Replace each bracket by a tighter one around the same ranks."""
-    margin = 2.0 / settings.quantile_accuracy
-    aggs = []
+    wanted = {}
     for k, b in enumerate(brackets):
         x = F.col(f"x{b.column}")
         local = [(r - b.upto_low) / b.inside for r in b.open_ranks]
-        points = [max(0.0, min(local) - margin), min(1.0, max(local) + margin)]
-        aggs.append(
-            F.percentile_approx(
-                F.when((x > F.lit(b.low)) & (x < F.lit(b.high)), x),
-                F.array(*[F.lit(p) for p in points]),
-                F.lit(settings.quantile_accuracy),
-            ).alias(f"q{k}")
-        )
-    row = values.agg(*aggs).first()
+        inner = F.when((x > F.lit(b.low)) & (x < F.lit(b.high)), x)
+        wanted[f"q{k}"] = (inner, [(min(local), max(local))])
+    hint = _steer(values, min(b.inside for b in brackets), wanted, settings)
     for k, b in enumerate(brackets):
-        b.low, b.high = row[f"q{k}"]
+        if hint[f"q{k}"]:
+            b.low, b.high = hint[f"q{k}"]
 
 
 def _rank_inside(values: DataFrame, brackets: list[_Bracket]) -> None:
