@@ -134,3 +134,14 @@ def json_values_text(document: Column) -> Column:
 
 def json_number_keys(document: Column) -> Column:
     return number_keys(json_values_text(document))
+
+
+def header_facts(name: Column) -> Column:
+    """What the header rules look at when names come as a table column."""
+    return F.struct(
+        F.lower(name).alias("folded"),
+        F.octet_length(name).alias("bytes"),
+        (F.trim(name) == "").alias("blank"),
+        name.startswith(V.UNNAMED_PREFIX).alias("unnamed"),
+        (F.octet_length(name) > V.MAX_HEADER_BYTES).alias("too_long"),
+    )

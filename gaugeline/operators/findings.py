@@ -122,23 +122,34 @@ def correlation_findings(metrics: DataFrame) -> DataFrame:
     )
 
 
+def leading_rows(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
+    """First ``limit`` rows of each group with their rank.
+
+    The filter on the rank lets Spark keep only that many rows per group and task
+    before the shuffle, so a group holding most of the rows stays cheap.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
 def top_findings(findings: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """First ``limit`` findings of each group with the group's total and omitted counts."""
-    group = Window.partitionBy(*keys)
-    return (
-        findings.withColumn("rank", F.row_number().over(group.orderBy(order)))
-        .withColumn("findings_total", F.count("*").over(group))
-        .filter(F.col("rank") <= limit)
-        .withColumn("findings_omitted", F.greatest(F.lit(0), F.col("findings_total") - limit))
-    )
+    totals = findings.groupBy(*keys).agg(F.count("*").alias("findings_total"))
+    kept = leading_rows(findings, keys, order, limit).join(totals, keys)
+    return kept.withColumn("findings_omitted", F.greatest(F.lit(0), F.col("findings_total") - limit))
 
 
 def findings_within_bytes(findings: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:
-    """Leading findings of each group whose JSON texts together fit the byte budget."""
+    """Leading findings of each group whose JSON texts together fit the byte budget.
+
+    A JSON object takes at least two bytes, so no more than half the budget in rows
+    can fit; the running sum only sees that many rows per group.
+    """
     size = F.octet_length(F.to_json(F.struct(*FINDING_FIELDS)))
     running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        findings.withColumn("bytes", size)
+        leading_rows(findings, keys, order, budget // 2)
+        .withColumn("bytes", size)
         .withColumn("running_bytes", F.sum("bytes").over(running))
         .filter(F.col("running_bytes") <= budget)
     )

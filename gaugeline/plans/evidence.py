@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.checks import Dataset, as_dataset
 from gaugeline.columns import categorical_columns, numeric_columns, visible_columns
 from gaugeline.functions.sanitize import nonfinite_to_null
-from gaugeline.operators.findings import FINDING_FIELDS
+from gaugeline.operators.findings import FINDING_FIELDS, leading_rows
 from gaugeline.settings import DEFAULTS, Settings
 
 
@@ -65,13 +65,9 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
 
 def bounded_entries(entries: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """First ``limit`` entries of each list plus the number left out, for long data lists."""
-    group = Window.partitionBy(*keys)
-    return (
-        entries.withColumn("rank", F.row_number().over(group.orderBy(order)))
-        .withColumn("entries_omitted", F.greatest(F.lit(0), F.count("*").over(group) - limit))
-        .filter(F.col("rank") <= limit)
-        .drop("rank")
-    )
+    totals = entries.groupBy(*keys).agg(F.count("*").alias("total"))
+    kept = leading_rows(entries, keys, order, limit).drop("rank").join(totals, keys)
+    return kept.withColumn("entries_omitted", F.greatest(F.lit(0), F.col("total") - limit)).drop("total")
 
 
 def schema_context(
@@ -132,7 +128,10 @@ def write_evidence(bundles: DataFrame, path: str) -> None:
 
 
 def finding_array(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings rows folded into one array per key, in position order."""
+    """Findings rows folded into one array per key, in position order.
+
+    Callers bound the rows per key first (:func:`top_findings`).
+    """
     entry = F.struct("position", F.struct(*FINDING_FIELDS).alias("f"))
     ordered = F.array_sort(F.collect_list(entry))
     return findings.groupBy(*keys).agg(F.transform(ordered, lambda x: x["f"]).alias("findings"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.functions.text import json_number_keys, number_keys, unsupported_assurance
+from gaugeline.sources.files import materialized
 
 ISSUE_FIELDS = (
     "source_tool", "issue", "severity", "column", "evidence", "impact", "recommendation",
@@ -257,7 +258,10 @@ def violations(reports: DataFrame, observations: DataFrame) -> DataFrame:
 
 def validated_reports(reports: DataFrame, observations: DataFrame) -> DataFrame:
     """Runs that break no rule, with issues, tools, limitations and assessment filled in."""
-    broken = violations(reports, observations).select("run_id").distinct()
+    # four joins below start from the accepted runs, so the verdict is written once
+    broken = materialized(
+        violations(reports, observations).select("run_id").distinct(), "rejected-runs"
+    )
     accepted = reports.join(broken, "run_id", "left_anti")
     entry = F.struct("origin", "sequence", "position", F.struct(*ISSUE_FIELDS).alias("issue"))
     issues = final_issues(accepted, observations).groupBy("run_id").agg(

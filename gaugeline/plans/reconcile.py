@@ -27,9 +27,29 @@ def first_positions(df: DataFrame, keys: list[str], value: str, order: str) -> D
     return df.groupBy(*keys, value).agg(F.min(order).alias("first_position"))
 
 
-def event_sequence(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("sequence", place)
+def event_sequence(
+    df: DataFrame, keys: list[str], *order: str, bucket: Column | None = None
+) -> DataFrame:
+    """Position of each row within its key.
+
+    ``bucket`` is a coarse, never decreasing function of the order columns.  With it a
+    key is numbered bucket by bucket in parallel: the rows of earlier buckets are
+    counted, and only those small counts are summed up per key.
+    """
+    if bucket is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("sequence", place)
+    parts = [*keys, "__bucket"]
+    cut = df.withColumn("__bucket", bucket)
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(*parts)
+        .agg(F.count("*").alias("__n"))
+        .select(*parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    )
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+    numbered = cut.withColumn("__place", place).join(offsets, parts)
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__place")).alias("sequence"))
 
 
 # -- full outer comparison ------------------------------------------------------------

@@ -30,6 +30,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from a written table: later steps do not recompute them."""
+    path = work_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def binary_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length, content); content is only read when a query uses it."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
