@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +13,48 @@ from gaugeline.columns import present, ref
 from gaugeline.operators.metrics import ratio
 
 
+SCAN_POSITION = ("_metadata.file_path", "_metadata.row_index")
+
+
+def has_scan_position(df: DataFrame) -> bool:
+    """True for a Parquet scan, whose rows know their file and place in it."""
+    if not df.inputFiles():
+        return False
+    try:
+        df.select(*SCAN_POSITION)
+    except AnalysisException:
+        return False
+    return True
+
+
 def source_order(df: DataFrame, order_by: Sequence[str] | None) -> Column | None:
     """Key of the source position: given columns, or file and row of a Parquet scan."""
     if order_by:
         return F.struct(*[ref(c) for c in order_by])
-    if df.inputFiles():
-        try:
-            df.select("_metadata.file_path", "_metadata.row_index")
-        except Exception:
-            return None
-        return F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    return None
+    return F.struct(*SCAN_POSITION) if has_scan_position(df) else None
 
 
 def class_counts(df: DataFrame, target: str, order_by: Sequence[str] | None = None) -> DataFrame:
-    """(label, n, first_seen): one row per observed class, partial counts before the shuffle."""
-    order = source_order(df, order_by)
+    """(label, n, first_seen): one row per observed class, partial counts before the shuffle.
+
+    The scan position is minimised per file first: a plain number per group keeps the
+    hash aggregate, where a minimum of (file, row) pairs would sort every row.
+    """
     label = present(df, target).alias("label")
-    keyed = df.select(label, (order if order is not None else F.lit(None)).alias("seen"))
-    return (
-        keyed.filter(F.col("label").isNotNull())
-        .groupBy("label")
-        .agg(F.count("*").alias("n"), F.min("seen").alias("first_seen"))
+    filled = F.col("label").isNotNull()
+    counted = F.count("*").alias("n")
+    if order_by and len(order_by) == 1:
+        rows = df.select(label, ref(order_by[0]).alias("seen")).filter(filled)
+        return rows.groupBy("label").agg(counted, F.min("seen").alias("first_seen"))
+    if order_by or not has_scan_position(df):
+        order = source_order(df, order_by)
+        rows = df.select(label, (F.lit(None) if order is None else order).alias("seen")).filter(filled)
+        return rows.groupBy("label").agg(counted, F.min("seen").alias("first_seen"))
+    file, row = SCAN_POSITION
+    rows = df.select(label, F.col(file).alias("file"), F.col(row).alias("row")).filter(filled)
+    per_file = rows.groupBy("label", "file").agg(counted, F.min("row").alias("row"))
+    return per_file.groupBy("label").agg(
+        F.sum("n").alias("n"), F.min(F.struct("file", "row")).alias("first_seen")
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.columns import dtype_label, present, ref
+from gaugeline.columns import dtype_label, present_sql, ref, sql_name, sql_text
 from gaugeline.settings import DEFAULTS, Settings
 
 
@@ -27,7 +27,8 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 def column_counts(df: DataFrame, name: str) -> DataFrame:
     """(value, n) for one column; missing values form one group."""
-    return df.select(present(df, name).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    values = df.selectExpr(f"{present_sql(df, name)} AS value")
+    return values.groupBy("value").agg(F.expr("count(*) AS n"))
 
 
 def value_histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -48,11 +49,9 @@ def column_dominance(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """Per column: distinct values including null, rows of the most frequent one."""
     names = list(columns) if columns is not None else df.columns
     return union_all(
-        column_counts(df, c).agg(
-            F.lit(c).alias("column"),
-            F.count("*").alias("unique_count_including_null"),
-            F.coalesce(F.max("n"), F.lit(0)).alias("dominant_count"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        column_counts(df, c).selectExpr(
+            f"{sql_text(c)} AS column", "count(*) AS unique_count_including_null",
+            "coalesce(max(n), 0) AS dominant_count", "coalesce(sum(n), 0) AS row_count",
         )
         for c in names
     )
@@ -61,19 +60,20 @@ def column_dominance(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def distinct_counts(
     df: DataFrame, columns: Sequence[str], hashed: Sequence[str] = ()
 ) -> DataFrame:
-    """(column, unique_count, non_null_count), exact; ``hashed`` names long-text columns."""
+    """(column, unique_count, non_null_count, row_count), exact.
+
+    ``hashed`` names long-text columns.
+    """
     return union_all(
         _hashed_distinct(df, c) if c in hashed else _plain_distinct(df, c) for c in columns
     )
 
 
 def _plain_distinct(df: DataFrame, name: str) -> DataFrame:
-    return column_counts(df, name).agg(
-        F.lit(name).alias("column"),
-        F.count("value").alias("unique_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias(
-            "non_null_count"
-        ),
+    return column_counts(df, name).selectExpr(
+        f"{sql_text(name)} AS column", "count(value) AS unique_count",
+        "coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0) AS non_null_count",
+        "coalesce(sum(n), 0) AS row_count",
     )
 
 
@@ -83,34 +83,39 @@ def _hashed_distinct(df: DataFrame, name: str) -> DataFrame:
     Eight-byte hashes are grouped first.  A hash seen once stands for one value; only
     rows whose hash repeats are compared in full, so a collision cannot change the count.
     """
-    values = df.select(present(df, name).alias("value")).filter(F.col("value").isNotNull())
-    keyed = values.select("value", F.xxhash64("value").alias("h"))
-    hashes = keyed.groupBy("h").agg(F.count("*").alias("n"))
-    once = hashes.agg(
-        F.count_if(F.col("n") == 1).alias("unique_count"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("non_null_count"),
+    keyed = df.selectExpr(f"{present_sql(df, name)} AS value").selectExpr(
+        "value", "CASE WHEN value IS NOT NULL THEN xxhash64(value) END AS h"
     )
-    repeated = (
-        keyed.join(hashes.filter(F.col("n") > 1).select("h"), "h", "left_semi")
-        .select("value")
-        .distinct()
-        .agg(F.count("*").alias("unique_count"), F.lit(0).cast("bigint").alias("non_null_count"))
+    hashes = keyed.groupBy("h").agg(F.expr("count(*) AS n"))
+    once = hashes.selectExpr(
+        "count_if(h IS NOT NULL AND n = 1) AS unique_count",
+        "coalesce(sum(n) FILTER (WHERE h IS NOT NULL), 0) AS non_null_count",
+        "coalesce(sum(n), 0) AS row_count",
     )
-    return once.unionByName(repeated).agg(
-        F.lit(name).alias("column"),
-        F.sum("unique_count").alias("unique_count"),
-        F.sum("non_null_count").alias("non_null_count"),
+    repeats = hashes.filter("h IS NOT NULL AND n > 1").select("h")
+    several = (
+        keyed.join(repeats, "h", "left_semi").select("value").distinct()
+        .selectExpr("count(*) AS unique_count", "0L AS non_null_count", "0L AS row_count")
     )
+    return once.unionByName(several).selectExpr(
+        f"{sql_text(name)} AS column", "sum(unique_count) AS unique_count",
+        "sum(non_null_count) AS non_null_count", "sum(row_count) AS row_count",
+    )
+
+
+STEER_ROWS = 1000
 
 
 def long_text_columns(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> list[str]:
-    """Text columns whose mean length passes the limit (one aggregate row)."""
+    """Text columns whose values look long.
+
+    A glance at the first rows is enough: it only picks between two exact plans.
+    """
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
     if not texts:
         return []
-    row = df.agg(
-        *[F.avg(F.octet_length(ref(c))).alias(f"b{i}") for i, c in enumerate(texts)]
-    ).first()
+    glance = df.select(*[ref(c) for c in texts]).limit(STEER_ROWS)
+    row = glance.agg(*[F.avg(F.octet_length(ref(c))).alias(f"b{i}") for i, c in enumerate(texts)]).first()
     return [c for i, c in enumerate(texts) if (row[i] or 0) > settings.long_text_bytes]
 
 
@@ -120,7 +125,7 @@ def distinct_row_count(df: DataFrame) -> DataFrame:
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    return df.select(*[present(df, c).alias(c) for c in df.columns])
+    return df.selectExpr(*[f"{present_sql(df, c)} AS {sql_name(c)}" for c in df.columns])
 
 
 def repeated_rows(df: DataFrame, rows: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:

@@ -12,16 +12,16 @@ from gaugeline.columns import (
     dtype_label,
     eligible_columns,
     is_numeric,
-    present,
-    ref,
+    present_sql,
+    sql_text,
     visible_columns,
 )
+from gaugeline.functions.local import small_table
 from gaugeline.operators.distinct import (
     column_dominance,
     distinct_counts,
     long_text_columns,
     repeated_rows,
-    union_all,
 )
 from gaugeline.settings import DEFAULTS, Settings
 
@@ -38,26 +38,24 @@ def unpivot_row(row: DataFrame, names: Sequence[str], fields: Mapping[str, str],
 
     ``fields`` maps an output field to the prefix of its aggregates ``<prefix><i>``.
     """
-    items = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            *[F.col(f"{prefix}{i}").alias(field) for field, prefix in fields.items()],
-        )
+    items = ", ".join(
+        f"struct({i} AS position, {sql_text(name)} AS column, "
+        + ", ".join(f"{prefix}{i} AS {field}" for field, prefix in fields.items())
+        + ")"
         for i, name in enumerate(names)
-    ]
-    return row.select(*keep, F.inline(F.array(*items)))
+    )
+    return row.selectExpr(*keep, f"inline(array({items}))")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(row_count, position, column, missing_count) in a single scan."""
     names = list(columns) if columns is not None else df.columns
-    row = df.agg(
-        F.count("*").alias("row_count"),
-        *[F.count(present(df, c)).alias(f"k{i}") for i, c in enumerate(names)],
+    row = df.selectExpr(
+        "count(*) AS row_count",
+        *[f"count({present_sql(df, c)}) AS k{i}" for i, c in enumerate(names)],
     )
-    return unpivot_row(row, names, {"kept": "k"}, keep=("row_count",)).select(
-        "row_count", "position", "column", (F.col("row_count") - F.col("kept")).alias("missing_count")
+    return unpivot_row(row, names, {"kept": "k"}, keep=("row_count",)).selectExpr(
+        "row_count", "position", "column", "row_count - kept AS missing_count"
     )
 
 
@@ -96,23 +94,15 @@ def dataset_profile(
 ) -> DataFrame:
     """One row per visible column: type, distinct values, missing values."""
     names = visible_columns(df.columns, target, V.PROFILE_COLUMNS)
-    described = df.sparkSession.createDataFrame(
-        [
-            (
-                i, c, (types or {}).get(c) or dtype_label(df.schema[c].dataType),
-                "numeric" if is_numeric(df.schema[c].dataType) else "categorical",
-            )
-            for i, c in enumerate(names)
-        ],
-        "position int, column string, dtype string, kind string",
-    )
+    labels = [(types or {}).get(c) or dtype_label(df.schema[c].dataType) for c in names]
+    kinds = ["numeric" if is_numeric(df.schema[c].dataType) else "categorical" for c in names]
     counted = distinct_counts(df, names, long_text_columns(df, names, settings))
-    missing = null_counts(df, names).select("column", "row_count", "missing_count")
-    return (
-        described.join(counted.select("column", "unique_count"), "column")
-        .join(missing, "column")
-        .select("position", "column", "dtype", "kind", "row_count", "unique_count",
-                F.col("missing_count").alias("null_count"))
+    place = _position(names)
+    return counted.select(
+        place.alias("position"), "column",
+        F.array(*[F.lit(x) for x in labels])[place].alias("dtype"),
+        F.array(*[F.lit(x) for x in kinds])[place].alias("kind"),
+        "row_count", "unique_count", (F.col("row_count") - F.col("non_null_count")).alias("null_count"),
     )
 
 
@@ -142,8 +132,8 @@ def constant_columns(
     if suspects:
         counted = column_dominance(df, suspects)
     else:
-        counted = df.sparkSession.createDataFrame(
-            [],
+        counted = small_table(
+            df.sparkSession, [],
             "column string, unique_count_including_null bigint, dominant_count bigint, "
             "row_count bigint",
         )
@@ -160,19 +150,17 @@ def constant_columns(
 
 def _dominated_columns(df: DataFrame, names: Sequence[str], share: float) -> list[str]:
     """Columns where one value, or NULL, may fill at least ``share`` of the rows."""
-    hashed = df.select(
+    hashed = df.selectExpr(
         *[
-            F.when(present(df, c).isNotNull(), F.xxhash64(present(df, c))).alias(f"h{i}")
-            for i, c in enumerate(names)
+            f"CASE WHEN {v} IS NOT NULL THEN xxhash64({v}) END AS h{i}"
+            for i, v in enumerate(present_sql(df, c) for c in names)
         ]
     )
-    row = hashed.agg(
-        F.count("*").alias("total"),
-        *[F.count(f"h{i}").alias(f"k{i}") for i in range(len(names))],
-        *[
-            F.get(F.expr(f"approx_top_k(h{i}, 1, {SKETCH_ITEMS})"), F.lit(0))["count"].alias(f"c{i}")
-            for i in range(len(names))
-        ],
+    places = range(len(names))
+    row = hashed.selectExpr(
+        "count(*) AS total",
+        *[f"count(h{i}) AS k{i}" for i in places],
+        *[f"get(approx_top_k(h{i}, 1, {SKETCH_ITEMS}), 0).count AS c{i}" for i in places],
     ).first()
     floor = share * row["total"]
     return [
@@ -183,8 +171,8 @@ def _dominated_columns(df: DataFrame, names: Sequence[str], share: float) -> lis
 
 
 def _position(names: Sequence[str]) -> Column:
-    lookup = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column"))
-    return (lookup - 1).cast("int")
+    listed = ", ".join(sql_text(c) for c in names)
+    return F.expr(f"CAST(array_position(array({listed}), column) - 1 AS INT)")
 
 
 def high_cardinality(
@@ -193,8 +181,8 @@ def high_cardinality(
     """Text or identifier-named columns whose values are almost all different."""
     names = list(columns) if columns is not None else eligible_columns(df, "high_cardinality_check")
     if not names:
-        return df.sparkSession.createDataFrame(
-            [],
+        return small_table(
+            df.sparkSession, [],
             "position int, column string, unique_count bigint, non_null_count bigint, unique_ratio double",
         )
     counted = distinct_counts(df, names, long_text_columns(df, names, settings))

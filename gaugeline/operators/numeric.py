@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
-from gaugeline.columns import finite, numeric_columns, outside
+from gaugeline.columns import finite_sql, numeric_columns, sql_text
+from gaugeline.functions.local import small_table
 from gaugeline.operators.distinct import union_all
 from gaugeline.operators.metrics import ratio, unpivot_row
 from gaugeline.operators.quantiles import quantile_values
@@ -40,17 +41,19 @@ def outliers(
     """Outlier counts of every column from one scan against the exact bounds."""
     bounds = iqr_bounds(df, columns, settings)
     if not bounds:
-        return df.sparkSession.createDataFrame([], OUTLIER_SCHEMA)
-    row = df.agg(
+        return small_table(df.sparkSession, [], OUTLIER_SCHEMA)
+    values = df.selectExpr(*[f"{finite_sql(df, b[0])} AS x{i}" for i, b in enumerate(bounds)])
+    places = range(len(bounds))
+    row = values.selectExpr(
         *[
-            F.sum(
-                F.when(outside(finite(df, name), F.lit(low), F.lit(high)), 1).otherwise(0)
-            ).alias(f"o{i}")
-            for i, (name, _, low, high) in enumerate(bounds)
-        ],
-        *[F.lit(n).cast("bigint").alias(f"n{i}") for i, (_, n, _, _) in enumerate(bounds)],
-        *[F.lit(low).alias(f"l{i}") for i, (_, _, low, _) in enumerate(bounds)],
-        *[F.lit(high).alias(f"u{i}") for i, (_, _, _, high) in enumerate(bounds)],
+            f"sum(CASE WHEN x{i} < double('{low!r}') OR x{i} > double('{high!r}') THEN 1L ELSE 0L END) AS o{i}"
+            for i, (_, _, low, high) in enumerate(bounds)
+        ]
+    ).selectExpr(
+        *[f"o{i}" for i in places],
+        *[f"{b[1]}L AS n{i}" for i, b in enumerate(bounds)],
+        *[f"double('{b[2]!r}') AS l{i}" for i, b in enumerate(bounds)],
+        *[f"double('{b[3]!r}') AS u{i}" for i, b in enumerate(bounds)],
     )
     table = unpivot_row(
         row,
@@ -83,67 +86,71 @@ def pearson_pairs(
     """
     names = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
     pairs = list(combinations(range(len(names)), 2))
-    values = df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    stats = [("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max)]
-    first = values.agg(
-        F.count("*").alias("total"),
-        *[f(f"x{i}").alias(f"{tag}{i}") for i in range(len(names)) for tag, f in stats],
+    values = df.selectExpr(*[f"{finite_sql(df, c)} AS x{i}" for i, c in enumerate(names)])
+    stats = [("n", "count"), ("m", "avg"), ("lo", "min"), ("hi", "max")]
+    first = values.selectExpr(
+        "count(*) AS total",
+        *[f"{f}(x{i}) AS {tag}{i}" for i in range(len(names)) for tag, f in stats],
     ).first()
     total = first["total"]
     whole = {i for i in range(len(names)) if first[f"n{i}"] == total}
-    fixed = {i for i in range(len(names)) if first[f"lo{i}"] == first[f"hi{i}"]}
-    shifted = values.select(
-        *[(F.col(f"x{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"d{i}") for i in range(len(names))]
+    varying = [first[f"lo{i}"] != first[f"hi{i}"] for i in range(len(names))]
+    shifted = values.selectExpr(
+        *[f"x{i} - double('{first[f'm{i}'] or 0.0!r}') AS d{i}" for i in range(len(names))]
     )
     shared = [(k, i, j) for k, (i, j) in enumerate(pairs) if i in whole and j in whole]
     gapped = [(k, i, j) for k, (i, j) in enumerate(pairs) if not (i in whole and j in whole)]
     jobs = []
     if shared:
-        sums = [F.sum(F.col(f"d{i}")).alias(f"s{i}") for i in sorted(whole)]
-        sums += [F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"q{i}") for i in sorted(whole)]
-        sums += [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{k}") for k, i, j in shared]
+        sums = [f"sum(d{i}) AS s{i}" for i in sorted(whole)]
+        sums += [f"sum(d{i} * d{i}) AS q{i}" for i in sorted(whole)]
+        sums += [f"sum(d{i} * d{j}) AS p{k}" for k, i, j in shared]
         rows = [
-            _pair(k, names[i], names[j], _pearson(
-                F.lit(float(total)), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"),
-                F.col(f"q{j}"), F.col(f"p{k}"), F.lit(i not in fixed and j not in fixed),
-            ))
+            _moments(
+                k, names[i], names[j], f"{total}L", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{k}",
+                str(varying[i] and varying[j]),
+            )
             for k, i, j in shared
         ]
         jobs.append((sums, rows))
     for start in range(0, len(gapped), GAPPED_PAIRS_PER_PASS):
         sums, rows = [], []
         for k, i, j in gapped[start : start + GAPPED_PAIRS_PER_PASS]:
-            x, y = F.col(f"d{i}"), F.col(f"d{j}")
-            left, right = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            left = f"CASE WHEN d{j} IS NOT NULL THEN d{i} END"
+            right = f"CASE WHEN d{i} IS NOT NULL THEN d{j} END"
             sums += [
-                F.count(x * y).alias(f"n{k}"), F.sum(x * y).alias(f"p{k}"),
-                F.sum(left).alias(f"a{k}"), F.sum(right).alias(f"b{k}"),
-                F.sum(left * left).alias(f"u{k}"), F.sum(right * right).alias(f"v{k}"),
-                (F.min(left) < F.max(left)).alias(f"f{k}"),
-                (F.min(right) < F.max(right)).alias(f"g{k}"),
+                f"count(d{i} * d{j}) AS n{k}", f"sum(d{i} * d{j}) AS p{k}",
+                f"sum({left}) AS a{k}", f"sum({right}) AS b{k}",
+                f"sum(({left}) * ({left})) AS u{k}", f"sum(({right}) * ({right})) AS v{k}",
+                f"min({left}) < max({left}) AND min({right}) < max({right}) AS f{k}",
             ]
-            rows.append(_pair(k, names[i], names[j], _pearson(
-                F.col(f"n{k}").cast("double"), F.col(f"a{k}"), F.col(f"b{k}"), F.col(f"u{k}"),
-                F.col(f"v{k}"), F.col(f"p{k}"), F.col(f"f{k}") & F.col(f"g{k}"),
-            )))
+            rows.append(
+                _moments(
+                    k, names[i], names[j], f"n{k}", f"a{k}", f"b{k}", f"u{k}", f"v{k}", f"p{k}", f"f{k}"
+                )
+            )
         jobs.append((sums, rows))
-    return union_all(
-        shifted.agg(*sums).select(F.inline(F.array(*rows))) for sums, rows in jobs
+    moments = union_all(
+        shifted.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))")
+        for sums, rows in jobs
     )
+    return _pearson(moments)
 
 
-def _pair(k: int, left: str, right: str, r: Column) -> Column:
-    return F.struct(
-        F.lit(k).alias("position"), F.lit(left).alias("left"), F.lit(right).alias("right"),
-        r.alias("r"),
-    )
+def _moments(k: int, left: str, right: str, *values: str) -> str:
+    fields = ("n", "sx", "sy", "sxx", "syy", "sxy", "varies")
+    shown = ", ".join(f"{v} AS {f}" for v, f in zip(values, fields))
+    return f"struct({k} AS position, {sql_text(left)} AS `left`, {sql_text(right)} AS `right`, {shown})"
 
 
-def _pearson(n, sx, sy, sxx, syy, sxy, varies) -> Column:
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    r = F.try_divide(n * sxy - sx * sy, F.sqrt(vx) * F.sqrt(vy))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    return F.when(varies & (vx > 0) & (vy > 0), bounded)
+def _pearson(moments: DataFrame) -> DataFrame:
+    varied = moments.selectExpr(
+        "*", "n * sxx - sx * sx AS vx", "n * syy - sy * sy AS vy", "n * sxy - sx * sy AS vxy"
+    )
+    r = "greatest(-1.0D, least(1.0D, try_divide(vxy, sqrt(vx) * sqrt(vy))))"
+    return varied.selectExpr(
+        "position", "`left`", "`right`", f"CASE WHEN varies AND vx > 0 AND vy > 0 THEN {r} END AS r"
+    )
 
 
 def strong_correlations(

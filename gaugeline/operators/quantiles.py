@@ -18,7 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.columns import finite
+from gaugeline.columns import finite_sql
+from gaugeline.functions.local import small_table
 from gaugeline.settings import DEFAULTS, Settings
 
 
@@ -80,17 +81,15 @@ def _steer(values: DataFrame, rows: int, wanted: dict[str, tuple], settings: Set
     for alias, (expression, spans) in wanted.items():
         noise = 0.0 if share == 1.0 else 4.0 * math.sqrt(0.25 / used)
         margin = 2.0 / settings.quantile_accuracy + noise
-        points = [
-            point
+        points = ", ".join(
+            f"{point!r}D"
             for low, high in spans
             for point in (max(0.0, low - margin), min(1.0, high + margin))
-        ]
+        )
         aggs.append(
-            F.percentile_approx(
-                expression, F.array(*[F.lit(p) for p in points]), F.lit(settings.quantile_accuracy)
-            ).alias(alias)
+            f"percentile_approx({expression}, array({points}), {settings.quantile_accuracy}) AS {alias}"
         )
-    return seen.agg(*aggs).first()
+    return seen.selectExpr(*aggs).first()
 
 
 def quantile_values(
@@ -100,18 +99,18 @@ def quantile_values(
     settings: Settings = DEFAULTS,
 ) -> list[tuple[str, int, list[float | None]]]:
     """[(column, finite rows, interpolated quantiles)], values None without rows."""
-    values = df.select(*[finite(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    first = values.agg(
+    values = df.selectExpr(*[f"{finite_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
+    first = values.selectExpr(
         *[
-            f(f"x{i}").alias(f"{tag}{i}")
+            f"{f}(x{i}) AS {tag}{i}"
             for i in range(len(columns))
-            for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+            for tag, f in (("n", "count"), ("lo", "min"), ("hi", "max"))
         ]
     ).first()
     filled = [i for i in range(len(columns)) if first[f"n{i}"]]
     brackets: list[_Bracket] = []
     if filled:
-        wanted = {f"q{i}": (F.col(f"x{i}"), [(p, p) for p in probs]) for i in filled}
+        wanted = {f"q{i}": (f"x{i}", [(p, p) for p in probs]) for i in filled}
         # the scarcest column decides how many rows the look needs
         hint = _steer(values, min(first[f"n{i}"] for i in filled), wanted, settings)
         for i in filled:
@@ -135,15 +134,27 @@ def quantile_values(
     return out
 
 
+def _number(value: float) -> str:
+    """A double literal that keeps every digit."""
+    return f"double('{value!r}')"
+
+
+def _inside(b: _Bracket) -> str:
+    return f"x{b.column} > {_number(b.low)} AND x{b.column} < {_number(b.high)}"
+
+
 def _search(values: DataFrame, brackets: list[_Bracket], first, settings: Settings) -> None:
     todo = brackets
     while todo:
         exprs = []
         for k, b in enumerate(todo):
-            x, low, high = F.col(f"x{b.column}"), F.lit(b.low), F.lit(b.high)
-            for tag, test in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high)):
-                exprs.append(F.sum(F.when(test, 1).otherwise(0)).alias(f"{tag}{k}"))
-        row = values.agg(*exprs).first()
+            x, low, high = f"x{b.column}", _number(b.low), _number(b.high)
+            tests = (f"{x} < {low}", f"{x} <= {low}", f"{x} < {high}", f"{x} <= {high}")
+            exprs += [
+                f"sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS {tag}{k}"
+                for tag, test in zip("abcd", tests)
+            ]
+        row = values.selectExpr(*exprs).first()
         widened = [
             b
             for k, b in enumerate(todo)
@@ -168,9 +179,8 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], settings: Settings) ->
     """Replace each bracket by a tighter one around the same ranks."""
     wanted = {}
     for k, b in enumerate(brackets):
-        x = F.col(f"x{b.column}")
         local = [(r - b.upto_low) / b.inside for r in b.open_ranks]
-        inner = F.when((x > F.lit(b.low)) & (x < F.lit(b.high)), x)
+        inner = f"CASE WHEN {_inside(b)} THEN x{b.column} END"
         wanted[f"q{k}"] = (inner, [(min(local), max(local))])
     hint = _steer(values, min(b.inside for b in brackets), wanted, settings)
     for k, b in enumerate(brackets):
@@ -184,22 +194,17 @@ def _rank_inside(values: DataFrame, brackets: list[_Bracket]) -> None:
     The input is bounded by ``quantile_finish_rows`` per bracket, so one window
     partition per bracket is bounded too.
     """
-    hits = [
-        F.when(
-            (F.col(f"x{b.column}") > F.lit(b.low)) & (F.col(f"x{b.column}") < F.lit(b.high)),
-            F.struct(F.lit(k).alias("k"), F.col(f"x{b.column}").alias("v")),
-        )
+    hits = ", ".join(
+        f"CASE WHEN {_inside(b)} THEN struct({k} AS k, x{b.column} AS v) END"
         for k, b in enumerate(brackets)
-    ]
-    kept = values.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    counts = kept.groupBy(F.col("hit.k").alias("k"), F.col("hit.v").alias("v")).agg(
-        F.count("*").alias("n")
     )
+    kept = values.selectExpr(f"inline(array_compact(array({hits})))")
+    counts = kept.groupBy("k", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(
         Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     wanted = [(k, r, r - b.upto_low) for k, b in enumerate(brackets) for r in b.open_ranks]
-    targets = values.sparkSession.createDataFrame(wanted, "k int, rank bigint, local bigint")
+    targets = small_table(values.sparkSession, wanted, "k int, rank bigint, local bigint")
     ranked = counts.withColumn("upto", upto)
     found = ranked.join(F.broadcast(targets), "k").filter(
         (F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n"))
@@ -224,6 +229,5 @@ def exact_quantiles(
         for name, n, found in quantile_values(df, columns, probs, settings)
         for p, v in zip(probs, found)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, finite_count bigint, prob double, quantile double"
+    return small_table(df.sparkSession, rows, "column string, finite_count bigint, prob double, quantile double"
     )

@@ -236,7 +236,7 @@ def high_cardinality_documents(t: Tables) -> DataFrame:
     union_sql(
         [
             f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, "
-            f"count({c}) AS non_null_count FROM {GAPS_SQL}"
+            f"count({c}) AS non_null_count, count(*) AS row_count FROM {GAPS_SQL}"
             for c in NULLABLE
         ]
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.checks import preview_rows
+from gaugeline.functions.local import small_table
 from gaugeline.operators import classes, distinct, metrics
 from gaugeline.plans import evidence, reconcile
 from gaugeline.queries.check_queries import GAP_ORDERS, GAPS_SQL, LINE_COLUMNS, NULLABLE
@@ -25,7 +26,7 @@ def _stored_type_sql(source: str, columns: list[str]) -> str:
             f"SELECT '{c}' AS \"column\", CASE WHEN count({c}) = 0 THEN 'float64' "
             f"WHEN bool_and(regexp_full_match(CAST({c} AS VARCHAR), '-?\\d+')) THEN "
             f"CASE WHEN count({c}) = count(*) THEN 'int64' ELSE 'float64' END "
-            f"WHEN bool_and(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) THEN 'float64' ELSE 'object' END AS dtype, "
+            f"WHEN bool_and({c} IS NULL OR TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) THEN 'float64' ELSE 'object' END AS dtype, "
             f"count(*) - count({c}) AS null_count, count(*) AS row_count FROM {source}"
             for c in columns
         ]
@@ -35,7 +36,7 @@ def _stored_type_sql(source: str, columns: list[str]) -> str:
 def _facts(dataset) -> DataFrame:
     """Types as ingested, counts as read back from the written table."""
     spark = dataset.df.sparkSession
-    types = spark.createDataFrame(list(dataset.dtypes.items()), "column string, dtype string")
+    types = small_table(spark, list(dataset.dtypes.items()), "column string, dtype string")
     counted = metrics.null_counts(dataset.df)
     return counted.join(F.broadcast(types), "column").select(
         "column", "dtype", F.col("missing_count").alias("null_count"), "row_count"
@@ -259,7 +260,7 @@ def schema_context(t: Tables) -> DataFrame:
         (f["name"], "numeric" if f["name"] in context["numeric_columns"] else "categorical", context["rows"])
         for f in context["schema"]
     ]
-    return t.spark.createDataFrame(rows, "name string, kind string, rows bigint")
+    return small_table(t.spark, rows, "name string, kind string, rows bigint")
 
 
 @query(

@@ -29,7 +29,7 @@ class Settings:
     # does not need the rule; set a byte budget to reproduce the skip status
     max_quantile_bytes: int = 0
     # physical choices; none of them changes a result
-    duplicate_hash_min_rows: int = 20_000_000
+    duplicate_hash_min_rows: int = 500_000
     broadcast_max_rows: int = 1_000_000
     long_text_bytes: int = 256
     quantile_accuracy: int = 10_000

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.columns import ref
+from gaugeline.functions.local import small_table
 
 INT, FLOAT, TEXT, LEADING_ZERO, TOO_BIG, PADDED, BOOL = 1, 2, 4, 8, 16, 32, 64
 
@@ -118,8 +119,7 @@ def infer_columns(df: DataFrame, names: list[str] | None = None) -> list[ColumnF
 def column_types(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, dtype, null_count, leading_zero, mixed) as a small table."""
     rows = [(f.name, f.dtype, f.nulls, f.leading_zero, f.mixed) for f in infer_columns(df, names)]
-    return df.sparkSession.createDataFrame(
-        rows,
+    return small_table(df.sparkSession, rows,
         "column string, dtype string, null_count bigint, leading_zero boolean, mixed boolean",
     )
 
