@@ -8,17 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
-from gaugeline.columns import ref
+from gaugeline.columns import sql_name, sql_text
 from gaugeline.functions.local import small_table
 
 INT, FLOAT, TEXT, LEADING_ZERO, TOO_BIG, PADDED, BOOL = 1, 2, 4, 8, 16, 32, 64
 
 # white space a lexeme may carry around a number
-_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-_EDGES = f"^{_SPACE}+|{_SPACE}+$"
+_SPACE = "".join(
+    chr(c)
+    for c in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
 _QUICK_INT = r"^[+-]?(?:0|[1-9][0-9]{0,17})$"
+_QUICK_FLOAT = r"^[+-]?[0-9]+[.][0-9]+$"
+# first letters that start neither a number word nor a boolean
+_QUICK_TEXT = r"^[A-EGHJ-MO-SU-Za-eghj-mo-su-z]"
 _ANY_INT = r"^[+-]?[0-9]+$"
-_FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^(?i)[+-]?inf(?:inity)?$"
+_FLOAT = r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$|^(?i)[+-]?inf(?:inity)?$"
+_TOKENS = ", ".join(sql_text(token) for token in V.NULL_TOKENS)
+
+
+def null_tokens_sql(value: str) -> str:
+    return f"CASE WHEN {value} NOT IN ({_TOKENS}) THEN {value} END"
 
 
 def null_tokens_to_null(value: Column) -> Column:
@@ -26,27 +39,29 @@ def null_tokens_to_null(value: Column) -> Column:
     return F.when(~value.isin(*V.NULL_TOKENS), value)
 
 
-def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, _EDGES, "")
+def trimmed_sql(value: str) -> str:
+    return f"btrim({value}, {sql_text(_SPACE)})"
 
 
-def lexeme_class(value: Column) -> Column:
-    """Bit flags of one non-null lexeme."""
-    token = trimmed(value)
-    digits = F.ltrim(token, F.lit("+-"))
-    padded = F.when(token != value, F.lit(PADDED)).otherwise(F.lit(0))
-    integer = (
-        F.when((F.length(digits) > 1) & digits.startswith("0"), F.lit(LEADING_ZERO))
-        .when(token.try_cast("bigint").isNotNull(), F.lit(INT))
-        .otherwise(F.lit(TOO_BIG))
+def _quick_class(v: str) -> str:
+    """Flags of the common lexemes; 0 sends a lexeme to the full rules."""
+    return (
+        f"CASE WHEN {v} IS NULL THEN NULL WHEN rlike({v}, r'{_QUICK_INT}') THEN {INT} "
+        f"WHEN rlike({v}, r'{_QUICK_FLOAT}') THEN {FLOAT} WHEN rlike({v}, r'{_QUICK_TEXT}') THEN {TEXT} ELSE 0 END"
     )
-    slow = padded.bitwiseOR(
-        F.when(token.rlike(_ANY_INT), integer)
-        .when(token.rlike(_FLOAT), F.lit(FLOAT))
-        .when(value.isin("True", "False", "TRUE", "FALSE", "true", "false"), F.lit(TEXT | BOOL))
-        .otherwise(F.lit(TEXT))
+
+
+def _slow_class(v: str, token: str) -> str:
+    """Flags of any other lexeme; ``token`` is the trimmed value."""
+    digits = f"ltrim('+-', {token})"
+    return (
+        f"(CASE WHEN rlike({token}, r'{_ANY_INT}') THEN CASE "
+        f"WHEN length({digits}) > 1 AND startswith({digits}, '0') THEN {LEADING_ZERO} "
+        f"WHEN try_cast({token} AS BIGINT) IS NOT NULL THEN {INT} ELSE {TOO_BIG} END "
+        f"WHEN rlike({token}, r'{_FLOAT}') THEN {FLOAT} "
+        f"WHEN {v} IN ('True', 'False', 'TRUE', 'FALSE', 'true', 'false') THEN {TEXT | BOOL} "
+        f"ELSE {TEXT} END | CASE WHEN {token} <> {v} THEN {PADDED} ELSE 0 END)"
     )
-    return F.when(value.rlike(_QUICK_INT), F.lit(INT)).otherwise(slow)
 
 
 @dataclass(frozen=True)
@@ -92,18 +107,21 @@ class ColumnFacts:
 
 def flags_row(df: DataFrame, names: list[str]) -> DataFrame:
     """One row of lexeme flags, null counts and boolean purity for text columns."""
-    canon = [null_tokens_to_null(ref(c)) for c in names]
-    kinds = df.select(
-        *[F.when(v.isNotNull(), lexeme_class(v)).alias(f"k{i}") for i, v in enumerate(canon)]
+    # each step keeps its result in a column: later steps use it several times
+    places = range(len(names))
+    values = df.selectExpr(*[f"{null_tokens_sql(sql_name(c))} AS v{i}" for i, c in enumerate(names)])
+    quick = values.selectExpr("*", *[f"{_quick_class(f'v{i}')} AS q{i}" for i in places])
+    tokens = quick.selectExpr(
+        "*", *[f"CASE WHEN q{i} = 0 THEN {trimmed_sql(f'v{i}')} END AS t{i}" for i in places]
+    )
+    kinds = tokens.selectExpr(
+        *[f"CASE WHEN q{i} = 0 THEN {_slow_class(f'v{i}', f't{i}')} ELSE q{i} END AS k{i}" for i in places]
     )
-    return kinds.agg(
-        F.count("*").alias("rows"),
-        *[F.coalesce(F.bit_or(f"k{i}"), F.lit(0)).alias(f"f{i}") for i in range(len(names))],
-        *[F.count(f"k{i}").alias(f"n{i}") for i in range(len(names))],
-        *[
-            F.coalesce(F.bool_or(F.col(f"k{i}").bitwiseAND(TEXT | BOOL) == TEXT), F.lit(False)).alias(f"t{i}")
-            for i in range(len(names))
-        ],
+    return kinds.selectExpr(
+        "count(*) AS rows",
+        *[f"coalesce(bit_or(k{i}), 0) AS f{i}" for i in places],
+        *[f"count(k{i}) AS n{i}" for i in places],
+        *[f"coalesce(bool_or((k{i} & {TEXT | BOOL}) = {TEXT}), false) AS t{i}" for i in places],
     )
 
 
@@ -132,11 +150,11 @@ def typed(df: DataFrame, facts: list[ColumnFacts], permissive: bool = False) ->
     out = []
     for fact in facts:
         dtype = fact.permissive_dtype if permissive else fact.dtype
-        value = null_tokens_to_null(ref(fact.name))
+        value = null_tokens_sql(sql_name(fact.name))
         if dtype in ("int64", "float64") and fact.padded:
-            value = trimmed(value)
-        out.append(value.cast(_SQL_TYPES[dtype]).alias(fact.name))
-    return df.select(*out)
+            value = trimmed_sql(f"({value})")
+        out.append(f"CAST({value} AS {_SQL_TYPES[dtype]}) AS {sql_name(fact.name)}")
+    return df.selectExpr(*out)
 
 
 def type_warnings(facts: list[ColumnFacts]) -> list[str]:
