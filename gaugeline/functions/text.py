@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from gaugeline import fixed_values as V
 
 
+# \w, \d, \s and \b follow Unicode, as the fixed patterns expect
+UNICODE = "(?U)"
+
+
 def cleaned(text: Column) -> Column:
     """Control and format characters become spaces, white space collapses, ends are trimmed."""
     return F.trim(
@@ -44,7 +48,7 @@ def redacted(
     for i, (pattern, shown) in enumerate(V.REDACTIONS):
         if i == 2 and root:
             out = F.replace(out, F.lit(root), F.lit("[repository]"))
-        out = F.regexp_replace(out, pattern, shown)
+        out = F.regexp_replace(out, UNICODE + pattern, shown)
     return out if limit is None else F.left(out, F.lit(limit))
 
 
@@ -87,10 +91,10 @@ def _guarded_assurance() -> str:
     options = "|".join(
         f"\\b{re.escape(w)}\\b{gap}{{0,{V.NEGATION_WINDOW - len(w)}}}" for w in V.NEGATION_WORDS
     )
-    return f"(?i)(?={V.ASSURANCE_PATTERN})(?<!{options})"
+    return f"{UNICODE}(?i)(?={V.ASSURANCE_PATTERN})(?<!{options})"
 
 
-ASSURANCE = "(?i)" + V.ASSURANCE_PATTERN
+ASSURANCE = UNICODE + "(?i)" + V.ASSURANCE_PATTERN
 GUARDED_ASSURANCE = _guarded_assurance()
 
 
@@ -104,17 +108,18 @@ def unsupported_assurance(text: Column) -> Column:
 
 def number_texts(text: Column) -> Column:
     """Array of the numeric literals in a text, as written."""
-    return F.regexp_extract_all(text, F.lit(V.NUMBER_PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(UNICODE + V.NUMBER_PATTERN), F.lit(0))
 
 
 def number_key(literal: Column) -> Column:
     """Comparison key: equal numbers give equal keys however they are written.
 
-    Exact decimals where they fit; beyond that range the double value.
+    Exact decimals where they fit; beyond that range the double value, and the text itself
+    for digits of other scripts.
     """
     plain = F.regexp_replace(literal, ",", "")
     exact = plain.try_cast("decimal(38,18)").cast("string")
-    return F.coalesce(exact, plain.try_cast("double").cast("string"))
+    return F.coalesce(exact, plain.try_cast("double").cast("string"), plain)
 
 
 def number_keys(text: Column) -> Column:
