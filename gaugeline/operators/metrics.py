@@ -109,6 +109,7 @@ def dataset_profile(
 # A sketch tracking 64 items errs by under 3 % of the rows, so a value above this
 # share is always reported; the margin widens the candidate test by more than that.
 SKETCH_ITEMS = 64
+SKETCH_GROUPS = 256
 SKETCH_SAFE_RATIO = 0.6
 SKETCH_MARGIN = 0.05
 
@@ -157,10 +158,21 @@ def _dominated_columns(df: DataFrame, names: Sequence[str], share: float) -> lis
         ]
     )
     places = range(len(names))
-    row = hashed.selectExpr(
-        "count(*) AS total",
-        *[f"count(h{i}) AS k{i}" for i in places],
-        *[f"get(approx_top_k(h{i}, 1, {SKETCH_ITEMS}), 0).count AS c{i}" for i in places],
+    # sketches are merged in two steps, so that the last task sees a bounded number of
+    # them however many tasks scanned the table
+    grouped = hashed.selectExpr("*", f"pmod(spark_partition_id(), {SKETCH_GROUPS}) AS part").groupBy("part")
+    partial = grouped.agg(
+        F.expr("count(*) AS total"),
+        *[F.expr(f"count(h{i}) AS k{i}") for i in places],
+        *[F.expr(f"approx_top_k_accumulate(h{i}, {SKETCH_ITEMS}) AS c{i}") for i in places],
+    )
+    row = partial.selectExpr(
+        "coalesce(sum(total), 0) AS total",
+        *[f"coalesce(sum(k{i}), 0) AS k{i}" for i in places],
+        *[
+            f"get(approx_top_k_estimate(approx_top_k_combine(c{i}, {SKETCH_ITEMS}), 1), 0).count AS c{i}"
+            for i in places
+        ],
     ).first()
     floor = share * row["total"]
     return [

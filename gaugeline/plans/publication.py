@@ -64,27 +64,32 @@ def known_secret_hits(
     for b in range(batches):
         part = wanted if batches == 1 else wanted.filter(F.pmod(F.xxhash64("n", "v"), F.lit(batches)) == b)
         shared = spark.sparkContext.broadcast([(r["n"], r["v"]) for r in part.collect()])
-        hits = source.mapInPandas(lambda it, s=shared: _scan(it, s.value), f"k {key_type}, n {name_type}")
+        hits = source.mapInPandas(_scanner(shared), f"k {key_type}, n {name_type}")
         out = hits if out is None else out.unionByName(hits)
     return out.select(F.col("k").alias(key), F.col("n").alias(name))
 
 
-def _scan(batches: Iterator[pd.DataFrame], patterns: list[tuple]) -> Iterator[pd.DataFrame]:
-    names: dict[str, list] = {}
-    for n, v in patterns:
-        names.setdefault(v, []).append(n)
-    machine = None
-    if ahocorasick is not None and names:
-        machine = ahocorasick.Automaton()
-        for v in names:
-            machine.add_word(v, v)
-        machine.make_automaton()
-    for batch in batches:
-        found = []
-        for k, t in zip(batch["k"], batch["t"]):
-            seen = {v for _, v in machine.iter(t)} if machine else {v for v in names if v in t}
-            found.extend((k, n) for v in seen for n in names[v])
-        yield pd.DataFrame(found, columns=["k", "n"])
+def _scanner(shared):
+    """Task function over (k, t); it needs no copy of this package on the workers."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: dict[str, list] = {}
+        for n, v in shared.value:
+            names.setdefault(v, []).append(n)
+        machine = None
+        if ahocorasick is not None and names:
+            machine = ahocorasick.Automaton()
+            for v in names:
+                machine.add_word(v, v)
+            machine.make_automaton()
+        for batch in batches:
+            found = []
+            for k, t in zip(batch["k"], batch["t"]):
+                seen = {v for _, v in machine.iter(t)} if machine else {v for v in names if v in t}
+                found.extend((k, n) for v in seen for n in names[v])
+            yield pd.DataFrame(found, columns=["k", "n"])
+
+    return scan
 
 
 def file_problems(files: DataFrame) -> DataFrame:

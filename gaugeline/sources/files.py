@@ -101,7 +101,11 @@ def inspect_files(spark: SparkSession, path: str | list[str], settings: Settings
     value = F.col("value")
     filled = value != ""
     head = F.when(filled & F.col("first_block"), F.col("place"))
+    # The header text needs a buffer of changing size, for which Spark would sort every
+    # line by file.  A typed aggregate beside it (a set of at most one flag) keeps the
+    # object-hash plan, which only holds one entry per file and task.
     scanned = lines.groupBy("file").agg(
+        F.collect_set(F.when(F.col("first_block"), True)).alias("starts"),
         F.count_if(filled).alias("lines"),
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
         F.bool_or(value.contains("\u0000")).alias("binary"),

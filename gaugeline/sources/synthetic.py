@@ -19,13 +19,17 @@ def source_index(index: Column) -> Column:
     return F.when(index % V.SYNTH_REPEAT_EVERY == last, index - 1).otherwise(index)
 
 
-def _columns(profile: str, row: Column, seed: int) -> dict[str, Column]:
+ROW = "__row"
+
+
+def _columns(profile: str, seed: int) -> dict[str, Column]:
+    row = F.col(ROW)
     value = (row * V.SYNTH_VALUE_FACTOR + seed) % V.SYNTH_VALUE_MODULUS
     nullable = F.when(row % 10 != 0, value.cast("double"))
 
     def features(count: int, digits: int) -> dict[str, Column]:
         return {
-            f"feature_{k:0{digits}d}": (row * (k + 3) + seed) % V.SYNTH_FEATURE_MODULUS
+            f"feature_{k:0{digits}d}": F.expr(f"({ROW} * {k + 3} + {seed}) % {V.SYNTH_FEATURE_MODULUS}")
             for k in range(count)
         }
 
@@ -58,8 +62,8 @@ def synthetic_table(
     df: DataFrame, index: str, profile: str, seed: int = V.SYNTH_SEED
 ) -> DataFrame:
     row = source_index(F.col(index).cast("bigint"))
-    staged = df.select(row.alias("__row"))
-    shown = _columns(profile, F.col("__row"), seed)
+    staged = df.select(row.alias(ROW))
+    shown = _columns(profile, seed)
     return staged.select(*[c.alias(name) for name, c in shown.items()])
 
 
@@ -87,7 +91,7 @@ def manifest(df: DataFrame, index: str, profile: str, seed: int = V.SYNTH_SEED)
     """
     row = F.col(index).cast("bigint")
     source = source_index(row)
-    names = list(_columns(profile, F.lit(0), seed))
+    names = list(_columns(profile, seed))
     gaps: dict[str, Column] = {}
     for name in names:
         if name == "nullable":
