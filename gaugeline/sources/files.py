@@ -115,7 +115,9 @@ def inspect_files(spark: SparkSession, path: str | list[str], settings: Settings
     limit = settings.max_upload_mb * 1024**2
     reason = (
         F.when(~F.lower("file").endswith(".csv"), "Upload a .csv file.")
-        .when(F.coalesce("lines", F.lit(0)) == 0, "The CSV file is empty.")
+        .when(
+            (F.coalesce("lines", F.lit(0)) == 0) | (F.size("starts") == 0), "The CSV file is empty."
+        )
         .when(F.col("binary"), "The file appears to be binary rather than CSV text.")
         .when(
             ~(F.col("utf8") & F.col("neat")) & (F.col("bytes") > min(limit, MAX_WHOLE_FILE_BYTES)),
