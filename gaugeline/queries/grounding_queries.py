@@ -14,6 +14,7 @@ from gaugeline.operators import findings
 from gaugeline.plans import evidence, grounding, reconcile
 from gaugeline.queries.registry import Tables, query
 from gaugeline.settings import Settings
+from gaugeline.sources import files
 
 SEVERITY = "CASE WHEN n >= 15 THEN 'high' WHEN n >= 10 THEN 'medium' ELSE 'low' END"
 CLAIMED = f"CASE WHEN n % 6 = 0 THEN 'high' ELSE {SEVERITY} END"
@@ -109,6 +110,11 @@ def reports(t: Tables) -> DataFrame:
     )
 
 
+def _stored(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Reports and observations as written tables, the form in which runs are kept."""
+    return files.materialized(reports(t), "reports"), files.materialized(observations(t), "observations")
+
+
 _ISSUE_COLUMNS = "run_id, source_tool, severity, \"column\", evidence"
 
 
@@ -192,7 +198,7 @@ _VIOLATIONS = " UNION ALL ".join(_RULES.values())
     f"{BASE_SQL} SELECT run_id, rule, count(*) AS n FROM ({_VIOLATIONS}) v GROUP BY run_id, rule",
 )
 def narrative_violations(t: Tables) -> DataFrame:
-    found = grounding.violations(reports(t), observations(t))
+    found = grounding.violations(*_stored(t))
     return found.groupBy("run_id", "rule").agg(F.count("*").alias("n"))
 
 
@@ -201,7 +207,7 @@ def narrative_violations(t: Tables) -> DataFrame:
     f"{BASE_SQL} SELECT run_id FROM obs GROUP BY run_id HAVING run_id NOT IN (SELECT run_id FROM ({_VIOLATIONS}) v)",
 )
 def accepted_reports(t: Tables) -> DataFrame:
-    accepted = grounding.validated_reports(reports(t), observations(t))
+    accepted = grounding.validated_reports(*_stored(t))
     return accepted.select("run_id")
 
 
