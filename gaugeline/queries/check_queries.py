@@ -306,7 +306,7 @@ def _outlier_sql(source: str, columns: list[str]) -> str:
         parts.append(
             f"SELECT {i} AS position, '{c}' AS \"column\", count(*) FILTER (WHERE v < lo OR v > hi) AS outlier_count, "
             "round(count(*) FILTER (WHERE v < lo OR v > hi) * 100.0 / count(*), 2)::DOUBLE AS outlier_pct, "
-            "round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound, "
+            "round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound, "
             "count(*) AS non_null_count FROM "
             f"(SELECT {v} AS v, q[1] - 1.5 * (q[2] - q[1]) AS lo, q[2] + 1.5 * (q[2] - q[1]) AS hi FROM {source}, "
             f"(SELECT quantile_cont({v}, [0.25, 0.75]) AS q FROM {source} WHERE {_finite_sql(c)}) b "
@@ -316,7 +316,12 @@ def _outlier_sql(source: str, columns: list[str]) -> str:
 
 
 def _outliers(df: DataFrame) -> DataFrame:
-    return numeric.outliers(df).drop("raw_lower", "raw_upper")
+    """Bounds to six digits: quartiles of cents often end in a tie at the fifth."""
+    found = numeric.outliers(df)
+    return found.select(
+        "position", "column", "outlier_count", "outlier_pct", F.round("raw_lower", 6).alias("lower_bound"),
+        F.round("raw_upper", 6).alias("upper_bound"), "non_null_count",
+    )
 
 
 @query("iqr_outliers_lineitem", _outlier_sql("lineitem", LINE_NUMERIC))
