@@ -158,6 +158,9 @@ def _dominated_columns(df: DataFrame, names: Sequence[str], share: float) -> lis
         ]
     )
     places = range(len(names))
+    # one row without values keeps the merge defined for a table without rows
+    blank = df.sparkSession.range(1).selectExpr(*[f"CAST(NULL AS BIGINT) AS h{i}" for i in places])
+    hashed = hashed.unionByName(blank)
     # sketches are merged in two steps, so that the last task sees a bounded number of
     # them however many tasks scanned the table
     grouped = hashed.selectExpr("*", f"pmod(spark_partition_id(), {SKETCH_GROUPS}) AS part").groupBy("part")
@@ -167,8 +170,8 @@ def _dominated_columns(df: DataFrame, names: Sequence[str], share: float) -> lis
         *[F.expr(f"approx_top_k_accumulate(h{i}, {SKETCH_ITEMS}) AS c{i}") for i in places],
     )
     row = partial.selectExpr(
-        "coalesce(sum(total), 0) AS total",
-        *[f"coalesce(sum(k{i}), 0) AS k{i}" for i in places],
+        "sum(total) - 1 AS total",
+        *[f"sum(k{i}) AS k{i}" for i in places],
         *[
             f"get(approx_top_k_estimate(approx_top_k_combine(c{i}, {SKETCH_ITEMS}), 1), 0).count AS c{i}"
             for i in places
