@@ -67,9 +67,9 @@ def forbidden_path(path: Column) -> Column:
     name = F.element_at(parts, -1)
     return (
         F.arrays_overlap(parts, F.array(*[F.lit(p) for p in V.FORBIDDEN_PATH_PARTS]))
-        | name.startswith("~$")
-        | path.isin(".env", ".streamlit/secrets.toml")
-        | path.startswith("data/benchmarks/")
+        | name.startswith(V.FORBIDDEN_NAME_PREFIX)
+        | path.isin(*V.FORBIDDEN_PATHS)
+        | path.startswith(V.FORBIDDEN_PATH_PREFIX)
     )
 
 

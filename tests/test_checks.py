@@ -227,3 +227,17 @@ def test_settings_validation():
         with pytest.raises(ValueError):
             Settings(**bad)
     assert Settings.from_env({"MISSING_HIGH_PCT": "50", "MAX_TOOL_CALLS": "3"}).max_tool_calls == 3
+
+
+def test_preview_reads_the_first_files_in_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 400).repartitionByRange(20, "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    files = sorted(df.inputFiles())
+    first = [r["id"] for r in spark.read.parquet(files[0]).collect()]
+    shown = C.preview_rows(df, 10)
+    assert [int(r["id"]) for r in shown.collect()] == first[:10]
+    assert C.preview_rows(df, 500).count() == C.V.FRAME_PREVIEW_ROWS
+    few = spark.range(3).coalesce(1)
+    few.write.parquet(str(tmp_path / "few"))
+    assert C.preview_rows(spark.read.parquet(str(tmp_path / "few")), 10).count() == 3
