@@ -63,6 +63,19 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
     )
 
 
+def bounded_data(data: dict, settings: Settings = DEFAULTS) -> tuple[dict, dict]:
+    """Trim long lists and mappings of one check's data; also returns how much was left out."""
+    caps = {list: settings.max_findings_per_tool, dict: settings.max_schema_columns}
+    kept, omitted = {}, {}
+    for name, value in data.items():
+        cap = caps.get(type(value))
+        if cap is not None and len(value) > cap:
+            omitted[name] = len(value) - cap
+            value = dict(list(value.items())[:cap]) if isinstance(value, dict) else value[:cap]
+        kept[name] = value
+    return kept, omitted
+
+
 def bounded_entries(entries: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """First ``limit`` entries of each list plus the number left out, for long data lists."""
     totals = entries.groupBy(*keys).agg(F.count("*").alias("total"))

@@ -101,6 +101,17 @@ def test_bounded_observations(spark):
     assert len(loose["findings"]) == 20 and loose["findings_omitted"] == 25
 
 
+def test_bounded_data_and_entries(spark):
+    data = {"rows": 5, "pairs": list(range(25)), "dtypes": {f"c{i}": "int64" for i in range(60)}}
+    kept, omitted = evidence.bounded_data(data)
+    assert (len(kept["pairs"]), len(kept["dtypes"]), kept["rows"]) == (20, 50, 5)
+    assert omitted == {"pairs": 5, "dtypes": 10}
+    entries = spark.range(30).selectExpr("id % 2 AS k", "id AS place")
+    rows = evidence.bounded_entries(entries, ["k"], "place", 4).collect()
+    assert len(rows) == 8 and {r["entries_omitted"] for r in rows} == {11}
+    assert sorted(r["place"] for r in rows) == list(range(8))
+
+
 def test_suite_feeds_grounding(spark):
     df = spark.range(100).selectExpr("CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS v", "IF(id >= 90, 'p', 'n') AS label")
     observed = C.suite(df, ["missing_values_check", "class_imbalance_check"], "label", run_id="r")
