@@ -25,3 +25,10 @@ def op2_language_id(spark: SparkSession, directory: str) -> DataFrame:
     from gaugeline.llm.langid import identify
 
     return identify(table(spark, directory, "documents"))
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    from gaugeline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, directory, "documents"))
