@@ -32,3 +32,12 @@ def op8_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     from gaugeline.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, directory, "documents"))
+
+
+@query
+def op9_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+
+    from gaugeline.llm.token_files import encode_documents
+
+    return encode_documents(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
