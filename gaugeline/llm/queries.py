@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeline.llm import chat, langid, minhash, mixing, token_files
+from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,22 +26,39 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 @query
 def op2_language_id(spark: SparkSession, directory: str) -> DataFrame:
-    from gaugeline.llm.langid import identify
-
-    return identify(table(spark, directory, "documents"))
+    return langid.identify(table(spark, directory, "documents"))
 
 
 @query
 def op8_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    from gaugeline.llm.minhash import near_duplicates
-
-    return near_duplicates(table(spark, directory, "documents"))
+    return minhash.near_duplicates(table(spark, directory, "documents"))
 
 
 @query
 def op9_token_files(spark: SparkSession, directory: str) -> DataFrame:
     import public_tokenizers
 
-    from gaugeline.llm.token_files import encode_documents
+    return token_files.encode_documents(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, directory, "documents"))
+
+
+ORACLES["op6_source_mixing"] = mixing.ORACLE
 
-    return encode_documents(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+@query
+def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
+    turns = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chat.CHALLENGE).alias("text"),
+    )
+    turns = turns.unionByName(added)
+    return chat.digests(materialized(chat.examples(turns), "chat-examples"))
+
+
+ORACLES["op10_chat_formatting"] = chat.ORACLE
