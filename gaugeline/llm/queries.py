@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat, langid, minhash, mixing, token_files
+from gaugeline.llm import chat, langid, licenses, minhash, mixing, token_files
 from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,11 @@ def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
 
 
 ORACLES["op10_chat_formatting"] = chat.ORACLE
+
+
+@query
+def op3_license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.licenses(table(spark, directory, "documents"))
+
+
+ORACLES["op3_license_scan"] = licenses.ORACLE
