@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat, decontaminate, langid, licenses, minhash, mixing, token_files
+from gaugeline.llm import chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files
 from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ ORACLES["op3_license_scan"] = licenses.ORACLE
 def op4_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.drop("text_hash")
+
+
+@query
+def op5_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    return html_text.extract(table(spark, directory, "pages"))
