@@ -306,4 +306,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(work, rows.drop("html").schema.add("text", "string").add("n_chars", "bigint"))
+    return rows.mapInArrow(work, rows.drop("html").schema.add("text", "string").add("n_chars", "long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files
+from gaugeline.llm import ann, chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files
 from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op4_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFr
 @query
 def op5_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
     return html_text.extract(table(spark, directory, "pages"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return ann.search(table(spark, directory, "embeddings"))
