@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import ann, chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files
+from gaugeline.llm import ann, chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files, toxicity
 from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op5_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op7_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     return ann.search(table(spark, directory, "embeddings"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.grade_documents(table(spark, directory, "documents"), table(spark, directory, "labels"))
