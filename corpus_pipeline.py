@@ -1,19 +1,58 @@
-"""Corpus preparation: STAGES over documents, each written as Parquet and read again."""
+"""Corpus preparation: STAGES over documents, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before it
+has kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugeline.llm.decontaminate import without_leaks
 from gaugeline.llm.langid import keep_identified
+from gaugeline.llm.minhash import keep_one_of_each
+from gaugeline.llm.mixing import mixed_documents
+from gaugeline.llm.token_files import encode_documents
 from gaugeline.sources.files import materialized
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     return keep_identified(docs)
 
 
-STAGES = [("language_id", language_id)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies: shingles of five words, similarity 0.8."""
+    return keep_one_of_each(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token ids of the mix, as (doc_id, start, n_tokens, ids_crc32) read from them."""
+    return encode_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_ids", token_ids),
+]
+#: Naive Bayes, components of near copies and a tokenizer are beyond SQL; tests/llm compare
+#: the stages with brute force.
 ORACLE_SQL = None
 
 
