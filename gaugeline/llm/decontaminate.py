@@ -43,22 +43,24 @@ def tokens(text: Column, values: bool = False) -> Column:
 
     Both forms have the same tokens at the same places.
     """
-    text = F.regexp_replace(F.translate(text, "#=", ""), _PLACEHOLDERS[0][1], "#a=$0" if values else "#a")
+    text = F.replace(F.replace(text, F.lit("#")), F.lit("="))
+    text = F.regexp_replace(text, _PLACEHOLDERS[0][1], "#a=$0" if values else "#a")
     number = "#n=$0" if values else "#n"
     text = F.regexp_replace(text, _PLACEHOLDERS[1][1], number)
     text = F.regexp_replace(text, _UNIT, "#u=$0" if values else "#u")
-    # punctuation stays inside numbers only, where templates have no digits left
-    text = F.regexp_replace(F.lower(text), r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})", " ")
-    return F.filter(F.split(text, " +"), lambda t: t != "")
+    # punctuation stays between digits only, and templates have none left
+    between = r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})" if values else r"[^\p{L}\p{N}#=]+"
+    return F.filter(F.split(F.lower(text), between), lambda t: t != "")
 
 
 def with_windows(rows: DataFrame) -> DataFrame:
     """``rows`` with their text's template tokens ``t`` and window hashes ``ws``.
 
-    Fewer tokens than a window are one window.  Each step is a projection of its own, so
-    that no lambda evaluates an array anew.
+    Fewer tokens than a window are one window, none are none.  Each step is a projection of
+    its own, so that no lambda evaluates an array anew; explode the windows by an outer
+    generator, as Spark would filter by the array's size before it is computed otherwise.
     """
-    rows = rows.withColumn("t", tokens(F.col("text"))).where(F.size("t") > 0)
+    rows = rows.withColumn("t", tokens(F.col("text")))
     rows = rows.withColumn("h", F.transform("t", lambda t: F.xxhash64(t)))
     shifted = [F.slice("h", F.lit(k + 1), F.greatest(F.size("h") - k, F.lit(0))).alias(f"h{k}") for k in range(WINDOW)]
     rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(1))))
@@ -72,7 +74,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     Items without such a window are never matched; rows of one item_id are merged.
     """
     rows = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    rows = with_windows(rows).select("item_id", "t", F.posexplode("ws").alias("ipos", "w"))
+    rows = with_windows(rows).select("item_id", "t", F.posexplode_outer("ws").alias("ipos", "w")).where("w is not null")
     literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda t: ~F.contains(t, F.lit("#"))))
     kept = rows.where((literal >= LITERALS) | (F.size("t") < WINDOW)).groupBy("item_id", "ipos", "w").agg(F.lit(1).alias("x"))
     counts = kept.groupBy("item_id").agg(F.count("*").alias("n_windows"))
@@ -96,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     rows = docs.select("doc_id", text.alias("text")).where(F.length("text") > 0)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = materialized(item_windows(benchmark), "item-windows")
-    places = with_windows(rows).select("doc_id", "text_hash", F.posexplode("ws").alias("dpos", "w"))
+    places = with_windows(rows).select("doc_id", "text_hash", F.posexplode_outer("ws").alias("dpos", "w"))
     hits = places.join(_small(known, BROADCAST_WINDOWS), "w").select(
         "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset")
     )
