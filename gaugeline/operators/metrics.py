@@ -14,7 +14,7 @@ from gaugeline.columns import (
     is_numeric,
     present_sql,
     sql_text,
-    visible_columns,
+    leading_columns,
 )
 from gaugeline.functions.local import small_table
 from gaugeline.operators.distinct import (
@@ -92,8 +92,8 @@ def dataset_profile(
     df: DataFrame, target: str | None = None, types: Mapping[str, str] | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """One row per visible column: type, distinct values, missing values."""
-    names = visible_columns(df.columns, target, V.PROFILE_COLUMNS)
+    """One row per column: type, distinct values, missing values."""
+    names = leading_columns(df.columns, settings.max_profile_columns, target)
     labels = [(types or {}).get(c) or dtype_label(df.schema[c].dataType) for c in names]
     kinds = ["numeric" if is_numeric(df.schema[c].dataType) else "categorical" for c in names]
     counted = distinct_counts(df, names, long_text_columns(df, names, settings))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,8 @@ def pearson_pairs(
     of deviations from those means, which keeps the sums well conditioned and in plain
     generated code.  Two columns without gaps share their column sums with every other
     such pair; a pair with gaps sums over its own complete rows.  r is NULL when a
-    column does not vary over the rows of the pair.
+    column does not vary over the rows of the pair.  Tables of more than ``CODE_COLUMNS``
+    columns take the sums of the second scan as matrix products, task by task.
     """
     names = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
     pairs = list(combinations(range(len(names)), 2))
@@ -98,6 +101,8 @@ def pearson_pairs(
     shifted = values.selectExpr(
         *[f"x{i} - double('{first[f'm{i}'] or 0.0!r}') AS d{i}" for i in range(len(names))]
     )
+    if len(names) > CODE_COLUMNS:
+        return _pearson(_gram_moments(shifted, names))
     shared = [(k, i, j) for k, (i, j) in enumerate(pairs) if i in whole and j in whole]
     gapped = [(k, i, j) for k, (i, j) in enumerate(pairs) if not (i in whole and j in whole)]
     jobs = []
@@ -137,6 +142,55 @@ def pearson_pairs(
     return _pearson(moments)
 
 
+GRAM_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+# columns above which generated code for all pairs grows too large
+CODE_COLUMNS = 24
+# variance that rounding alone can leave in n * sum of squares, relative to it
+ROUNDING = 1e-12
+
+
+def _gram_task(fields: tuple[str, ...]):
+    """Task function: sums over the complete rows of every pair of columns, one row a pair.
+
+    It closes over plain values and modules only, so workers need no copy of this package.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = None
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(values)
+            x, m = np.where(there, values, 0.0), there.astype(float)
+            parts = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            totals = parts if totals is None else totals + parts
+        if totals is not None:
+            i, j = np.triu_indices(totals.shape[1], 1)
+            columns = [pa.array(np.arange(len(i)), pa.int64()), pa.array(i, pa.int64()), pa.array(j, pa.int64())]
+            columns += [pa.array(part[i, j], pa.float64()) for part in totals]
+            yield pa.RecordBatch.from_arrays(columns, names=["position", "i", "j", *fields])
+
+    return sums
+
+
+def _gram_moments(shifted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Moments of all pairs; tasks send one row a pair, added up by pair."""
+    schema = "position bigint, i bigint, j bigint, " + ", ".join(f"{s} double" for s in GRAM_SUMS)
+    added = (
+        shifted.mapInArrow(_gram_task(GRAM_SUMS), schema)
+        .groupBy("position", "i", "j")
+        .agg(*[F.sum(s).alias(s) for s in GRAM_SUMS])
+    )
+    listed = F.array(*[F.lit(n) for n in names])
+    varies = F.lit(True)
+    for v in "xy":
+        squares = F.col("n") * F.col(f"s{v}{v}")
+        varies &= squares - F.col(f"s{v}") * F.col(f"s{v}") > ROUNDING * squares
+    return added.select(
+        F.col("position").cast("int"), F.get(listed, F.col("i")).alias("left"),
+        F.get(listed, F.col("j")).alias("right"), *GRAM_SUMS, varies.alias("varies"),
+    )
+
+
 def _moments(k: int, left: str, right: str, *values: str) -> str:
     fields = ("n", "sx", "sy", "sxx", "syy", "sxy", "varies")
     shown = ", ".join(f"{v} AS {f}" for v, f in zip(values, fields))

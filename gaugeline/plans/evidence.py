@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.checks import Dataset, as_dataset
-from gaugeline.columns import categorical_columns, numeric_columns, visible_columns
+from gaugeline.columns import categorical_columns, leading_columns, numeric_columns
 from gaugeline.functions.sanitize import nonfinite_to_null
 from gaugeline.operators.findings import FINDING_FIELDS, leading_rows
 from gaugeline.settings import DEFAULTS, Settings
@@ -65,7 +65,7 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
 
 def bounded_data(data: dict, settings: Settings = DEFAULTS) -> tuple[dict, dict]:
     """Trim long lists and mappings of one check's data; also returns how much was left out."""
-    caps = {list: settings.max_findings_per_tool, dict: settings.max_schema_columns}
+    caps = {list: settings.max_findings_per_tool, dict: settings.max_schema_columns or None}
     kept, omitted = {}, {}
     for name, value in data.items():
         cap = caps.get(type(value))
@@ -89,18 +89,15 @@ def schema_context(
 ) -> dict:
     """Shape and column types only; cell values never enter it."""
     ds = as_dataset(source)
-    shown = visible_columns(ds.columns, target, settings.max_schema_columns)
-    numeric, other = set(numeric_columns(ds.df)), set(categorical_columns(ds.df))
-    return {
-        "rows": ds.row_count, "columns": len(ds.columns), "backend": "spark",
-        "schema": [{"name": c, "dtype": ds.dtypes[c]} for c in shown],
-        "numeric_columns": [c for c in shown if c in numeric],
-        "categorical_columns": [c for c in shown if c in other],
-        "target_column": target if target in ds.columns else None,
-        "schema_truncated": len(ds.columns) > settings.max_schema_columns,
-        "schema_columns_omitted": max(0, len(ds.columns) - len(shown)),
-        "selected_numeric_columns": selected,
-    }
+    shown = leading_columns(ds.columns, settings.max_schema_columns, target)
+    omitted = len(ds.columns) - len(shown)
+    kinds = {"numeric_columns": numeric_columns(ds.df), "categorical_columns": categorical_columns(ds.df)}
+    context = {kind: [c for c in shown if c in set(names)] for kind, names in kinds.items()}
+    context |= {"schema": [{"name": c, "dtype": ds.dtypes[c]} for c in shown]}
+    context |= {"schema_columns_omitted": omitted, "schema_truncated": omitted > 0}
+    context |= {"target_column": target if target in ds.columns else None}
+    context |= {"selected_numeric_columns": selected}
+    return context | {"rows": ds.row_count, "columns": len(ds.columns), "backend": "spark"}
 
 
 def evidence_bundle(

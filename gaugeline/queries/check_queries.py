@@ -597,7 +597,7 @@ def suite_observations(t: Tables) -> DataFrame:
 )
 def skip_reasons(t: Tables) -> DataFrame:
     """A free-text target and more numeric columns than the limit allows."""
-    tight = checks.Settings(max_numeric_columns=1)
+    tight = checks.Settings(max_numeric_columns=1, max_label_bytes=256)
     observed = checks.suite(t.documents, ["class_imbalance_check", "correlation_check"], "text", tight)
     return observed.select(
         "tool", "status", F.size("execution.columns_checked").alias("columns_checked"),

@@ -286,10 +286,9 @@ def evidence_written(t: Tables) -> DataFrame:
 
 def _truth_sql(profile: str) -> str:
     source = "(SELECT CASE WHEN o_orderkey % 100 = 99 THEN o_orderkey - 1 ELSE o_orderkey END AS s, o_orderkey FROM orders) t"
-    rows = [("rows", "rows", "count(*)")]
-    if profile != "wide_numeric":
-        rows.append(("duplicate_count", "rows", "count(*) FILTER (WHERE o_orderkey % 100 = 99)"))
-    rows += [
+    rows = [
+        ("rows", "rows", "count(*)"),
+        ("duplicate_count", "rows", "count(*) FILTER (WHERE o_orderkey % 100 = 99)"),
         ("class", "positive", "count(*) FILTER (WHERE s % 10 = 9)"),
         ("class", "negative", "count(*) FILTER (WHERE s % 10 <> 9)"),
     ]
@@ -321,13 +320,12 @@ def _measured(df: DataFrame) -> DataFrame:
             F.lit("class").alias("kind"), F.col("class").alias("key"), F.col("count").alias("value")
         ),
     ]
-    if len(df.columns) <= V.DUPLICATE_MAX_COLUMNS:
-        parts.append(
-            metrics.duplicate_rows(df).select(
-                F.lit("duplicate_count").alias("kind"), F.lit("rows").alias("key"),
-                F.col("duplicate_count").alias("value"),
-            )
+    parts.append(
+        metrics.duplicate_rows(df).select(
+            F.lit("duplicate_count").alias("kind"), F.lit("rows").alias("key"),
+            F.col("duplicate_count").alias("value"),
         )
+    )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -336,8 +334,6 @@ def _register(profile: str) -> None:
     def run(t: Tables) -> DataFrame:
         table = synthetic.synthetic_table(t.orders, "o_orderkey", profile)
         truth = synthetic.manifest(t.orders, "o_orderkey", profile).withColumnRenamed("expected", "value")
-        if len(table.columns) > V.DUPLICATE_MAX_COLUMNS:
-            truth = truth.filter("kind <> 'duplicate_count'")
         return reconcile.reconcile(truth, _measured(table), ["kind", "key"], "value")
 
 

@@ -12,30 +12,30 @@ from gaugeline.sources import synthetic
 def gaps_and_copies(spark):
     rows = [
         (
-            None if i in (2, 5, 8, 11, 14, 17) else float(20 + i),
-            None if i in (4, 10, 16) else float(30000 + 1000 * i),
-            ["Pune", "Mumbai", "Delhi"][i % 3],
-            "same",
+            None if i % 4 == 1 and i < 24 else i / 8,
+            None if i % 9 == 0 and i < 27 else 7.5 * i - 3,
+            "north east south west".split()[i * i % 4 + i % 2],
+            "fixed",
         )
         for i in range(28)
     ]
-    rows += [rows[3], rows[7]]
-    return spark.createDataFrame(rows, "age double, income double, city string, constant_feature string")
+    rows += [rows[2], rows[6]]
+    return spark.createDataFrame(rows, "depth double, flow double, side string, plant string")
 
 
 def test_missing_duplicates_constants(spark):
     ds = C.Dataset(gaps_and_copies(spark))
     missing = ds.run_check("missing_values_check")
     assert missing.data["affected_columns"] == [
-        {"column": "age", "missing_count": 6, "missing_pct": 20.0, "severity": "medium"},
-        {"column": "income", "missing_count": 3, "missing_pct": 10.0, "severity": "medium"},
+        {"column": "depth", "missing_count": 6, "missing_pct": 20.0, "severity": "medium"},
+        {"column": "flow", "missing_count": 3, "missing_pct": 10.0, "severity": "medium"},
     ]
     assert missing.findings[0]["evidence"] == "6/30 values missing (20.0%)"
     copies = ds.run_check("duplicate_rows_check")
     assert copies.data == {"duplicate_count": 2, "duplicate_pct": 6.67}
     assert copies.findings[0]["column"] is None
     constant = ds.run_check("constant_columns_check")
-    assert [c["column"] for c in constant.data["constant_columns"]] == ["constant_feature"]
+    assert [c["column"] for c in constant.data["constant_columns"]] == ["plant"]
     assert "100.00%" in constant.findings[0]["evidence"]
     json.dumps([missing.to_dict(), copies.to_dict(), constant.to_dict()])
 
@@ -53,7 +53,7 @@ def test_class_imbalance(spark):
     )
     unique = ds.run_check("high_cardinality_check")
     assert [c["column"] for c in unique.data["candidates"]] == ["record_id"]
-    many = ds.run_check("class_imbalance_check", "record_id")
+    many = ds.run_check("class_imbalance_check", "record_id", Settings.interactive())
     assert many.status == "skipped" and many.data == {"unique_classes": 100}
     assert ds.run_check("class_imbalance_check").status == "skipped"
     assert ds.run_check("class_imbalance_check", "nowhere").status == "skipped"
@@ -113,7 +113,7 @@ def test_empty_table(spark):
 
 def test_wide_guards_and_subset(spark):
     df = spark.createDataFrame([tuple(i * (k + 1) for k in range(51)) for i in range(6)], ", ".join(f"v{k} long" for k in range(51)))
-    ds = C.Dataset(df)
+    ds = C.Dataset(df, settings=Settings.interactive())
     for name in ("duplicate_rows_check", "outlier_check", "correlation_check"):
         seen = ds.run_check(name)
         assert seen.status == "skipped" and seen.execution["columns_checked"] == []
@@ -127,6 +127,28 @@ def test_wide_guards_and_subset(spark):
         ds.run_check("nothing")
 
 
+def test_wide_tables_are_checked_whole_by_default(spark):
+    rows = [tuple(float((i * (k + 3) + k * k) % (5 + k)) if (i + k) % 9 else None for k in range(60)) for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[0]], ", ".join(f"v{k} double" for k in range(60)))
+    ds = C.Dataset(df)
+    assert ds.run_check("duplicate_rows_check").data["duplicate_count"] == 1
+    assert len(ds.run_check("outlier_check").data["columns"]) == 60
+    assert len(ds.run_check("dataset_profile").data["unique_counts"]) == 60
+    want = df.toPandas().corr(min_periods=1)
+    got = {(r["left"], r["right"]): r["r"] for r in numeric.pearson_pairs(df).collect()}
+    assert len(got) == 60 * 59 // 2
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a, b in got)
+    assert ds.run_check("correlation_check").status == "ok"
+    trace = C.run_checks(ds, target="v0")
+    assert [e["status"] for e in trace.events] == ["ok"] * len(C.V.CHECK_NAMES)
+
+
+def test_many_classes(spark):
+    df = spark.range(900).selectExpr("id % 300 AS k")
+    seen = C.run_check(df, "class_imbalance_check", "k", Settings(max_listed_classes=100))
+    assert seen.status == "ok" and seen.data["classes_omitted"] == 199
+    assert classes.class_distribution(df, "k").count() == 300
+
 def test_coverage_lists(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, "a")] * 4, "x double, y double, z double, label string")
     seen = C.run_check(df, "outlier_check", columns=["x"])
@@ -137,15 +159,15 @@ def test_coverage_lists(spark):
 def test_long_labels_never_appear(spark):
     label = "é" * 200
     df = spark.createDataFrame([(label,), ("b",)] * 5, "label string")
-    seen = C.run_check(df, "class_imbalance_check", "label")
+    seen = C.run_check(df, "class_imbalance_check", "label", Settings.interactive())
     assert seen.status == "skipped" and label not in json.dumps(seen.to_dict(), ensure_ascii=False)
 
 
 def test_identifier_columns(spark):
     rows = [(20 + i, 1000.5 + i, 7000 + i, f"C{i}") for i in range(25)]
-    df = spark.createDataFrame(rows, "age long, income double, student_id long, record_code string")
+    df = spark.createDataFrame(rows, "level long, weight double, member_id long, batch_code string")
     seen = C.run_check(df, "high_cardinality_check")
-    assert [c["column"] for c in seen.data["candidates"]] == ["student_id", "record_code"]
+    assert [c["column"] for c in seen.data["candidates"]] == ["member_id", "batch_code"]
 
 
 def test_memo_is_isolated(spark):
@@ -172,7 +194,7 @@ def test_suite_budgets_and_errors(spark):
     assert trace.events[2]["summary"] == "Diagnostic failed: RuntimeError"
     assert trace.events[0]["selection_reason"] == "why not"
     table = C.observations_table(spark, trace)
-    assert table.count() == 4 and table.first()["findings"][0]["column"] == "age"
+    assert table.count() == 4 and table.first()["findings"][0]["column"] == "depth"
 
 
 def test_duplicate_plans_agree(spark):
@@ -222,8 +244,8 @@ def test_synthetic_truth(spark, profile):
 
 
 def test_settings_validation():
-    for bad in ({"missing_medium_pct": 40.0}, {"near_constant_ratio": 0.0}, {"max_tool_calls": 0},
-                {"max_observation_bytes": 100}, {"max_local_compute_seconds": 0.0}):
+    for bad in ({"missing_medium_pct": 40.0}, {"near_constant_ratio": 0.0}, {"max_tool_calls": -1},
+                {"max_observation_bytes": 100}, {"max_local_compute_seconds": -1.0}):
         with pytest.raises(ValueError):
             Settings(**bad)
     assert Settings.from_env({"MISSING_HIGH_PCT": "50", "MAX_TOOL_CALLS": "3"}).max_tool_calls == 3
