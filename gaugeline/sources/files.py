@@ -112,16 +112,16 @@ def inspect_files(spark: SparkSession, path: str | list[str], settings: Settings
         F.bool_and(_single_line(value)).alias("neat"),
         F.min_by(value, head).alias("header"),
     )
-    limit = settings.max_upload_mb * 1024**2
+    limit = settings.max_upload_mb * 1024**2 or MAX_WHOLE_FILE_BYTES
     reason = (
-        F.when(~F.lower("file").endswith(".csv"), "Upload a .csv file.")
+        F.when(~F.lower("file").endswith(".csv"), "The name does not end in .csv.")
         .when(
-            (F.coalesce("lines", F.lit(0)) == 0) | (F.size("starts") == 0), "The CSV file is empty."
+            (F.coalesce("lines", F.lit(0)) == 0) | (F.size("starts") == 0), "There is no record in the file."
         )
-        .when(F.col("binary"), "The file appears to be binary rather than CSV text.")
+        .when(F.col("binary"), "The file holds NUL characters, so it is no text.")
         .when(
             ~(F.col("utf8") & F.col("neat")) & (F.col("bytes") > min(limit, MAX_WHOLE_FILE_BYTES)),
-            f"A file with multi-line or non-UTF-8 records exceeds the {settings.max_upload_mb} MB limit.",
+            "A file with multi-line or non-UTF-8 records is too large for the record parser.",
         )
     )
     return listing.join(scanned, "file", "left").select(
