@@ -39,7 +39,7 @@ def clean_reason(reason: str) -> str:
 
 def redacted(
     text: Column, secrets: tuple[str, ...] = (), root: str | None = None,
-    limit: int | None = V.REDACTION_LIMIT,
+    limit: int | None = None,
 ) -> Column:
     """Known secrets, credential shapes, bearer tokens and local paths become placeholders."""
     out = text
@@ -106,6 +106,10 @@ def unsupported_assurance(text: Column) -> Column:
 # -- numeric literals -----------------------------------------------------------------
 
 
+#: Sign, whole digits, decimals and power of a number.
+NUMBER_PARTS = r"^([+-]?)(?=\.?[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+
+
 def number_texts(text: Column) -> Column:
     """Array of the numeric literals in a text, as written."""
     return F.regexp_extract_all(text, F.lit(UNICODE + V.NUMBER_PATTERN), F.lit(0))
@@ -114,12 +118,22 @@ def number_texts(text: Column) -> Column:
 def number_key(literal: Column) -> Column:
     """Comparison key: equal numbers give equal keys however they are written.
 
-    Exact decimals where they fit; beyond that range the double value, and the text itself
-    for digits of other scripts.
+    The key is made of digits, exactly and at any length: sign, digits without outer zeros
+    and the power of ten of the last one.  Zero is ``0`` with any sign; texts that are no
+    plain ASCII number, such as digits of other scripts, are their own keys.
     """
     plain = F.regexp_replace(literal, ",", "")
-    exact = plain.try_cast("decimal(38,18)").cast("string")
-    return F.coalesce(exact, plain.try_cast("double").cast("string"), plain)
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(plain, NUMBER_PARTS, group)
+
+    power = F.coalesce(F.nullif(part(4), F.lit("")), F.lit("0")).try_cast("decimal(38,0)")
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    last = power - F.length(part(3)) + F.length(digits) - F.length(short)
+    sign = F.when(part(1) == "-", "-").otherwise("")
+    key = F.when(short == "", "0").otherwise(F.concat(sign, short, F.lit("e"), last.cast("string")))
+    return F.coalesce(F.when(plain.rlike(NUMBER_PARTS), key), plain)
 
 
 def number_keys(text: Column) -> Column:

@@ -18,9 +18,15 @@ except ImportError:  # plain substring tests give the same matches
 
 
 def link_targets(text: Column, pattern: str = V.MARKDOWN_LINK_PATTERN) -> Column:
-    """Distinct link destinations without fragment; anchors and mail links drop out."""
+    """Distinct link destinations, decoded and without fragment; anchors and mail links drop out.
+
+    ``+`` stands for itself; a destination with a broken escape stays as it is written.
+    """
     raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    bare = F.transform(raw, lambda d: F.regexp_replace(F.regexp_replace(d, "^<+|>+$", ""), "#.*$", ""))
+    cut = F.transform(raw, lambda d: F.regexp_replace(F.regexp_replace(d, "^<+|>+$", ""), "#.*$", ""))
+    bare = F.transform(
+        cut, lambda d: F.coalesce(F.try_url_decode(F.replace(d, F.lit("+"), F.lit("%2B"))), d)
+    )
     return F.array_distinct(F.filter(bare, lambda d: (d != "") & ~d.startswith("mailto:")))
 
 
@@ -29,9 +35,34 @@ def is_external(target: Column) -> Column:
 
 
 def dangling_links(pages: DataFrame, key: str, links: Column, known: DataFrame) -> DataFrame:
-    """(key, target) of links to a target outside ``known(target)``."""
+    """(key, target) of links to a target outside ``known(target)``.
+
+    Each target is looked up once however many pages link to it; only the dangling ones
+    meet the links again, and there a popular one is an inner join that Spark can split.
+    """
     listed = pages.select(key, F.explode(links).alias("target"))
-    return listed.join(known.select("target").distinct(), "target", "left_anti").select(key, "target")
+    missing = listed.select("target").distinct().join(known.select("target").distinct(), "target", "left_anti")
+    return listed.join(missing, "target").select(key, "target")
+
+
+def resolved(target: Column, page: Column) -> Column:
+    """A link's path from the root of the tree, for a link written on ``page``.
+
+    A leading slash means the root; ``.`` and ``..`` are followed; a path that leaves the
+    tree keeps its leading ``..``.
+    """
+    folder = F.regexp_replace(page, "[^/]*$", "")
+    whole = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
+    steps = F.filter(F.split(whole, "/"), lambda s: (s != "") & (s != "."))
+    none = F.array().cast("array<string>")
+    climbed = F.aggregate(
+        steps, none,
+        lambda path, s: F.when(
+            (s == "..") & (F.size(path) > 0) & (F.element_at(path, -1) != ".."),
+            F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))),
+        ).otherwise(F.concat(path, F.array(s))),
+    )
+    return F.array_join(climbed, "/")
 
 
 def usable_secrets(settings_table: DataFrame) -> DataFrame:

@@ -28,10 +28,14 @@ def test_number_literals_match_brute_force(spark, documents):
     assert outputs(df, text.number_texts(F.col("v"))) == [
         [m.group() for m in re.finditer(V.NUMBER_PATTERN, s)] for s in samples
     ]
-    values = ["1.50", "1.5", "1,000", "1e3", "+2", "-0.250", ".25"]
+    values = [
+        "1.50", "1.5", "1,000", "1e3", "+2", "-0.250", ".25", "1e-30", "0", "-0.0", "0e9", "1,000.50", "1000.5",
+        "100000000000000000000001", "100000000000000000000002", "0.1234567890123456789012345", "12e400", "007", "5."
+    ]
     keys = outputs(column(spark, values), text.number_key(F.col("v")))
     assert [Decimal(k) for k in keys] == [Decimal(v.replace(",", "")) for v in values]
-    assert keys[0] == keys[1] and keys[2] == keys[3]
+    exact = [Decimal(v.replace(",", "")) for v in values]
+    assert all((a == b) == (x == y) for a, x in zip(keys, exact) for b, y in zip(keys, exact))
 
 
 @pytest.fixture(scope="module")
