@@ -67,7 +67,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     open_ = F.when(cap > F.col("level") * weight, F.struct(cap / weight, "sid", "level"))
     chosen = F.min(open_).over(every)["level"]
     filled = leveled.withColumn("target", F.coalesce(F.least(cap.cast("double"), chosen * weight), F.lit(0.0)))
-    share = F.col("target") / F.sum("target").over(every)
+    share = F.coalesce(F.try_divide(F.col("target"), F.sum("target").over(every)), F.lit(0.0))
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     return filled.withColumn("share", share).select(
         "sid", "source", "source_size", "weight", "target",
