@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Spellings that mean the same, applied to lower-case words in this order.
 EQUIVALENTS = (
-    ("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
+    ("sub-license", "sublicense"),
     ("organisation", "organization"), ("merchantibility", "merchantability"),
     ("noncommercial", "non commercial"), ("whilst", "while"), ("favour", "favor"),
     ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("https", "http"),
