@@ -1,7 +1,7 @@
 """Licence scan by canonical digest: whole texts and whole lines against known licences.
 
-A text is brought to a canonical form: lower case, copyright lines taken out, equivalent
-spellings made one, punctuation and white space reduced to single spaces.  The md5 of the
+A text is brought to a canonical form: lower case, copyright lines taken out, punctuation
+and white space reduced to single spaces, equivalent spellings made one.  The md5 of the
 form of a whole document, and of each of its lines, is joined to the digests of the known
 licence texts and notices.  DataFrame functions only; the known side is a small table that
 Spark broadcasts by its own size rule.
@@ -9,14 +9,15 @@ Spark broadcasts by its own size rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spellings that mean the same, applied to lower-case words in this order.
+from gaugeline.sources.files import materialized
+
+#: Spellings that mean the same, applied to canonical words in this order.
 EQUIVALENTS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
-    ("sub-license", "sublicense"),
-    ("organisation", "organization"), ("merchantibility", "merchantability"),
+    ("sub license", "sublicense"), ("organisation", "organization"), ("merchantibility", "merchantability"),
     ("noncommercial", "non commercial"), ("whilst", "while"), ("favour", "favor"),
     ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("https", "http"),
 )
@@ -84,29 +85,27 @@ KNOWN = (
     ("All rights reserved", "All rights reserved."),
 )
 
-_STEPS = (
-    (r"[\r\n]+", "\n"),
-    # a copyright line: years and holder, with or without a sign
-    (r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*", "\n"),
-    *((rf"\b{a}\b", b) for a, b in EQUIVALENTS),
-    (r"[^a-z0-9\n]+", " "),
-    (r"\s+", " "),
-)
+#: A copyright line: years and holder, with or without a sign.
+_COPYRIGHT = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+_BETWEEN = "[^a-z0-9]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; what is left empty is ''."""
-    text = F.lower(text)
-    for pattern, by in _STEPS:
-        text = F.regexp_replace(text, pattern, by if "(^|" not in pattern else "\n")
-    return F.trim(text)
+def plain_form(lower: Column) -> Column:
+    """A lower-case text without copyright lines, its words joined by single spaces."""
+    marked = lower.contains("copyright") | lower.contains("(c)") | lower.contains("©")
+    kept = F.when(marked, F.regexp_replace(lower, _COPYRIGHT, "\n")).otherwise(lower)
+    return F.trim(F.regexp_replace(kept, _BETWEEN, " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of the known texts; a digest has one licence, the first by name."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in known))
-    rows = spark.range(1).select(F.inline(pairs))
-    return rows.groupBy(F.md5(canonical(F.col("body"))).alias("digest")).agg(F.min("license").alias("license"))
+def same_spelling(form: Column) -> Column:
+    for a, b in EQUIVALENTS:
+        form = F.regexp_replace(form, rf"\b{a}\b", b)
+    return form
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a text; what is left empty is ''."""
+    return same_spelling(plain_form(F.lower(text)))
 
 
 def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -117,32 +116,33 @@ def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     doc_id, null too, count together; columns other than doc_id and text are not read.
     ``known`` is a table (license, text) in place of the built-in one.
     """
-    digests = known_digests(docs.sparkSession)
-    if known is not None:
-        digests = (
-            known.where("text is not null")
-            .groupBy(F.md5(canonical(F.col("text"))).alias("digest"))
-            .agg(F.min("license").alias("license"))
-        )
+    if known is None:
+        pairs = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("text")) for a, b in KNOWN))
+        known = docs.sparkSession.range(1).select(F.inline(pairs))
+    forms = known.where("text is not null").select("license", canonical(F.col("text")).alias("form"))
+    forms = materialized(forms, "licenses")
+    # spelling takes less than half of a word away, so longer forms than this match nothing
+    longest = 2 * (forms.agg(F.max(F.length("form"))).first()[0] or 0)
+    digests = forms.groupBy(F.md5("form").alias("digest")).agg(F.min("license").alias("license"))
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text")).where(F.length(text) > 0)
-    whole = F.struct(F.lit("document").alias("scope"), F.col("text").alias("body"))
-    lines = F.transform(
-        F.split("text", r"[\r\n]+"), lambda x: F.struct(F.lit("line").alias("scope"), x.alias("body"))
-    )
+    lines = F.split("text", r"[\r\n]+")
     # a text of one line is a document, not a line of one
-    units = rows.select("doc_id", F.explode(F.concat(F.array(whole), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<struct<scope:string,body:string>>")))).alias("u"))
-    units = units.select("doc_id", "u.scope", canonical(F.col("u.body")).alias("form"))
-    found = units.where("form != ''").withColumn("digest", F.md5("form")).join(digests, "digest")
+    bodies = F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
+    lowered = F.transform(bodies, lambda x: F.lower(x))
+    formed = F.transform(lowered, lambda x: plain_form(x))
+    units = docs.select("doc_id", text.alias("text")).select("doc_id", F.posexplode_outer(formed).alias("place", "form"))
+    scope = F.when(F.col("place") == 0, "document").otherwise("line")
+    short = units.where(F.length("form").between(1, longest)).select("doc_id", scope.alias("scope"), "form")
+    found = short.withColumn("digest", F.md5(same_spelling(F.col("form")))).join(digests, "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n"))
 
 
 def _sql_form(column: str) -> str:
-    form = f"lower({column})"
-    for pattern, by in _STEPS:
-        by = "chr(10)" if by == "\n" else f"'{by}'"
-        form = f"regexp_replace({form}, '{pattern}', {by}, 'g')"
-    return f"trim({form})"
+    form = f"regexp_replace(lower({column}), '{_COPYRIGHT}', chr(10), 'g')"
+    form = f"trim(regexp_replace({form}, '{_BETWEEN}', ' ', 'g'))"
+    for a, b in EQUIVALENTS:
+        form = rf"regexp_replace({form}, '\b{a}\b', '{b}', 'g')"
+    return form
 
 
 def _values() -> str:
