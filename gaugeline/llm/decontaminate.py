@@ -30,12 +30,11 @@ UNITS = (
     "liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent degrees mph kmh"
 ).split()
 
-_PLACEHOLDERS = (
-    # a name: a capitalised word whose sentence has begun before it
-    ("a", r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"),
-    ("n", r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"),
-)
-_UNIT = r"(?i)(?<=[0-9n]\s)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
+#: A name: a capitalised word whose sentence has begun before it.  The patterns test the
+#: word's own first letter before they look back, as that settles most places.
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
+_NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+_UNIT = r"(?i)(?<=\p{Nd}\s|#n\s)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
 
 
 def tokens(text: Column, values: bool = False) -> Column:
@@ -43,11 +42,11 @@ def tokens(text: Column, values: bool = False) -> Column:
 
     Both forms have the same tokens at the same places.
     """
+    shown = "=$0" if values else ""
     text = F.replace(F.replace(text, F.lit("#")), F.lit("="))
-    text = F.regexp_replace(text, _PLACEHOLDERS[0][1], "#a=$0" if values else "#a")
-    number = "#n=$0" if values else "#n"
-    text = F.regexp_replace(text, _PLACEHOLDERS[1][1], number)
-    text = F.regexp_replace(text, _UNIT, "#u=$0" if values else "#u")
+    measured = F.regexp_replace(F.regexp_replace(text, _NUMBER, f"#n{shown}"), _UNIT, f"#u{shown}")
+    text = F.when(text.rlike(r"\p{Nd}"), measured).otherwise(text)
+    text = F.regexp_replace(text, _NAME, f"#a{shown}")
     # punctuation stays between digits only, and templates have none left
     between = r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})" if values else r"[^\p{L}\p{N}#=]+"
     return F.filter(F.split(F.lower(text), between), lambda t: t != "")

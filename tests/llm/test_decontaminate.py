@@ -7,9 +7,8 @@ from gaugeline.llm import decontaminate as dc
 
 def plain_tokens(text):
     text = regex.sub(r"[#=]", "", text or "")
-    text = regex.sub(dc._PLACEHOLDERS[0][1], "#a", text)
-    text = regex.sub(dc._PLACEHOLDERS[1][1], "#n", text)
-    text = regex.sub(dc._UNIT, "#u", text)
+    text = regex.sub(dc._UNIT, "#u", regex.sub(dc._NUMBER, "#n", text))
+    text = regex.sub(r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "#a", text)
     return regex.sub(r"[^\p{L}\p{N}#=]+", " ", text.lower()).split()
 
 
