@@ -27,7 +27,24 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="gaugeline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete the folders that jobs of this process have written under the shared folder.
+
+    To be called when no frame that reads them is needed any more; returns their number.
+    """
+    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:

@@ -154,3 +154,11 @@ def test_digest_modes(spark, tmp_path):
     plain = {r["sha256"] for r in files.file_digests(spark, str(tmp_path)).collect()}
     same = {r["sha256"] for r in files.file_digests(spark, str(tmp_path), line_feeds=True).collect()}
     assert len(plain) == 2 and len(same) == 1
+
+
+def test_work_folders_can_be_dropped(spark):
+    df = files.materialized(spark.range(10), "probe")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 10 and files.drop_work(spark) >= 1 and files.drop_work(spark) == 0
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(folder).count()
