@@ -56,9 +56,11 @@ def test_chains_ties_and_empty_texts(spark):
     assert got == brute(rows)
 
 
-def test_large_group_with_stragglers(spark):
+@pytest.mark.parametrize("limit", [0, 400_000])
+def test_large_group_with_stragglers(spark, monkeypatch, limit):
     import random
 
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", limit)
     pick = random.Random(4)
     base = [f"b{i}" for i in range(50)]
     rows = []
