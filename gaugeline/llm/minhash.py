@@ -9,8 +9,9 @@
    all pairs): set sizes and signature bits first, then the full shingle sets.
 4. Alternating large-star and small-star steps turn the links into components.
 5. Buckets that still hold several components are settled: what lies outside a bucket's
-   largest component is compared with the rest of the bucket.  Signature bits are part of
-   the join condition, so only likely pairs leave the join.
+   largest component is compared with the rest of the bucket.  Signature bits and a bound
+   from shingles that occur once are part of the join condition, so only likely pairs leave
+   the join.
 
 Sets travel as hash arrays of classes that occur in a likely pair; labels, links and sets
 stay in Spark.
@@ -182,14 +183,34 @@ def _likely(n1: Column, n2: Column, bits1: Column, bits2: Column, percent: int)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (unequal <= MOST_UNEQUAL)
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the distinct ids; of several texts of an id the first in string order."""
+    return rows_of(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _flat(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = shingles(text.as_py(), width).view(np.int64)
+                ids = pa.array(np.full(len(found), doc_id.as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found)], names=["id", "h"])
+
+    return sets
+
+
+def single_shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, single): how many of a document's shingles no other of the documents ``ids`` has."""
+    flat = _texts(docs, materialized(ids, "open-ids")).mapInArrow(_flat(width), "id bigint, h bigint")
+    holders = flat.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return holders.groupBy("id").agg(F.count("*").alias("single"))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = rows_of(docs.select("doc_id", "text"), materialized(ids, "pair-ids"))
-    # an id that occurs in several rows stands for its first text in string order
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = materialized(
-        texts.mapInArrow(_hashed(width), "id bigint, hashes binary"), "shingle-sets"
+        _texts(docs, materialized(ids, "pair-ids")).mapInArrow(_hashed(width), "id bigint, hashes binary"), "shingle-sets"
     )
     both = pairs.join(sets.withColumnsRenamed({"id": "b", "hashes": "hb"}), "b").join(
         sets.withColumnsRenamed({"id": "a", "hashes": "ha"}), "a"
@@ -241,8 +262,15 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across the components that still share a bucket."""
+def _open_pairs(
+    docs: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Likely pairs across the components that still share a bucket.
+
+    Shingles that no other class of these buckets has are in no intersection.  This bounds
+    the similarity of every pair before it leaves the join, and keeps classes that merely
+    surround a group of copies from meeting all of its members.
+    """
     named = (
         buckets.where("size > 2")
         .join(labels, F.col("rep") == F.col("id"), "left")
@@ -256,17 +284,21 @@ def _open_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, perce
         .select("key", F.col("top.component").alias("top"))
     )
     rows = named.where("rep != pivot").join(mixed, "key")
+    single = single_shingles(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), width)
     facts = classes.select("rep", "n", "bits")
-    rows = materialized(rows.join(facts, "rep"), "open-buckets")
+    shared = F.col("n") - F.coalesce(F.col("single"), F.lit(0))
+    rows = rows.join(facts, "rep").join(single.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = materialized(rows.withColumn("shared", shared).drop("single"), "open-buckets")
     left = rows.where("component != top").select(
         "key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("top").alias("t"),
-        F.col("n").alias("na"), F.col("bits").alias("bits_a"),
+        F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("shared").alias("sa"),
     )
     right = rows.select(
         "key", F.col("rep").alias("b"), F.col("component").alias("cb"),
-        F.col("n").alias("nb"), F.col("bits").alias("bits_b"),
+        F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("shared").alias("sb"),
     )
     near = _likely(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent)
+    near &= (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
     once = (F.col("cb") == F.col("t")) | (F.col("a") < F.col("b"))
     return (
         left.join(right, "key")
@@ -315,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         .select("a", "b")
     )
     labels = components(confirmed(plain, materialized(stars, "star-pairs"), width, percent))
-    pairs = materialized(_open_pairs(buckets, classes, labels, percent), "open-pairs")
+    pairs = materialized(_open_pairs(plain, buckets, classes, labels, width, percent), "open-pairs")
     found = confirmed(plain, pairs.select("a", "b"), width, percent)
     joined = pairs.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(joined).toDF("component", "merged")
