@@ -103,9 +103,10 @@ def test_bounded_observations(spark):
 
 def test_bounded_data_and_entries(spark):
     data = {"rows": 5, "pairs": list(range(25)), "dtypes": {f"c{i}": "int64" for i in range(60)}}
-    kept, omitted = evidence.bounded_data(data)
+    kept, omitted = evidence.bounded_data(data, Settings.interactive())
     assert (len(kept["pairs"]), len(kept["dtypes"]), kept["rows"]) == (20, 50, 5)
     assert omitted == {"pairs": 5, "dtypes": 10}
+    assert len(evidence.bounded_data(data)[0]["dtypes"]) == 60
     entries = spark.range(30).selectExpr("id % 2 AS k", "id AS place")
     rows = evidence.bounded_entries(entries, ["k"], "place", 4).collect()
     assert len(rows) == 8 and {r["entries_omitted"] for r in rows} == {11}
