@@ -7,10 +7,10 @@ from gaugeline.llm import toxicity as tox
 
 
 def test_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    model = tox.fit(tox.examples(docs, labels.where(~apart), 2500), 3)
+    model = tox.fit(tox.examples(docs, labels.where(~apart)), 3)
     assert (np.diff(model.thresholds) > 0).all()
     judged = labels.where(apart).select("doc_id", F.col("toxic").alias("label"))
     got = tox.score(docs, model).join(judged, "doc_id").select("expected_severity", "toxic", "label")
@@ -19,14 +19,15 @@ def test_held_out_documents(spark):
     assert len(rows) > 500 and np.mean(right) > 0.985
     bad = [r[0] for r in rows if r.label == 1]
     good = [r[0] for r in rows if r.label == 0]
-    assert np.mean([[b > g for g in good] for b in bad]) > 0.99
-    assert np.mean([r[1] for r in rows if r.label == 1]) > 0.9
+    assert np.mean([(b > np.array(good)).mean() for b in bad]) > 0.99
+    assert np.mean([r[1] for r in rows if r.label == 1]) > 0.95
+    assert np.mean([r[1] for r in rows if r.label == 0]) < 0.005
 
 
 def test_gradient_reaches_separated_grades():
     rng = np.random.default_rng(5)
     grades = rng.integers(0, 4, 600)
-    rows = [np.unique(np.concatenate([rng.integers(100, 400, 10), [g] * (g > 0), [50] * (g > 1)])) for g in grades]
+    rows = [np.unique(np.concatenate([rng.integers(100, 400, 10), np.zeros(0, int), [g] * int(g > 0), [50] * int(g > 1)]).astype(int)) for g in grades]
     model = tox.fit_arrays(rows, grades, 4)
     eta = np.array([model.weights[r].sum() for r in rows])
     predicted = (eta[:, None] > model.thresholds).sum(axis=1)
