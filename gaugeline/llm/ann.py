@@ -3,9 +3,9 @@
 The index is fitted on a bounded sample: k-means centres, and the number of lists to probe,
 chosen so that the sample's own neighbours are found with ``RECALL``.  Every vector goes to
 its list.  Vectors and queries are turned by one random rotation; inside a list, products
-are summed block of columns by block of columns, and after each block a one-sided normal
-test (the rest of a rotated pair is a sum of random signs, with a deviation known from the
-rest norms) abandons pairs that cannot reach the query's twentieth best.  Survivors are
+are summed block of columns by block of columns, and after each block a bound that always
+holds (the rest of a product is at most the product of the rest norms) abandons pairs that
+cannot reach the query's twentieth best, so a list gives exactly its best.  Survivors are
 scored in double precision on the original vectors.
 
 A list is cut into pieces of at most ``PIECE`` vectors and its queries into groups of at
@@ -29,8 +29,10 @@ from gaugeline.sources.files import materialized
 SAMPLE, SAMPLE_QUERIES = 20_000, 400
 MAX_LISTS, PIECE, COLUMNS = 1024, 4096, 16
 RECALL = 0.97
-#: Deviations below the threshold at which a pair is abandoned.
-CERTAINTY = 4.0
+#: Share of a block's pairs below which the rest is read pair by pair.
+FEW = 0.05
+#: Rounding of a product, as a share of the norms.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -113,12 +115,13 @@ def _assigner(shared, as_query: bool):
 
 def scan(
     queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int,
-    columns: int = COLUMNS, certainty: float = CERTAINTY,
+    columns: int = COLUMNS,
 ) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of at most k vectors, without the query's own.
+    """For each query the ids and scores of the k best vectors, without the query's own.
 
     Thresholds come from full products with the first vectors; every further block of
-    columns is only read for pairs that the test has left.
+    columns is only read for pairs that can still reach them, as whole matrices while these
+    are many.
     """
     turned, turned_queries = x @ rotation, queries @ rotation
     dims, n = x.shape[1], len(x)
@@ -126,30 +129,31 @@ def scan(
     own = query_ids[:, None] == ids[None, :]
     head = np.where(own[:, :start], -np.inf, turned_queries @ turned[:start].T)
     level = np.partition(head, start - k, axis=1)[:, start - k] if start >= k else np.full(len(queries), -np.inf)
-    rest_x = np.sqrt(np.maximum((turned[:, ::-1] ** 2).cumsum(axis=1)[:, ::-1], 0))
-    rest_q = np.sqrt(np.maximum((turned_queries[:, ::-1] ** 2).cumsum(axis=1)[:, ::-1], 0))
-    first = min(columns, dims)
-    partial = turned_queries[:, :first] @ turned[:, :first].T
-    alive = ~own
-    if first < dims:
-        slack = certainty / np.sqrt(dims - first)
-        alive &= partial + slack * rest_q[:, first, None] * rest_x[None, :, first] >= level[:, None]
+    rest_x = np.sqrt((turned[:, ::-1] ** 2).cumsum(axis=1)[:, ::-1])
+    rest_q = np.sqrt((turned_queries[:, ::-1] ** 2).cumsum(axis=1)[:, ::-1])
+    close = ROUNDING * dims * rest_q[:, 0] * rest_x[:, 0].max(initial=0)
+    level = level - close
+    partial, alive, stop = np.zeros((len(queries), n)), ~own, 0
+    while stop < dims and alive.sum() > FEW * alive.size:
+        at, stop = stop, min(stop + columns, dims)
+        partial += turned_queries[:, at:stop] @ turned[:, at:stop].T
+        rest = rest_q[:, stop, None] * rest_x[None, :, stop] if stop < dims else 0
+        alive &= partial + rest >= level[:, None]
     q, c = np.nonzero(alive)
     total = partial[q, c]
-    for at in range(first, dims, columns):
+    for at in range(stop, dims, columns):
         stop = min(at + columns, dims)
         total = total + np.einsum("ij,ij->i", turned_queries[q, at:stop], turned[c, at:stop])
-        if stop < dims:
-            slack = certainty / np.sqrt(dims - stop)
-            keep = total + slack * rest_q[q, stop] * rest_x[c, stop] >= level[q]
-            q, c, total = q[keep], c[keep], total[keep]
+        rest = rest_q[q, stop] * rest_x[c, stop] if stop < dims else 0
+        keep = total + rest >= level[q]
+        q, c, total = q[keep], c[keep], total[keep]
     out = []
     bounds = np.searchsorted(q, np.arange(len(queries) + 1))
     for i in range(len(queries)):
         part, sums = c[bounds[i] : bounds[i + 1]], total[bounds[i] : bounds[i + 1]]
         if len(part) > k:  # with all ties, as rotation rounds the sums
             least = np.partition(sums, len(sums) - k)[len(sums) - k]
-            part = part[sums >= least - 1e-9 * (1 + abs(least))]
+            part = part[sums >= least - 2 * close[i]]
         exact = (queries[i] * x[part]).sum(axis=1)
         order = np.lexsort((ids[part], -exact))[:k]
         out.append((ids[part][order], exact[order]))

@@ -48,6 +48,37 @@ def test_scan_keeps_the_best():
     assert hits >= 0.99 * 800
 
 
+@pytest.mark.parametrize("dims", [8, 64, 384, 768])
+@pytest.mark.parametrize("cosine", [0.3, 0.6, 0.9, 0.999, 1.0])
+def test_scan_is_exact_in_tight_clusters(dims, cosine):
+    rng = np.random.default_rng(dims)
+    common = rng.standard_normal(dims)
+    common /= np.linalg.norm(common)
+    own = rng.standard_normal((1000, dims))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = (cosine**0.5 * common + (1 - cosine) ** 0.5 * own) * 1000
+    ids = rng.permutation(1000)
+    rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+    found = ann.scan(x[:30], ids[:30], x, ids, rotation, 20)
+    for i, (got, scores) in enumerate(found):
+        s = np.where(ids == ids[i], -np.inf, (x[i] * x).sum(axis=1))
+        want = np.lexsort((ids, -s))[:20]
+        assert got.tolist() == ids[want].tolist() and scores.tolist() == s[want].tolist()
+
+
+def test_scan_of_equal_vectors_takes_the_smaller_ids():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64))
+    x[100:2000:3] = x[100]
+    rotation = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    ((ids, scores),) = ann.scan(x[1999:], np.array([1999]), x, np.arange(2000), rotation, 20)
+    s = (x[1999] * x).sum(axis=1)
+    s[1999] = -np.inf
+    assert ids.tolist() == np.lexsort((np.arange(2000), -s))[:20].tolist() and len(scores) == 20
+    ((ids, _),) = ann.scan(x[100:101], np.array([100]), x, np.arange(2000), rotation, 20)
+    assert ids.tolist() == list(range(103, 163, 3))
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
