@@ -2,7 +2,7 @@
 
 The index is fitted on a bounded sample: k-means centres, and the number of lists to probe,
 chosen so that the sample's own neighbours are found with ``RECALL``.  Every vector goes to
-its list.  Vectors and queries are turned by one random rotation; inside a list, products
+its list; a query whose lists hold too few vectors goes on to its next ones.  Vectors and queries are turned by one random rotation; inside a list, products
 are summed block of columns by block of columns, and after each block a bound that always
 holds (the rest of a product is at most the product of the rest norms) abandons pairs that
 cannot reach the query's twentieth best, so a list gives exactly its best.  Survivors are
@@ -16,7 +16,7 @@ rows a query.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,8 @@ class Index:
     rotation: np.ndarray
     probes: int
     dims: int
+    #: Vectors in every list, once they are placed.
+    sizes: np.ndarray | None = None
 
 
 def usable(vector: Column) -> Column:
@@ -50,14 +52,17 @@ def usable(vector: Column) -> Column:
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    centers = x[rng.permutation(len(x))[:k]].copy()
+    """At most k centres, all different and each nearest to some row of ``x``."""
+    different = np.sort(np.unique(x, axis=0, return_index=True)[1])
+    centers = x[different[rng.permutation(len(different))[:k]]].copy()
+    k = len(centers)
     for _ in range(rounds):
         near = _lists(x, centers)
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
         centers[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centers
+    return centers[np.unique(_lists(x, centers))]
 
 
 def _lists(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -79,6 +84,7 @@ def fit(vectors: DataFrame, k: int, sample: int = SAMPLE, seed: int = 7) -> Inde
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
     lists = int(min(MAX_LISTS, max(1, round(len(x) ** 0.5 / 2))))
     centers = _kmeans(x, lists, rng)
+    lists = len(centers)
     home = _lists(x, centers)
     queries = x[: SAMPLE_QUERIES]
     scores = queries @ x.T
@@ -90,16 +96,26 @@ def fit(vectors: DataFrame, k: int, sample: int = SAMPLE, seed: int = 7) -> Inde
     return Index(centers, rotation, min(probes, lists), dims)
 
 
-def _assigner(shared, as_query: bool):
+def probed(x: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, list) of the lists that every query reads.
+
+    These are its first ``probes``, and further ones until they hold k vectors besides its
+    own.
+    """
+    near = np.argsort(-(x @ index.centers.T), axis=1, kind="stable")
+    enough = (index.sizes[near].cumsum(axis=1) <= k).sum(axis=1) + 1
+    rows, place = np.nonzero(np.arange(near.shape[1]) < np.maximum(index.probes, enough)[:, None])
+    return rows, near[rows, place]
+
+
+def _assigner(shared, k: int | None = None):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), index.dims)
-            if as_query:
-                near = np.argsort(-(x @ index.centers.T), axis=1, kind="stable")[:, : index.probes]
-                rows = np.repeat(np.arange(len(ids)), near.shape[1])
-                near = near.ravel()
+            if k is not None:
+                rows, near = probed(x, index, k)
             else:
                 near, rows = _lists(x, index.centers), np.arange(len(ids))
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +216,13 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, sample: int =
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     shared = spark.sparkContext.broadcast(index)
     kinds = "list int, id bigint, v array<double>"
-    placed = materialized(rows.mapInArrow(_assigner(shared, False), kinds), "lists")
+    placed = materialized(rows.mapInArrow(_assigner(shared), kinds), "lists")
+    sizes = np.zeros(len(index.centers), np.int64)
+    for r in placed.groupBy("list").count().collect():  # at most MAX_LISTS rows
+        sizes[r["list"]] = r["count"]
+    shared = spark.sparkContext.broadcast(replace(index, sizes=sizes))
     chosen = rows.where(F.coalesce(is_query, F.lit(False)))
-    asked = materialized(chosen.mapInArrow(_assigner(shared, True), kinds), "probes")
+    asked = materialized(chosen.mapInArrow(_assigner(shared, k), kinds), "probes")
 
     def pieces(of: DataFrame, name: str) -> DataFrame:
         """Number of pieces of every list: a small table, one row per list."""

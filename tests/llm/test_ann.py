@@ -92,3 +92,31 @@ def test_odd_rows(spark):
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0),
     ]
     assert ann.search(table.where("false")).collect() == []
+
+
+def test_every_query_gets_its_number_of_rows(spark):
+    rng = np.random.default_rng(9)
+    centers = np.linalg.qr(rng.standard_normal((32, 32)))[0][:12]
+    of = np.concatenate([np.repeat(np.arange(10), 150), np.full(8, 10), np.full(3, 11)])
+    x = centers[of] + 0.01 * rng.standard_normal((len(of), 32))
+    x[:500] = x[0]  # a third of the rows are equal
+    ids = rng.permutation(len(of)) * 5
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>")
+    found, want = {}, brute(ids, x)
+    for r in ann.search(table).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    small = set(ids[of >= 10].tolist()) & set(want)
+    assert small and set(found) == set(want) and all(sorted(f) == list(range(1, 21)) for f in found.values())
+    for q in small:  # its own cluster first
+        near = set(ids[of == of[np.flatnonzero(ids == q)[0]]].tolist()) - {q}
+        assert {found[q][i + 1] for i in range(len(near))} == near
+    few = table.orderBy("vec_id").limit(9)
+    assert {r.query_id: r["count"] for r in ann.search(few).groupBy("query_id").count().collect()} == {0: 8, 20: 8, 40: 8}
+
+
+def test_centres_are_different_and_have_vectors():
+    x = np.random.default_rng(2).standard_normal((900, 16))
+    x[:600] = x[0]
+    found = ann._kmeans(x, 30, np.random.default_rng(7))
+    assert len(np.unique(found, axis=0)) == len(found) == len(np.unique(ann._lists(x, found)))
+    assert len(ann._kmeans(np.ones((50, 3)), 5, np.random.default_rng(7))) == 1
