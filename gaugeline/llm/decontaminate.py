@@ -7,12 +7,18 @@ tokens are hashed and joined to the windows of the benchmark; a document that ho
 item's slot values must map to the document's as a function (equal values stay equal):
 this tells a re-parameterised question from a text that merely follows the template.
 
+An item of fewer tokens is one window, sought among the windows of its length.  An item
+whose windows hold too few literal words to tell anything (``Compute 12 + 7 * 3``) is sought
+with its own values: its windows show what the placeholders stand for.
+
 DataFrame functions only.  The benchmark's windows are broadcast when they are counted to be
 few, and joined by a shuffle otherwise; rows of documents and items meet in sums only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,32 +58,67 @@ def tokens(text: Column, values: bool = False) -> Column:
     return F.filter(F.split(F.lower(text), between), lambda t: t != "")
 
 
-def with_windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with their text's template tokens ``t`` and window hashes ``ws``.
+def with_windows(rows: DataFrame, widths: list[int], values: bool = False) -> DataFrame:
+    """``rows`` with windows ``ws`` (pos, w) of their text's tokens, of every width asked for.
 
-    Fewer tokens than a window are one window, none are none.  Each step is a projection of
-    its own, so that no lambda evaluates an array anew; explode the windows by an outer
-    generator, as Spark would filter by the array's size before it is computed otherwise.
+    With ``values`` the windows show the values and never equal those without.  Each step is
+    a projection of its own, so that no lambda evaluates an array anew; explode the windows
+    by an outer generator, as Spark would filter by the array's size before it is computed
+    otherwise.
     """
-    rows = rows.withColumn("t", tokens(F.col("text")))
-    rows = rows.withColumn("h", F.transform("t", lambda t: F.xxhash64(t)))
-    shifted = [F.slice("h", F.lit(k + 1), F.greatest(F.size("h") - k, F.lit(0))).alias(f"h{k}") for k in range(WINDOW)]
-    rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(1))))
-    ws = F.transform("z", lambda z: F.xxhash64(*(z[f"h{k}"] for k in range(WINDOW))))
-    return rows.withColumn("ws", ws).drop("h", "z")
+    rows = rows.withColumn("h", F.transform(tokens(F.col("text"), values), lambda t: F.xxhash64(t)))
+    kind = [F.lit("values")] if values else []
+    for width in widths:
+        shifted = [F.slice("h", F.lit(k + 1), F.greatest(F.size("h") - k, F.lit(0))).alias(f"h{k}") for k in range(width)]
+        rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("h") - width + 1, F.lit(0))))
+        hashed = F.transform("z", lambda z, i: F.struct(i.alias("pos"), F.xxhash64(*kind, *(z[f"h{k}"] for k in range(width))).alias("w")))  # noqa: B023
+        rows = rows.withColumn(f"ws{width}", hashed).drop("z")
+    made = [f"ws{width}" for width in widths]
+    return rows.withColumn("ws", F.concat(*made)).drop("h", *made)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, w, n_windows): windows of every item that hold enough literal words.
+    """(item_id, ipos, w, n_windows, width, valued): windows of every item.
 
-    Items without such a window are never matched; rows of one item_id are merged.
+    These are its template windows that hold enough literal words, or nothing but such; an
+    item with none of them has all its windows with values.  An item with fewer tokens than
+    a window has one of its own width; rows of one item_id are merged.
     """
     rows = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    rows = with_windows(rows).select("item_id", "t", F.posexplode_outer("ws").alias("ipos", "w")).where("w is not null")
-    literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda t: ~F.contains(t, F.lit("#"))))
-    kept = rows.where((literal >= LITERALS) | (F.size("t") < WINDOW)).groupBy("item_id", "ipos", "w").agg(F.lit(1).alias("x"))
+    rows = rows.where("text is not null").distinct().withColumn("t", tokens(F.col("text")))
+    rows = rows.withColumn("width", F.least(F.size("t"), F.lit(WINDOW)))
+
+    def windows(of: DataFrame, values: bool) -> DataFrame:
+        parts = [
+            with_windows(of.where(F.col("width") == width), [width], values).select(
+                "item_id", "text", "t", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
+            )
+            for width in range(1, WINDOW + 1)
+        ]
+        return functools.reduce(DataFrame.unionAll, parts).where("w is not null").withColumnRenamed("pos", "ipos")
+
+    literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, F.col("width")), lambda t: ~F.contains(t, F.lit("#"))))
+    telling = windows(rows, False).where(literal >= F.least(F.col("width"), F.lit(LITERALS)))
+    telling = materialized(telling, "item-templates")
+    rest = rows.join(telling.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti")
+    kept = telling.unionAll(windows(rest, True)).select("item_id", "ipos", "w", "width", "valued").distinct()
     counts = kept.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return kept.drop("x").join(counts, "item_id")
+    return kept.join(counts, "item_id")
+
+
+def document_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, dpos, w): windows of the kinds that occur among the items."""
+    kinds: dict[bool, list[int]] = {False: [], True: []}
+    for r in known.select("width", "valued").distinct().collect():  # at most two of each width
+        kinds[r.valued].append(r.width)
+    if not kinds[False] and not kinds[True]:
+        kinds[False] = [WINDOW]
+    parts = [
+        with_windows(rows, sorted(widths), values).select("doc_id", "text_hash", F.inline_outer("ws"))
+        for values, widths in kinds.items()
+        if widths
+    ]
+    return functools.reduce(DataFrame.unionAll, parts).withColumnRenamed("pos", "dpos")
 
 
 def _small(rows: DataFrame, limit: int) -> DataFrame:
@@ -97,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     rows = docs.select("doc_id", text.alias("text")).where(F.length("text") > 0)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = materialized(item_windows(benchmark), "item-windows")
-    places = with_windows(rows).select("doc_id", "text_hash", F.posexplode_outer("ws").alias("dpos", "w"))
+    places = document_windows(rows, known)
     hits = places.join(_small(known, BROADCAST_WINDOWS), "w").select(
         "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset")
     )

@@ -75,3 +75,23 @@ def test_both_forms_of_tokens_have_the_same_places(spark):
     rows = docs.select("text").unionAll(odd)
     bad = rows.where(F.size(dc.tokens(F.col("text"))) != F.size(dc.tokens(F.col("text"), values=True)))
     assert bad.count() == 0
+
+
+def found(spark, docs, items):
+    docs = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    return {(r.doc_id, r.item_id): r for r in dc.leaks(docs, items).collect()}
+
+
+def test_short_items_and_items_of_placeholders_are_found_in_longer_texts(spark):
+    items = {1: "Who discovered penicillin first?", 2: "Compute 12 + 7 * 3 - 4 + 5", 3: "Add 4", 4: "Photosynthesis", 5: "What is 2 + 2?"}
+    docs = {
+        1: "A quiz of the week. Who discovered penicillin first? Answers on the next page, as always.",
+        2: "Now compute 12 + 7 * 3 - 4 + 5 and write the result down.",
+        3: "Now compute 13 + 6 * 2 - 9 + 8 and write the result down.",
+        4: "You may add 4 eggs to the bowl now", 5: "You may add 5 eggs to the bowl now",
+        6: "Plants live by photosynthesis and by little else", 7: "who discovered it", 8: "so what is 3 + 3?",
+    }
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 5)}
+    assert got[2, 2].verbatim and not got[8, 5].verbatim and got[1, 1].start == 5
