@@ -3,9 +3,14 @@ r"""Benchmark decontamination by template windows with a slot check.
 Numbers, units after numbers and capitalised words inside sentences become placeholders, so
 a question keeps its template when it is asked with other values.  Windows of five template
 tokens are hashed and joined to the windows of the benchmark; a document that holds at least
-``share`` of an item's windows is a candidate.  At the commonest offset of a candidate, the
-item's slot values must map to the document's as a function (equal values stay equal):
-this tells a re-parameterised question from a text that merely follows the template.
+``share`` of an item's windows is a candidate.  At one offset of a candidate that holds
+enough windows, the item's slot values must map to the document's as a function (equal
+values stay equal): this tells a re-parameterised question from a text that merely follows
+the template.
+
+A capitalised word at the start of a sentence, or after a quote or bracket, may be a name or
+not.  Texts are read both ways: windows in which the readings differ are hashed in both, and
+the slots are checked in the reading that gave the windows.
 
 An item of fewer tokens is one window, sought among the windows of its length.  An item
 whose windows hold too few literal words to tell anything (``Compute 12 + 7 * 3``) is sought
@@ -40,45 +45,67 @@ UNITS = (
 #: word's own first letter before they look back, as that settles most places.
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:]\s\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_UNIT = r"(?i)(?<=\p{Nd}\s|#n\s)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
+#: Any other capitalised word; a name in the second reading.
+_CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}=]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
+_UNIT = r"(?i)(?<=\p{Nd}\s|#n\s|\p{Nd}|#n)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
 
 
-def tokens(text: Column, values: bool = False) -> Column:
+def tokens(text: Column, values: bool = False, every: bool = False) -> Column:
     """Template tokens; with ``values`` each placeholder also shows what it stands for.
 
-    Both forms have the same tokens at the same places.
+    With ``every`` all capitalised words are names, also where a sentence starts.  All forms
+    have the same tokens at the same places.
     """
     shown = "=$0" if values else ""
     text = F.replace(F.replace(text, F.lit("#")), F.lit("="))
-    measured = F.regexp_replace(F.regexp_replace(text, _NUMBER, f"#n{shown}"), _UNIT, f"#u{shown}")
+    measured = F.regexp_replace(F.regexp_replace(text, _NUMBER, f"#n{shown}"), _UNIT, f" #u{shown}")
     text = F.when(text.rlike(r"\p{Nd}"), measured).otherwise(text)
     text = F.regexp_replace(text, _NAME, f"#a{shown}")
+    if every:
+        text = F.regexp_replace(text, _CAPITALISED, f"#a{shown}")
     # punctuation stays between digits only, and templates have none left
     between = r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})" if values else r"[^\p{L}\p{N}#=]+"
     return F.filter(F.split(F.lower(text), between), lambda t: t != "")
 
 
 def with_windows(rows: DataFrame, widths: list[int], values: bool = False) -> DataFrame:
-    """``rows`` with windows ``ws`` (pos, w) of their text's tokens, of every width asked for.
+    """``rows`` with windows ``ws`` (pos, w, sure, every) of their text's tokens, of every width asked for.
 
-    With ``values`` the windows show the values and never equal those without.  Each step is
-    a projection of its own, so that no lambda evaluates an array anew; explode the windows
-    by an outer generator, as Spark would filter by the array's size before it is computed
-    otherwise.
+    ``sure`` and ``every`` tell the reading; a window that is the same in both comes once.
+    With ``values`` the windows show the values, in one reading, and never equal those
+    without.  Each step is a projection of its own, so that no lambda evaluates an array
+    anew; explode the windows by an outer generator, as Spark would filter by the array's
+    size before it is computed otherwise.
     """
     rows = rows.withColumn("h", F.transform(tokens(F.col("text"), values), lambda t: F.xxhash64(t)))
+    if not values:
+        rows = rows.withColumn("e", F.transform(tokens(F.col("text"), every=True), lambda t: F.xxhash64(t)))
     kind = [F.lit("values")] if values else []
+
+    def hashed(rows: DataFrame, of: str, width: int) -> DataFrame:
+        shifted = [F.slice(of, F.lit(k + 1), F.greatest(F.size(of) - k, F.lit(0))).alias(f"h{k}") for k in range(width)]
+        rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size(of) - width + 1, F.lit(0))))
+        return rows.withColumn(f"{of}w", F.transform("z", lambda z: F.xxhash64(*kind, *(z[f"h{k}"] for k in range(width)))))
+
+    def window(i: Column, w: Column, sure: Column, every: Column) -> Column:
+        return F.struct(i.alias("pos"), w.alias("w"), sure.alias("sure"), every.alias("every"))
+
+    yes, no = F.lit(True), F.lit(False)
     for width in widths:
-        shifted = [F.slice("h", F.lit(k + 1), F.greatest(F.size("h") - k, F.lit(0))).alias(f"h{k}") for k in range(width)]
-        rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("h") - width + 1, F.lit(0))))
-        hashed = F.transform("z", lambda z, i: F.struct(i.alias("pos"), F.xxhash64(*kind, *(z[f"h{k}"] for k in range(width))).alias("w")))  # noqa: B023
-        rows = rows.withColumn(f"ws{width}", hashed).drop("z")
+        rows = hashed(rows, "h", width)
+        if values:
+            rows = rows.withColumn(f"ws{width}", F.transform("hw", lambda w, i: window(i, w, yes, yes)))
+            continue
+        rows = hashed(rows, "e", width).withColumn("z", F.arrays_zip("hw", "ew"))
+        first = F.transform("z", lambda z, i: window(i, z["hw"], yes, z["hw"] == z["ew"]))
+        second = F.transform("z", lambda z, i: F.when(z["hw"] != z["ew"], window(i, z["ew"], no, yes)))
+        rows = rows.withColumn(f"ws{width}", F.concat(first, F.filter(second, lambda x: x.isNotNull())))
     made = [f"ws{width}" for width in widths]
-    return rows.withColumn("ws", F.concat(*made)).drop("h", *made)
+    return rows.withColumn("ws", F.concat(*made)).drop("h", "e", "hw", "ew", "z", *made)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, w, n_windows, width, valued): windows of every item.
+    """(item_id, ipos, w, sure, every, n_windows, width, valued): windows of every item.
 
     These are its template windows that hold enough literal words, or nothing but such; an
     item with none of them has all its windows with values.  An item with fewer tokens than
@@ -86,28 +113,30 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """
     rows = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     rows = rows.where("text is not null").distinct().withColumn("t", tokens(F.col("text")))
+    rows = rows.withColumn("te", tokens(F.col("text"), every=True))
     rows = rows.withColumn("width", F.least(F.size("t"), F.lit(WINDOW)))
 
     def windows(of: DataFrame, values: bool) -> DataFrame:
         parts = [
             with_windows(of.where(F.col("width") == width), [width], values).select(
-                "item_id", "text", "t", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
+                "item_id", "text", "t", "te", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
             )
             for width in range(1, WINDOW + 1)
         ]
         return functools.reduce(DataFrame.unionAll, parts).where("w is not null").withColumnRenamed("pos", "ipos")
 
-    literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, F.col("width")), lambda t: ~F.contains(t, F.lit("#"))))
+    shown = F.when(F.col("sure"), F.col("t")).otherwise(F.col("te"))
+    literal = F.size(F.filter(F.slice(shown, F.col("ipos") + 1, F.col("width")), lambda t: ~F.contains(t, F.lit("#"))))
     telling = windows(rows, False).where(literal >= F.least(F.col("width"), F.lit(LITERALS)))
     telling = materialized(telling, "item-templates")
     rest = rows.join(telling.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti")
-    kept = telling.unionAll(windows(rest, True)).select("item_id", "ipos", "w", "width", "valued").distinct()
-    counts = kept.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    kept = telling.unionAll(windows(rest, True)).select("item_id", "ipos", "w", "sure", "every", "width", "valued").distinct()
+    counts = kept.where("sure").groupBy("item_id").agg(F.count("*").alias("n_windows"))
     return kept.join(counts, "item_id")
 
 
 def document_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, dpos, w): windows of the kinds that occur among the items."""
+    """(doc_id, text_hash, dpos, w, sure, every): windows of the kinds that occur among the items."""
     kinds: dict[bool, list[int]] = {False: [], True: []}
     for r in known.select("width", "valued").distinct().collect():  # at most two of each width
         kinds[r.valued].append(r.width)
@@ -139,48 +168,74 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = materialized(item_windows(benchmark), "item-windows")
     places = document_windows(rows, known)
+    known = known.select("item_id", "ipos", "w", "n_windows", F.col("sure").alias("isure"), F.col("every").alias("ievery"))
     hits = places.join(_small(known, BROADCAST_WINDOWS), "w").select(
-        "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset")
-    )
+        "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset"),
+        (F.col("sure") & F.col("isure")).alias("sure"), (F.col("every") & F.col("ievery")).alias("every"),
+    ).where("sure or every")
     by_offset = hits.groupBy("doc_id", "text_hash", "item_id", "n_windows", "offset").agg(
-        F.count("*").alias("n"), F.collect_set("ipos").alias("found")
+        F.collect_set("ipos").alias("found"), F.collect_set(F.when(F.col("sure"), F.col("ipos"))).alias("found_sure")
     )
+    enough = share * F.col("n_windows")
+
+    def union(of: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(of))))
+
     found = by_offset.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("windows"),
-        F.max(F.struct("n", -F.col("offset"))).alias("top"),
-    )
-    candidates = materialized(
-        found.where(F.col("windows") >= share * F.col("n_windows")).select(
-            "doc_id", "text_hash", "item_id", "windows", "n_windows", (-F.col("top.col2")).cast("int").alias("start")
-        ),
-        "leak-candidates",
+        union("found").alias("windows"), union("found_sure").alias("windows_sure"),
+        F.collect_list(F.struct("offset", F.size("found").alias("n"), F.size("found_sure").alias("n_sure"))).alias("places"),
+    ).where(F.col("windows") >= enough)
+
+    def most(of: str) -> Column:
+        return F.least(enough, F.array_max(F.transform("places", lambda p: p[of])))
+
+    # every offset with enough windows, or with the most when they are spread over several
+    found = found.withColumn("least", most("n")).withColumn("least_sure", most("n_sure"))
+    at_each = found.select("*", F.inline("places")).select(
+        "doc_id", "text_hash", "item_id", "windows", "n_windows", F.col("offset").cast("int").alias("start"), "n",
+        ((F.col("windows_sure") >= enough) & (F.col("n_sure") >= F.col("least_sure"))).alias("sure"),
+        (F.col("n") >= F.col("least")).alias("every"),
     )
+    candidates = materialized(at_each.where("sure or every"), "leak-candidates")
     hashes = materialized(candidates.select("text_hash").distinct(), "leak-texts")
     texts = rows.join(_small(hashes, BROADCAST_IDS), "text_hash", "left_semi")
     texts = texts.groupBy("text_hash").agg(F.min("text").alias("text"))
-    valued = texts.select(
-        "text_hash", tokens(F.col("text")).alias("dt"), tokens(F.col("text"), values=True).alias("dv")
-    )
+    def forms(prefix: str) -> list[Column]:
+        return [
+            tokens(F.col("text"), values, every).alias(prefix + kind)
+            for kind, values, every in (("t", False, False), ("v", True, False), ("et", False, True), ("ev", True, True))
+        ]
+
+    valued = texts.select("text_hash", *forms("d"))
     items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(
         F.min(F.col("text").cast("string")).alias("text")
     )
-    items = items.select("item_id", tokens(F.col("text")).alias("it"), tokens(F.col("text"), values=True).alias("iv"))
-    aligned = candidates.join(valued, "text_hash").join(items, "item_id")
+    aligned = candidates.join(valued, "text_hash").join(items.select("item_id", *forms("i")), "item_id")
     at = F.col("start")
 
-    def same(i: Column) -> Column:
-        placed = (i + at >= 0) & F.contains(F.get("it", i), F.lit("#"))
-        return placed & (F.get("it", i) == F.get("dt", F.greatest(i + at, F.lit(0))))
-
-    slots = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("it") - 1), same),
-        lambda i: F.struct(F.get("iv", i).alias("item"), F.get("dv", i + at).alias("doc")),
-    )
-    judged = aligned.withColumn("pairs", F.array_distinct(slots))
-    own = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    return judged.where(F.size("pairs") == own).select(
-        "doc_id", "item_id", "windows", "n_windows", "start", own.alias("slots"),
-        F.forall("pairs", lambda p: p["item"] == p["doc"]).alias("verbatim"), "text_hash",
+    def pairs(t: str, v: str) -> Column:
+        def same(i: Column) -> Column:
+            placed = (i + at >= 0) & F.contains(F.get(f"i{t}", i), F.lit("#"))
+            return placed & (F.get(f"i{t}", i) == F.get(f"d{t}", F.greatest(i + at, F.lit(0))))
+
+        slots = F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(f"i{t}") - 1), same),
+            lambda i: F.struct(F.get(f"i{v}", i).alias("item"), F.get(f"d{v}", i + at).alias("doc")),
+        )
+        return F.array_distinct(slots)
+
+    def own(of: str) -> Column:
+        return F.size(F.array_distinct(F.transform(of, lambda p: p["item"])))
+
+    judged = aligned.withColumn("pairs", pairs("t", "v")).withColumn("epairs", pairs("et", "ev"))
+    judged = judged.withColumn("sure", F.col("sure") & (F.size("pairs") == own("pairs")))
+    judged = judged.where(F.col("sure") | (F.col("every") & (F.size("epairs") == own("epairs"))))
+    slots = F.when(F.col("sure"), own("pairs")).otherwise(own("epairs"))
+    verbatim = F.forall("epairs", lambda p: p["item"] == p["doc"])
+    best = F.max(F.struct(verbatim.alias("verbatim"), "n", (-at).alias("back"), slots.alias("slots"))).alias("best")
+    return judged.groupBy("doc_id", "text_hash", "item_id", "windows", "n_windows").agg(best).select(
+        "doc_id", "item_id", "windows", "n_windows", (-F.col("best.back")).alias("start"), "best.slots", "best.verbatim",
+        "text_hash",
     )
 
 

@@ -95,3 +95,30 @@ def test_short_items_and_items_of_placeholders_are_found_in_longer_texts(spark):
     got = found(spark, docs, items)
     assert set(got) == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 5)}
     assert got[2, 2].verbatim and not got[8, 5].verbatim and got[1, 1].start == 5
+
+
+APPLES = "Anna has 5 apples. Omar has 3 apples. Anna gives Omar 2 apples. How many apples does Omar have?"
+BAKER = "Each morning the baker Anna takes 5 loaves to Omar and then Anna sells 3 loaves to other people in town."
+
+
+def test_names_at_sentence_starts_every_offset_and_joined_units(spark):
+    items = {1: APPLES, 2: BAKER, 3: "The lorry then drives 120 km along the river and stops for a rest."}
+    lena, changed = (t.replace("Anna", "Lena").replace("Omar", "Tom") for t in (APPLES, BAKER))
+    mixed = changed.replace("then Lena", "then Olga")
+    docs = {
+        1: lena.replace("5", "8"), 2: lena.replace("Lena gives", "Olga gives"), 3: f"{mixed} {BAKER}", 4: f"{mixed} {mixed}",
+        5: "The lorry then drives 80km along the river and stops for a rest.", 6: f"{mixed} {changed}",
+        7: f"({lena.replace('. ', '.  ')})", 8: BAKER.replace("baker Anna", "baker  \r\n Anna"),
+    }
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 2), (7, 1), (8, 2)}
+    assert got[3, 2].verbatim and got[3, 2].start == 21 and not got[6, 2].verbatim and not got[1, 1].verbatim
+
+
+def test_both_readings_have_the_same_places(spark):
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([("x Anna's 5Anna 1,000.5km 12 KG 5Km =Anna #Anna \"Omar\" McAnna Ab-Cd. The Éa 3 Min",)], "text string")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionAll(odd)
+    sizes = [F.size(dc.tokens(F.col("text"), v, e)) for v in (False, True) for e in (False, True)]
+    assert rows.where(F.greatest(*sizes) != F.least(*sizes)).count() == 0
