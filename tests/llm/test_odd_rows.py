@@ -151,3 +151,22 @@ def test_chat_of_odd_rows(spark):
     assert first[1].loss_start is None and first[1].formatted.startswith(first[0].formatted)
     assert examples.where("conv_id is null").count() == 2
     assert chat.examples(turns.where("false")).collect() == [] and chat.digests(examples.where("false")).collect() == []
+
+
+def test_chat_rows_without_conversation_agree_with_the_sql(spark):
+    import compare
+    import duckdb
+
+    rows = [
+        (None, 0, "user", "al<o>ne"), (None, 1, "assistant", "a\\part"), (None, 1, "assistant", "a\\part"), (None, None, None, None),
+        (None, 7, "user", "last"), (None, 3, "assistant", ""), (5, 0, "user", "q"), (5, 1, "assistant", "r"),
+        (-7, 0, "user", chat.CHALLENGE), (-7, 1, "assistant", chat.CHALLENGE),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows[:-2])
+    for last in (len(rows), 4):
+        con.execute("DELETE FROM conversations WHERE turn = 7" if last == 4 else "SELECT 1")
+        got = chat.digests(chat.examples(turns.where("turn is null or turn <> 7") if last == 4 else turns))
+        assert compare.spark_rows(got) == compare.duck_rows(con, chat.ORACLE)
