@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import ann, chat, decontaminate, html_text, langid, licenses, minhash, mixing, token_files, toxicity
+from gaugeline.llm import (
+    ann, chat, decontaminate, exact_dedup, html_text, langid, licenses, minhash, mixing, ranked_search, token_alignment,
+    token_files, toxicity,
+)
 from gaugeline.sources.files import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +94,27 @@ def op7_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.grade_documents(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, directory, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = exact_dedup.ORACLE
+
+
+@query
+def op12_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
+    return ranked_search.search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = ranked_search.ORACLE
+
+
+@query
+def op13_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignment(table(spark, directory, "documents"), a, b)
