@@ -267,6 +267,13 @@ def _best(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _longest(vectors: DataFrame, documents: int, head: int) -> DataFrame:
+    """About ``head`` of the longest vectors (at least a ten-thousandth), left where they are."""
+    share = min(1.0, max(head / max(documents, 1), 1e-4))
+    least = vectors.agg(F.percentile_approx("length", 1 - share, 10_000)).first()[0]
+    return vectors.where(F.col("length") >= (least or 0.0))
+
+
 def _search_block(docs: DataFrame, rows: list[tuple[int, str | None]], top: int, postings: int, head: int) -> DataFrame:
     spark = docs.sparkSession
     sc, items = spark.sparkContext, Items.of(rows)
@@ -284,7 +291,7 @@ def _search_block(docs: DataFrame, rows: list[tuple[int, str | None]], top: int,
     vectors = materialized(cut.mapInArrow(_weighted(shared), schema).where("size(terms) > 0"), "impact-vectors")
 
     first = sc.broadcast((items, weights, [1] * len(items.keys)))
-    longest = vectors.orderBy(F.desc("length"), "doc").limit(head)
+    longest = _longest(vectors, total[0], head)
     seen = _best(longest.mapInArrow(_searched(first, top, postings), FOUND_SCHEMA), top)
     least = [1] * len(items.keys)
     for r in seen.where(F.col("rank") == top).select("item", "score").toLocalIterator():
