@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -99,40 +100,57 @@ class Encoder:
 
     def __init__(self, a: str, b: str) -> None:
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
         self.chunked = self.a.splits and self.b.splits
 
-    def _pairs(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        for chunk, a, b in zip(chunks, self.a.encode(chunks), self.b.encode(chunks), strict=True):
-            same = b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == chunk.encode()
-            yield (np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()) if same else None
+    def _sides(self, chunks: list[str]) -> list[list[bytes | None]]:
+        """Each chunk's ids in both tokenizers as bytes, None twice where bytes differ from the chunk."""
+        wanted = [c.encode() for c in chunks]
+        lengths = np.array([len(w) for w in wanted])
+        sides, good = [], np.ones(len(chunks), bool)
+        for tokenizer in (self.a, self.b):
+            ids = tokenizer.encode(chunks)
+            flat = list(itertools.chain.from_iterable(ids))
+            entries = [tokenizer.bytes[i] for i in flat]
+            ends = np.cumsum([len(i) for i in ids])
+            sizes = np.concatenate([[0], np.cumsum([len(e) for e in entries])])[np.concatenate([[0], ends])]
+            if b"".join(entries) != b"".join(wanted) or (np.diff(sizes) != lengths).any():
+                starts = [0, *ends[:-1].tolist()]
+                good &= [b"".join(entries[x:y]) == w for x, y, w in zip(starts, ends.tolist(), wanted, strict=True)]
+            packed, cuts = np.array(flat, np.uint32).tobytes(), [0, *(4 * ends).tolist()]
+            sides.append([packed[x:y] for x, y in itertools.pairwise(cuts)])
+        for i in np.flatnonzero(~good):
+            sides[0][i] = sides[1][i] = None
+        return sides
 
     def _chunks(self, text: str) -> list[str]:
         if not self.chunked:
             return [text]
         if not _UNSURE.search(text):
-            first, *rest = text[1:].split(" ")
-            return [" " + first, *[" " + c for c in rest]]
+            return [" " + c for c in text[1:].split(" ")]
         return _CUT.split(text)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         cut = [self._chunks(" " + t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = {c for chunks in cut for c in chunks} - self.known.keys()
-        now = dict(zip(fresh, self._pairs([*fresh]), strict=True)) if fresh else {}
-        self.known.update((c, p) for c, p in now.items() if len(c) <= LONGEST)
-        now = now if any(len(c) > LONGEST for c in now) else {}
+        if len(self.known[0]) > REMEMBERED:
+            for known in self.known:
+                known.clear()
+        fresh = list(set().union(*cut) - self.known[0].keys())
+        for known, side in zip(self.known, self._sides(fresh) if fresh else ((), ()), strict=True):
+            known.update(zip(fresh, side, strict=True))
         found: list[tuple[np.ndarray, np.ndarray] | None] = []
         for text, chunks in zip(texts, cut, strict=True):
-            pairs = [self.known[c] if c in self.known else now[c] for c in chunks] if now else [*map(self.known.__getitem__, chunks)]
-            if None in pairs:  # the whole text decides
-                pairs = [*self._pairs([" " + text])]
-            if not pairs or None in pairs:
+            sides = [list(map(known.__getitem__, chunks)) for known in self.known]
+            if None in sides[0]:  # the whole text decides
+                sides = self._sides([" " + text])
+            if not sides[0] or None in sides[0]:
                 found.append(None)
             else:
-                a, b = (b"".join(side) for side in zip(*pairs, strict=True))
-                found.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
+                found.append(tuple(np.frombuffer(b"".join(side), np.uint32) for side in sides))
+        for chunk in fresh:
+            if len(chunk) > LONGEST:
+                for known in self.known:
+                    del known[chunk]
         return found
 
 
@@ -167,7 +185,8 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, starts: np.ndarray) -> n
         found = at >= 0
         cut, low, high = at[found], low[found], high[found]
         cuts.append(cut)
-        low, high = np.concatenate([low, cut + 1]), np.concatenate([cut + 1, high])
+        # halves stay in the order of the text, so that searches run through memory in order
+        low, high = np.stack([low, cut + 1], 1).ravel(), np.stack([cut + 1, high], 1).ravel()
     return np.sort(np.concatenate(cuts))
 
 
