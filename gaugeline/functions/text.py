@@ -15,6 +15,17 @@ from gaugeline import fixed_values as V
 UNICODE = "(?U)"
 
 
+# Windows-1252 differs from Latin-1 in the range 80-9F only; five bytes there mean nothing
+_C1 = "".join(chr(c) for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore"))
+_WINDOWS = _C1.encode("latin-1").decode("cp1252")
+UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
+
+
+def windows_text(value: Column) -> Column:
+    """Bytes as Windows-1252 text; bytes without a meaning stay in the range of ``UNDEFINED``."""
+    return F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), _C1, _WINDOWS)
+
+
 def cleaned(text: Column) -> Column:
     """Control and format characters become spaces, white space collapses, ends are trimmed."""
     return F.trim(

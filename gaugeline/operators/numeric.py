@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,53 +15,37 @@ from gaugeline import fixed_values as V
 from gaugeline.columns import finite_sql, numeric_columns, sql_text
 from gaugeline.functions.local import small_table
 from gaugeline.operators.distinct import union_all
-from gaugeline.operators.metrics import ratio, unpivot_row
-from gaugeline.operators.quantiles import quantile_values
+from gaugeline.operators.metrics import ratio
+from gaugeline.operators.quantiles import solve
 from gaugeline.settings import DEFAULTS, Settings
-
-OUTLIER_SCHEMA = (
-    "position int, column string, outlier_count bigint, outlier_pct double, "
-    "lower_bound double, upper_bound double, non_null_count bigint, raw_lower double, raw_upper double"
-)
-
-
-def iqr_bounds(
-    df: DataFrame, columns: Sequence[str] | None = None, settings: Settings = DEFAULTS
-) -> list[tuple[str, int, float, float]]:
-    """[(column, finite rows, lower, upper)] for columns with enough finite values."""
-    names = list(columns) if columns is not None else numeric_columns(df)
-    bounds = []
-    for name, n, (q1, q3) in quantile_values(df, names, (0.25, 0.75), settings):
-        if n >= V.OUTLIER_MIN_VALUES:
-            reach = V.IQR_FACTOR * (q3 - q1)
-            bounds.append((name, n, q1 - reach, q3 + reach))
-    return bounds
-
+from gaugeline.sources.files import materialized
 
 def outliers(
     df: DataFrame, columns: Sequence[str] | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Outlier counts of every column from one scan against the exact bounds."""
-    bounds = iqr_bounds(df, columns, settings)
-    if not bounds:
-        return small_table(df.sparkSession, [], OUTLIER_SCHEMA)
-    values = df.selectExpr(*[f"{finite_sql(df, b[0])} AS x{i}" for i, b in enumerate(bounds)])
-    places = range(len(bounds))
-    row = values.selectExpr(
-        *[
-            f"sum(CASE WHEN x{i} < double('{low!r}') OR x{i} > double('{high!r}') THEN 1L ELSE 0L END) AS o{i}"
-            for i, (_, _, low, high) in enumerate(bounds)
-        ]
-    ).selectExpr(
-        *[f"o{i}" for i in places],
-        *[f"{b[1]}L AS n{i}" for i, b in enumerate(bounds)],
-        *[f"double('{b[2]!r}') AS l{i}" for i, b in enumerate(bounds)],
-        *[f"double('{b[3]!r}') AS u{i}" for i, b in enumerate(bounds)],
-    )
-    table = unpivot_row(
-        row,
-        [b[0] for b in bounds],
-        {"outlier_count": "o", "non_null_count": "n", "raw_lower": "l", "raw_upper": "u"},
+    """Outlier counts of every column against its exact bounds, from the scans of the quartiles.
+
+    Columns whose bounds those scans left open share one scan more.
+    """
+    names = list(columns) if columns is not None else numeric_columns(df)
+    solved = solve(df, names, (0.25, 0.75), settings, V.IQR_FACTOR)
+    kept = [q for q in solved if q.rows >= V.OUTLIER_MIN_VALUES]
+    bounds = []
+    for q in kept:
+        q1, q3 = q.values
+        reach = V.IQR_FACTOR * (q3 - q1)
+        bounds.append((q1 - reach, q3 + reach))
+    open_ = [i for i, q in enumerate(kept) if q.outliers is None]
+    if open_:
+        row = df.selectExpr(*[f"{finite_sql(df, kept[i].column)} AS x{i}" for i in open_]).selectExpr(
+            *[f"count_if(x{i} < double('{bounds[i][0]!r}') OR x{i} > double('{bounds[i][1]!r}')) AS o{i}" for i in open_]
+        ).first()
+        for i in open_:
+            kept[i].outliers = row[f"o{i}"]
+    rows = [(i, q.column, q.outliers, q.rows, *map(float, bounds[i])) for i, q in enumerate(kept)]
+    table = small_table(
+        df.sparkSession, rows,
+        "position int, column string, outlier_count bigint, non_null_count bigint, raw_lower double, raw_upper double",
     )
     return table.select(
         "position", "column", "outlier_count",
@@ -85,7 +70,7 @@ def pearson_pairs(
     generated code.  Two columns without gaps share their column sums with every other
     such pair; a pair with gaps sums over its own complete rows.  r is NULL when a
     column does not vary over the rows of the pair.  Tables of more than ``CODE_COLUMNS``
-    columns take the sums of the second scan as matrix products, task by task.
+    columns take the sums of the second scan as matrix products in packed blocks.
     """
     names = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
     pairs = list(combinations(range(len(names)), 2))
@@ -142,52 +127,140 @@ def pearson_pairs(
     return _pearson(moments)
 
 
-GRAM_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 # columns above which generated code for all pairs grows too large
 CODE_COLUMNS = 24
-# variance that rounding alone can leave in n * sum of squares, relative to it
-ROUNDING = 1e-12
+#: Columns of a block, columns whose matrices a task holds, and blocks merged by a task.
+BLOCK_COLUMNS, TASK_COLUMNS, FAN_IN = 128, 1024, 32
+#: Layers of a block for columns i (rows) and j: sums over rows that have both, then the
+#: least and greatest values of i and of j over those rows.
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+LEAST, MOST = ("lox", "loy"), ("hix", "hiy")
+LAYERS = (*SUMS, *LEAST, *MOST)
+BLOCKS = "part bigint, left_block int, right_block int, data binary"
 
 
-def _gram_task(fields: tuple[str, ...]):
-    """Task function: sums over the complete rows of every pair of columns, one row a pair.
+def _merge(a: np.ndarray, b: np.ndarray, sums: int, least: int) -> np.ndarray:
+    """Two stacks of layers as one: sums, then minima, then maxima."""
+    return np.concatenate([
+        a[:sums] + b[:sums], np.minimum(a[sums : sums + least], b[sums : sums + least]),
+        np.maximum(a[sums + least :], b[sums + least :]),
+    ])
 
-    It closes over plain values and modules only, so workers need no copy of this package.
-    """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = None
+def _gram_task(edge: int, layers: tuple[int, int]):
+    """Task function: packed blocks of the moments of all pairs of columns."""
+
+    def square(batch: pa.RecordBatch) -> np.ndarray:
+        values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        there = ~np.isnan(values)
+        x, m = np.where(there, values, 0.0), there.astype(float)
+        low, high = np.where(there, values, np.inf), np.where(there, values, -np.inf)
+        # over all rows first; columns with gaps then restrict the rows of their pairs
+        least = np.repeat(low.min(axis=0)[:, None], values.shape[1], 1)
+        most = np.repeat(high.max(axis=0)[:, None], values.shape[1], 1)
+        for j in np.flatnonzero(~there.all(axis=0)):
+            rows = there[:, j]
+            least[:, j] = low[rows].min(axis=0, initial=np.inf)
+            most[:, j] = high[rows].max(axis=0, initial=-np.inf)
+        s, q = x.T @ m, (x * x).T @ m
+        return np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x, least, least.T, most, most.T])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            there = ~np.isnan(values)
-            x, m = np.where(there, values, 0.0), there.astype(float)
-            parts = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            totals = parts if totals is None else totals + parts
-        if totals is not None:
-            i, j = np.triu_indices(totals.shape[1], 1)
-            columns = [pa.array(np.arange(len(i)), pa.int64()), pa.array(i, pa.int64()), pa.array(j, pa.int64())]
-            columns += [pa.array(part[i, j], pa.float64()) for part in totals]
-            yield pa.RecordBatch.from_arrays(columns, names=["position", "i", "j", *fields])
+            if batch.num_rows:
+                found = square(batch)
+                total = found if total is None else _merge(total, found, *layers)
+        if total is None:
+            return
+        part, n = TaskContext.get().partitionId(), total.shape[1]
+        for i in range(0, n, edge):
+            for j in range(i, n, edge):
+                data = np.ascontiguousarray(total[:, i : i + edge, j : j + edge]).tobytes()
+                columns = [pa.array([part], pa.int64()), pa.array([i // edge], pa.int32()),
+                           pa.array([j // edge], pa.int32()), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "left_block", "right_block", "data"])
 
-    return sums
+    return blocks
+
+
+def _merger(columns: int, edge: int, depth: int, layers: tuple[int, int]):
+    """Group function: the packed blocks of one place as one."""
+
+    def merged(table: pa.Table) -> pa.Table:
+        i, j = table["left_block"][0].as_py(), table["right_block"][0].as_py()
+        shape = depth, min(edge, columns - i * edge), min(edge, columns - j * edge)
+        total = None
+        for data in table["data"]:
+            found = np.frombuffer(data.as_buffer(), float).reshape(shape)
+            total = found if total is None else _merge(total, found, *layers)
+        first = table.slice(0, 1)
+        return first.set_column(first.schema.get_field_index("data"), "data", pa.array([total.tobytes()], pa.binary()))
+
+    return merged
+
+
+def _unpacked(names_: tuple[str, ...], columns: int, edge: int):
+    """Task function: a row for each pair of columns of merged blocks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                i, j = batch.column("left_block")[b].as_py(), batch.column("right_block")[b].as_py()
+                shape = len(names_), min(edge, columns - i * edge), min(edge, columns - j * edge)
+                data = np.frombuffer(batch.column("data")[b].as_buffer(), float).reshape(shape)
+                x, y = np.indices(shape[1:])
+                kept = (x + i * edge) < (y + j * edge)
+                ids = [pa.array((v[kept] + k * edge).astype(np.int64)) for v, k in ((x, i), (y, j))]
+                yield pa.RecordBatch.from_arrays(
+                    [*ids, *[pa.array(layer[kept]) for layer in data]], names=["i", "j", *names_]
+                )
+
+    return rows
+
+
+def _gram_blocks(shifted: DataFrame, columns: int) -> DataFrame:
+    """(i, j, moments) of all pairs of ``columns`` columns.
+
+    A task sends its moments as packed blocks, which are merged ``FAN_IN`` at a time, level by
+    level; no task holds more than that many blocks, however many tasks scan the table.
+    """
+    layers = len(SUMS), len(LEAST)
+    blocks = materialized(shifted.mapInArrow(_gram_task(BLOCK_COLUMNS, layers), BLOCKS), "gram-blocks")
+    parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    merge = _merger(columns, BLOCK_COLUMNS, len(LAYERS), layers)
+    while parts > 1:
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        blocks = blocks.groupBy("part", "left_block", "right_block").applyInArrow(merge, BLOCKS)
+        parts = -(-parts // FAN_IN)
+    schema = "i bigint, j bigint, " + ", ".join(f"{s} double" for s in LAYERS)
+    return blocks.mapInArrow(_unpacked(LAYERS, columns, BLOCK_COLUMNS), schema)
 
 
 def _gram_moments(shifted: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Moments of all pairs; tasks send one row a pair, added up by pair."""
-    schema = "position bigint, i bigint, j bigint, " + ", ".join(f"{s} double" for s in GRAM_SUMS)
-    added = (
-        shifted.mapInArrow(_gram_task(GRAM_SUMS), schema)
-        .groupBy("position", "i", "j")
-        .agg(*[F.sum(s).alias(s) for s in GRAM_SUMS])
-    )
+    """Moments of all pairs; more than ``TASK_COLUMNS`` columns are taken two groups at a time."""
+    half = TASK_COLUMNS // 2 if len(names) > TASK_COLUMNS else max(1, len(names))
+    groups = [list(range(g, min(g + half, len(names)))) for g in range(0, len(names), half)]
+    last, parts = len(groups) - 1, []
+    for a, b in combinations(range(len(groups)), 2) if last else [(0, 0)]:
+        chosen, n = (groups[a] + groups[b], len(groups[a])) if last else (groups[0], 0)
+        found = _gram_blocks(shifted.select(*[f"d{i}" for i in chosen]), len(chosen))
+        # pairs inside a group are taken from one of its jobs
+        kept = (F.col("i") < n) & (F.col("j") >= n)
+        if b == a + 1:
+            kept |= F.col("j") < n
+        if b == last and a >= last - 1:
+            kept |= F.col("i") >= n
+        place = F.array(*[F.lit(i).cast("bigint") for i in chosen])
+        parts.append(found.filter(kept).withColumns({"i": F.get(place, "i"), "j": F.get(place, "j")}))
+    moments = union_all(parts)
     listed = F.array(*[F.lit(n) for n in names])
-    varies = F.lit(True)
-    for v in "xy":
-        squares = F.col("n") * F.col(f"s{v}{v}")
-        varies &= squares - F.col(f"s{v}") * F.col(f"s{v}") > ROUNDING * squares
-    return added.select(
-        F.col("position").cast("int"), F.get(listed, F.col("i")).alias("left"),
-        F.get(listed, F.col("j")).alias("right"), *GRAM_SUMS, varies.alias("varies"),
+    before = F.col("i") * len(names) - F.col("i") * (F.col("i") + 1) / 2
+    varies = (F.col("lox") < F.col("hix")) & (F.col("loy") < F.col("hiy"))
+    return moments.select(
+        (before + F.col("j") - F.col("i") - 1).cast("int").alias("position"),
+        F.get(listed, F.col("i")).alias("left"), F.get(listed, F.col("j")).alias("right"),
+        *SUMS, varies.alias("varies"),
     )
 
 

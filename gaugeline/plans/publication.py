@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.functions.text import forbidden_path, has_credential
-
-try:
-    import ahocorasick
-except ImportError:  # plain substring tests give the same matches
-    ahocorasick = None
+from gaugeline.sources.files import materialized
 
 
 def link_targets(text: Column, pattern: str = V.MARKDOWN_LINK_PATTERN) -> Column:
@@ -71,56 +66,84 @@ def usable_secrets(settings_table: DataFrame) -> DataFrame:
     return settings_table.filter(named & (F.length("value") >= V.SECRET_MIN_LENGTH))
 
 
-_BATCH_PATTERNS = 20_000
+#: Bytes of a gram; shorter values are a gram of their own length.
+GRAM_BYTES = 8
+#: Rows of gram tables that are broadcast; larger ones meet the texts' grams in a shuffle.
+BROADCAST_GRAMS = 500_000
+#: A gram with more than this share of all looked-up occurrences is dealt to several tasks.
+HOT_SHARE = 1 / 1000
+
+
+def _hash(width: int | Column, gram: Column) -> Column:
+    return F.xxhash64(F.lit(width) if isinstance(width, int) else width, gram)
+
+
+def _text_grams(source: DataFrame, widths: list[int]) -> DataFrame:
+    """(k, pos, h): every byte gram of the texts; cut in the scan's own stage, texts are not copied."""
+    parts = []
+    for width in widths:
+        long = source.filter(F.octet_length("t") >= width)
+        places = long.select("k", "t", F.explode(F.sequence(F.lit(1), F.octet_length("t") - (width - 1))).alias("pos"))
+        parts.append(places.select("k", "pos", _hash(width, F.substr("t", F.col("pos"), F.lit(width))).alias("h")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _dealt(grams: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Grams joined with ``table`` on h; grams named in ``hot(h, salts)`` go to several tasks."""
+    if hot is None:
+        return grams.join(F.broadcast(table), "h")
+    salts = F.coalesce("salts", F.lit(1))
+    left = grams.join(F.broadcast(hot), "h", "left")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), salts)).drop("salts")
+    right = table.join(F.broadcast(hot), "h", "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+    return left.join(right, ["h", "salt"]).drop("salt")
 
 
 def known_secret_hits(
-    files: DataFrame, key: str, text: str, secrets: DataFrame, name: str, value: str
+    files: DataFrame, key: str, text: str, secrets: DataFrame, name: str, value: str,
+    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """(key, name) for every secret value that occurs in a text.
 
-    All values are sought at once while each text is read a single time, instead of
-    comparing every text with every value.  Values travel to the tasks in batches of a
-    fixed number of patterns; each batch is one more pass over the texts, so any
-    number of values works and no task holds more than one batch.
+    An index of rare grams: the occurrences of the values' byte grams in all texts are
+    counted, and each value is then sought by its rarest gram only.  A value with a gram that
+    occurs nowhere is in no text.  Texts that hold a value's rarest gram are tested for the
+    whole value.  UTF-8 lets bytes be compared in place of characters.
     """
-    spark = files.sparkSession
-    key_type = files.schema[key].dataType.simpleString()
-    name_type = secrets.schema[name].dataType.simpleString()
-    wanted = secrets.select(F.col(name).alias("n"), F.col(value).alias("v")).filter(F.length("v") > 0)
-    total = wanted.count()
-    batches = max(1, -(-total // _BATCH_PATTERNS))
+    kept = secrets.select(F.col(name).alias("n"), F.col(value).alias("v")).filter(F.length("v") > 0).distinct()
+    kept = materialized(kept, "known-values")
+    size = F.octet_length("v")
+    width = F.least(size, F.lit(GRAM_BYTES))
+    wanted = kept.select("v").distinct().select("v", size.alias("size"), width.alias("width"))
+    places = wanted.select("v", "width", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("width") + 1)).alias("pos"))
+    gram = F.substr(F.col("v").cast("binary"), F.col("pos"), F.col("width"))
+    grams = materialized(places.select("v", _hash(F.col("width"), gram).alias("h")).distinct(), "value-grams")
+    widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())  # GRAM_BYTES numbers at most
+    if not widths:
+        widths = [GRAM_BYTES]
     source = files.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    out = None
-    for b in range(batches):
-        part = wanted if batches == 1 else wanted.filter(F.pmod(F.xxhash64("n", "v"), F.lit(batches)) == b)
-        shared = spark.sparkContext.broadcast([(r["n"], r["v"]) for r in part.collect()])
-        hits = source.mapInPandas(_scanner(shared), f"k {key_type}, n {name_type}")
-        out = hits if out is None else out.unionByName(hits)
-    return out.select(F.col("k").alias(key), F.col("n").alias(name))
-
-
-def _scanner(shared):
-    """Task function over (k, t); it needs no copy of this package on the workers."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: dict[str, list] = {}
-        for n, v in shared.value:
-            names.setdefault(v, []).append(n)
-        machine = None
-        if ahocorasick is not None and names:
-            machine = ahocorasick.Automaton()
-            for v in names:
-                machine.add_word(v, v)
-            machine.make_automaton()
-        for batch in batches:
-            found = []
-            for k, t in zip(batch["k"], batch["t"]):
-                seen = {v for _, v in machine.iter(t)} if machine else {v for v in names if v in t}
-                found.extend((k, n) for v in seen for n in names[v])
-            yield pd.DataFrame(found, columns=["k", "n"])
-
-    return scan
+    found = _text_grams(source.withColumn("t", F.col("t").cast("binary")), widths)
+
+    listed = grams.select("h").distinct()
+    small = grams.count() <= broadcast_grams
+    met = found.join(F.broadcast(listed) if small else listed, "h", "left_semi")
+    counts = materialized(met.groupBy("h").agg(F.count("*").alias("n")), "gram-counts")
+    rare = grams.join(counts, "h", "left").groupBy("v").agg(
+        F.count_if(F.col("n").isNull()).alias("absent"), F.min(F.struct("n", "h")).alias("rarest")
+    )
+    anchors = rare.filter("absent = 0").select("v", F.col("rarest.h").alias("h"), F.col("rarest.n").alias("n"))
+    anchors = materialized(anchors, "anchors")
+    hot = None
+    if not small:
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        share = max(1.0, total * HOT_SHARE)
+        # at most 1 / HOT_SHARE grams can have that many occurrences
+        hot = anchors.filter(F.col("n") > share).select("h", F.ceil(F.col("n") / share).cast("bigint").alias("salts")).distinct()
+    pairs = materialized(_dealt(found, anchors.select("h", "v"), hot).select("k", "v").distinct(), "gram-hits")
+    hits = source.join(pairs.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
+    hits = hits.filter(F.contains("t", F.col("v"))).select("k", "v").join(kept, "v")
+    return hits.select(F.col("k").alias(key), F.col("n").alias(name))
 
 
 def file_problems(files: DataFrame) -> DataFrame:

@@ -88,6 +88,52 @@ def csv_quarantine(t: Tables) -> DataFrame:
     return bad.groupBy("record").agg(F.count("*").alias("n"))
 
 
+_RECORD_KIND = (
+    "CASE WHEN o_orderkey % 11 = 0 THEN 'lines' WHEN o_orderkey % 13 = 0 THEN 'short' WHEN o_orderkey % 17 = 0 THEN 'long' "
+    "WHEN o_orderkey % 19 = 0 THEN 'quote' ELSE 'good' END"
+)
+
+
+@query(
+    "csv_quarantine_records",
+    "SELECT o_orderkey, record, found, 2 AS expected FROM (SELECT o_orderkey, kind, "
+    "1 + row_number() OVER (PARTITION BY part ORDER BY o_orderkey) AS record, "
+    "CASE kind WHEN 'short' THEN 1 WHEN 'long' THEN 3 END AS found FROM "
+    f"(SELECT o_orderkey, o_orderkey // 20000 AS part, {_RECORD_KIND} AS kind FROM orders) k) r "
+    "WHERE kind IN ('short', 'long', 'quote')",
+)
+def csv_quarantine_records(t: Tables) -> DataFrame:
+    """Places of bad records in files whose cells span lines; reading goes on after each."""
+    path = files.work_dir(t.spark, "numbered-csv")
+    record = F.expr(
+        f"CASE {_RECORD_KIND} WHEN 'lines' THEN o_orderkey || ',\"one, \"\"two\"\"\\nand three\"' WHEN 'short' THEN CAST(o_orderkey AS STRING) "
+        "WHEN 'long' THEN o_orderkey || ',\"a,\\nb\",c' WHEN 'quote' THEN '\"' || o_orderkey || '\"x,1' ELSE o_orderkey || ',1' END"
+    )
+    rows = t.orders.select("o_orderkey", F.expr("o_orderkey div 20000").alias("part"), record.alias("record"))
+    lines = rows.select("part", "o_orderkey", F.posexplode(F.split("record", "\n")).alias("pos", "line"))
+    lines = lines.repartition("part").sortWithinPartitions("part", "o_orderkey", "pos")
+    _write_lines(lines, "key,one", F.col("line"), path, "part")
+    bad = csv_contract.quarantined_records(t.spark, path)
+    key = F.regexp_extract("raw", r"(\d+)", 1).cast("bigint").alias("o_orderkey")
+    return bad.select(key, "record", "found", "expected")
+
+
+_NOT_LATIN = r"[^\x01-\x7E\xA0-\xFF]"
+
+
+@query(
+    "csv_windows_1252",
+    f"SELECT doc_id, sha256('€ ' || regexp_replace(text, '{_NOT_LATIN}', '?', 'g')) AS digest FROM documents",
+)
+def csv_windows_1252(t: Tables) -> DataFrame:
+    """Whole texts with line breaks and quotes from files in Windows-1252."""
+    path = files.work_dir(t.spark, "windows-csv")
+    text = F.concat(F.lit("\u0080 "), F.regexp_replace("text", _NOT_LATIN, "?"))
+    synthetic.write_csv(t.documents.select("doc_id", text.alias("text")), path, "ISO-8859-1")  # byte 80 is the euro sign
+    got = csv_contract.import_csv(t.spark, path, files.work_dir(t.spark, "windows"), view=None)
+    return got.df.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 @query(
     "csv_quote_errors",
     "SELECT DISTINCT o_orderkey % 8 AS bucket FROM orders WHERE o_orderkey % 8 IN (1, 6)",

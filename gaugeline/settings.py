@@ -42,13 +42,12 @@ class Settings:
     broadcast_max_rows: int = 1_000_000
     long_text_bytes: int = 256
     quantile_accuracy: int = 10_000
-    quantile_steer_rows: int = 100_000
     quantile_finish_rows: int = 2_000_000
 
     def __post_init__(self) -> None:
         positive = (
             "max_findings_per_tool max_listed_classes broadcast_max_rows quantile_accuracy "
-            "quantile_steer_rows quantile_finish_rows"
+            "quantile_finish_rows"
         ).split()
         bad = [name for name in positive if getattr(self, name) < 1]
         if bad:

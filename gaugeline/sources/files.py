@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
-from gaugeline.functions.text import normalized_digest
+from gaugeline.functions.text import UNDEFINED, normalized_digest, windows_text
 from gaugeline.settings import DEFAULTS, Settings
 
-# binaryFile keeps one file in one value, so digests and strict parsing stop here
+# binaryFile keeps one file in one value, so digests of whole files stop here
 MAX_WHOLE_FILE_BYTES = 2**31 - 1024
 
 
@@ -100,7 +100,7 @@ def inspect_files(spark: SparkSession, path: str | list[str], settings: Settings
 
     A single splittable text scan; no file is held in memory as a whole.  ``layout`` is
     ``lines`` when every line is one record (splittable parsing) and ``records`` when
-    quoting or encoding needs the strict whole-file parser.
+    quoting or encoding needs the record parser.
     """
     listing = binary_files(spark, path).select(
         F.col("path").alias("file"), F.col("length").alias("bytes")
@@ -126,20 +126,17 @@ def inspect_files(spark: SparkSession, path: str | list[str], settings: Settings
         F.count_if(filled).alias("lines"),
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
         F.bool_or(value.contains("\u0000")).alias("binary"),
+        F.bool_or(~F.is_valid_utf8(value) & windows_text(value).rlike(UNDEFINED)).alias("neither"),
         F.bool_and(_single_line(value)).alias("neat"),
         F.min_by(value, head).alias("header"),
     )
-    limit = settings.max_upload_mb * 1024**2 or MAX_WHOLE_FILE_BYTES
     reason = (
         F.when(~F.lower("file").endswith(".csv"), "The name does not end in .csv.")
         .when(
             (F.coalesce("lines", F.lit(0)) == 0) | (F.size("starts") == 0), "There is no record in the file."
         )
         .when(F.col("binary"), "The file holds NUL characters, so it is no text.")
-        .when(
-            ~(F.col("utf8") & F.col("neat")) & (F.col("bytes") > min(limit, MAX_WHOLE_FILE_BYTES)),
-            "A file with multi-line or non-UTF-8 records is too large for the record parser.",
-        )
+        .when(~F.col("utf8") & F.col("neither"), "The bytes are neither UTF-8 nor Windows-1252.")
     )
     return listing.join(scanned, "file", "left").select(
         "file", "bytes", F.coalesce("lines", F.lit(0)).alias("lines"),

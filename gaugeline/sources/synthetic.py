@@ -75,10 +75,10 @@ def synthetic_range(
     return synthetic_table(spark.range(rows), "id", profile, seed)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8") -> None:
     """CSV in the form the contract reads: doubled quotes, empty fields for NULL."""
     (
-        df.write.mode("overwrite").option("header", "true").option("escape", '"')
+        df.write.mode("overwrite").option("header", "true").option("escape", '"').option("encoding", encoding)
         .option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false").csv(path)
     )

@@ -93,7 +93,7 @@ def test_quarantine_and_quote_errors(spark, tmp_path):
     (tmp_path / "r.csv").write_text('a,b\n"1\n2",3\n4\n')
     assert C.quarantined(C.open_csv(spark, str(tmp_path / "r.csv"))).count() == 1
     (tmp_path / "s.csv").write_text('a,b\n"1,2\n')
-    assert C.quote_errors(spark, str(tmp_path / "s.csv")).first()["record"] == 1
+    assert C.quote_errors(spark, str(tmp_path / "s.csv")).first()["record"] == 2
 
 
 def test_several_files_must_share_a_header(spark, tmp_path):

@@ -9,7 +9,7 @@ from gaugeline.operators import numeric
 from gaugeline.operators.quantiles import exact_quantiles, quantile_values
 from gaugeline.settings import Settings
 
-TIGHT = Settings(quantile_accuracy=20, quantile_steer_rows=50, quantile_finish_rows=5)
+TIGHT = Settings(quantile_accuracy=20, quantile_finish_rows=5)
 
 
 def check(spark, columns, active):
@@ -75,3 +75,46 @@ def test_correlation_matches_numpy(spark):
             assert row["r"] is None
         else:
             assert row["r"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+
+
+@pytest.mark.parametrize("task_columns", [1024, 20])
+def test_wide_correlation_in_blocks(spark, monkeypatch, task_columns):
+    monkeypatch.setattr(numeric, "BLOCK_COLUMNS", 7)
+    monkeypatch.setattr(numeric, "FAN_IN", 2)
+    monkeypatch.setattr(numeric, "TASK_COLUMNS", task_columns)
+    rnd = np.random.default_rng(9)
+    n, p = 240, 31
+    data = rnd.normal(size=(n, p))
+    data[:, 1] = 3.3
+    data[:, 2] = data[:, 0] * 2 + 1e9
+    data[rnd.random((n, p)) < 0.2] = np.nan
+    data[:, 3], data[:, 4] = np.nan, np.where(np.arange(n) % 2 == 0, 1.0, np.nan)
+    data[:, 5] = np.where(np.arange(n) % 2 == 0, np.nan, rnd.normal(size=n))
+    names = [f"c{i}" for i in range(p)]
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in data]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = numeric.pearson_pairs(df).orderBy("position").collect()
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    assert [(r["position"], r["left"], r["right"]) for r in got] == [(k, names[i], names[j]) for k, (i, j) in enumerate(pairs)]
+    for row, (i, j) in zip(got, pairs):
+        ok = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+        x, y = data[ok, i], data[ok, j]
+        if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
+            assert row["r"] is None
+        else:
+            assert row["r"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+
+
+def test_outliers_come_from_the_scans_of_the_quartiles(spark):
+    rnd = np.random.default_rng(4)
+    columns = {
+        "gauss": rnd.normal(size=5000), "tail": rnd.standard_t(1.5, size=5000), "int": rnd.integers(0, 50, 5000).astype(float),
+        "same": np.full(5000, 2.0), "odd": np.where(rnd.random(5000) < 0.98, 1.0, rnd.normal(size=5000)),
+    }
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns))
+    for active in (Settings(), TIGHT):
+        for row in numeric.outliers(df, settings=active).collect():
+            x = columns[row["column"]]
+            q1, q3 = np.quantile(x, [0.25, 0.75])
+            bad = int(((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).sum())
+            assert (row["column"], row["outlier_count"]) == (row["column"], bad)

@@ -117,14 +117,24 @@ def test_nonfinite_anywhere(spark):
     assert row["s"]["x"] == 2.0 and row["s"]["y"] == [None] and row["replaced"] == 4
 
 
-def test_known_secrets_in_batches(spark, monkeypatch):
-    files = spark.createDataFrame([(i, f"noise value{i % 7:04d}x tail" * (i % 3)) for i in range(60)], "id int, t string")
-    secrets = spark.createDataFrame([(f"n{i}", f"value{i:04d}") for i in range(9)] + [("dup", "value0001")], "n string, v string")
-    expected = {(f["id"], s["n"]) for f in files.collect() for s in secrets.collect() if s["v"] in f["t"]}
-    for size in (20_000, 3):
-        monkeypatch.setattr(publication, "_BATCH_PATTERNS", size)
-        got = publication.known_secret_hits(files, "id", "t", secrets, "n", "v").collect()
-        assert {(r["id"], r["n"]) for r in got} == expected and len(got) == len(expected)
+def test_known_secrets_by_rare_grams(spark):
+    texts = [f"noise value{i % 7:04d}x tail" * (i % 3) for i in range(60)]
+    texts += ["naïve größe-ß€", "aaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaa", "k", "", "x" * 3000 + "needle-in-it" + "y" * 3000, None, "needle-in-i"]
+    files = spark.createDataFrame([(i if i != 62 else None, t) for i, t in enumerate(texts)], "id int, t string")
+    known = [(f"n{i}", f"value{i:04d}") for i in range(9)] + [("dup", "value0001"), ("dup", "value0001"), ("long", "needle-in-it")]
+    known += [("hot", "aaaaaaaaaaaa"), ("short", "k"), ("mid", "größe"), ("euro", "€"), ("none", None), ("empty", ""), ("gone", "absent value")]
+    secrets = spark.createDataFrame(known, "n string, v string")
+    expected = sorted(
+        (i, n) for i, t in enumerate(texts) if t is not None for n, v in set(known) if v and v in t
+    )
+    for rows in (500_000, 0):
+        got = publication.known_secret_hits(files, "id", "t", secrets, "n", "v", rows).collect()
+        assert sorted((62 if r["id"] is None else r["id"], r["n"]) for r in got) == expected
+    assert publication.known_secret_hits(files, "id", "t", secrets.where("false"), "n", "v").collect() == []
+    assert publication.known_secret_hits(files.where("false"), "id", "t", secrets, "n", "v").collect() == []
+
+
+def test_usable_secrets(spark):
     named = spark.createDataFrame([("API_KEY", "123456789"), ("token", "short"), ("HOST", "123456789")], "name string, value string")
     assert [r["name"] for r in publication.usable_secrets(named).collect()] == ["API_KEY"]
 
