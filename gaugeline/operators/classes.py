@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.columns import present, ref
 from gaugeline.operators.metrics import ratio
+from gaugeline.operators.ranking import ranked_rows
 
 
 SCAN_POSITION = ("_metadata.file_path", "_metadata.row_index")
@@ -81,19 +82,21 @@ def too_many_classes(unique: int, rows: int, limit: int) -> bool:
     return bool(limit) and unique > min(limit, share)
 
 
+def class_order() -> list[Column]:
+    """Most frequent first; ties keep the order in which the classes first occur."""
+    return [F.desc("n"), F.asc_nulls_last("first_seen"), F.col("label").cast("string").asc()]
+
+
 def ranked_classes(df: DataFrame, target: str, order_by: Sequence[str] | None = None) -> DataFrame:
     """(position, class, count, proportion, percentage), most frequent first.
 
-    Ties keep the order in which the classes first occur in the source.  The windows
-    run over one row per class.
+    Ties keep the order in which the classes first occur in the source.  Classes are ranked
+    by ranges, so any number of them works.
     """
-    counts = class_counts(df, target, order_by)
-    ordered = Window.orderBy(
-        F.desc("n"), F.asc_nulls_last("first_seen"), F.col("label").cast("string")
-    )
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(
-        F.row_number().over(ordered).alias("position"),
+    ranked = ranked_rows(class_counts(df, target, order_by), class_order())
+    total = F.lit(ranked.agg(F.sum("n")).first()[0])
+    return ranked.select(
+        F.col("position").cast("bigint").alias("position"),
         F.col("label").cast("string").alias("class"),
         F.col("n").alias("count"),
         ratio(F.col("n"), total, 4).alias("proportion"),
@@ -114,6 +117,10 @@ def summarize_classes(distribution: DataFrame) -> DataFrame:
         F.max_by("class", "position").alias("minority_class"),
         ratio(F.max("count"), F.min("count"), 4).alias("majority_minority_ratio"),
     )
+    return _graded(summary)
+
+
+def _graded(summary: DataFrame) -> DataFrame:
     r = F.col("majority_minority_ratio")
     return summary.withColumn(
         "severity", F.when(r >= V.IMBALANCE_HIGH, "high").when(r >= V.IMBALANCE_MEDIUM, "medium")
@@ -121,4 +128,17 @@ def summarize_classes(distribution: DataFrame) -> DataFrame:
 
 
 def class_imbalance(df: DataFrame, target: str, order_by: Sequence[str] | None = None) -> DataFrame:
-    return summarize_classes(class_distribution(df, target, order_by))
+    """:func:`summarize_classes` from the counts alone: the ends of the ranking need no ranking."""
+    counts = class_counts(df, target, order_by)
+    place = F.struct(
+        (-F.col("n")).alias("n"), F.col("first_seen").isNull().alias("unseen"), F.col("first_seen"),
+        F.col("label").cast("string").alias("label"),
+    )
+    ends = counts.agg(
+        F.count("*").alias("classes"), F.min(place).alias("first"), F.max(place).alias("last"),
+        F.max("n").alias("most"), F.min("n").alias("least"),
+    )
+    return _graded(ends.select(
+        "classes", F.col("first.label").alias("majority_class"), F.col("last.label").alias("minority_class"),
+        ratio(F.col("most"), F.col("least"), 4).alias("majority_minority_ratio"),
+    ))

@@ -78,29 +78,19 @@ def _plain_distinct(df: DataFrame, name: str) -> DataFrame:
 
 
 def _hashed_distinct(df: DataFrame, name: str) -> DataFrame:
-    """Distinct long values without shuffling them all.
+    """Distinct long values by their SHA-256: one exchange, of digests and counts only.
 
-    Eight-byte hashes are grouped first.  A hash seen once stands for one value; only
-    rows whose hash repeats are compared in full, so a collision cannot change the count.
+    Digests are taken where values are read, equal ones are folded in each task, and no text
+    is shuffled.
     """
-    keyed = df.selectExpr(f"{present_sql(df, name)} AS value").selectExpr(
-        "value", "CASE WHEN value IS NOT NULL THEN xxhash64(value) END AS h"
-    )
-    hashes = keyed.groupBy("h").agg(F.expr("count(*) AS n"))
-    once = hashes.selectExpr(
-        "count_if(h IS NOT NULL AND n = 1) AS unique_count",
-        "coalesce(sum(n) FILTER (WHERE h IS NOT NULL), 0) AS non_null_count",
+    value = df.selectExpr(f"{present_sql(df, name)} AS value")
+    digest = F.unhex(F.sha2(F.col("value").cast("string"), 256)).alias("digest")
+    groups = value.select(digest).groupBy("digest").agg(F.count("*").alias("n"))
+    return groups.selectExpr(
+        f"{sql_text(name)} AS column", "count(digest) AS unique_count",
+        "coalesce(sum(n) FILTER (WHERE digest IS NOT NULL), 0) AS non_null_count",
         "coalesce(sum(n), 0) AS row_count",
     )
-    repeats = hashes.filter("h IS NOT NULL AND n > 1").select("h")
-    several = (
-        keyed.join(repeats, "h", "left_semi").select("value").distinct()
-        .selectExpr("count(*) AS unique_count", "0L AS non_null_count", "0L AS row_count")
-    )
-    return once.unionByName(several).selectExpr(
-        f"{sql_text(name)} AS column", "sum(unique_count) AS unique_count",
-        "sum(non_null_count) AS non_null_count", "sum(row_count) AS row_count",
-    )
 
 
 STEER_ROWS = 1000

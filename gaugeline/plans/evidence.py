@@ -14,16 +14,26 @@ from gaugeline.settings import DEFAULTS, Settings
 
 
 def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Limit the findings each observation carries and disclose what was left out.
-
-    At most ``max_findings_per_tool`` findings stay, then as many leading ones as fit
-    the byte budget beside the header fields.  Omitted counts are part of the output,
-    and the complete findings remain in the input table.
+    """Limit what each observation carries and disclose what was left out.
+
+    At most ``max_findings_per_tool`` findings stay.  Beyond the byte budget, the details in
+    ``data`` (JSON text, if there is such a column) go first, then findings from the last on,
+    and an observation whose header alone is too long is passed on as skipped.  A column
+    ``nonfinite`` counts statistics that were replaced by null.  ``findings_total`` is the
+    number of findings there are, if the array is short of some already
+    (:func:`observed_findings`).  The complete findings remain in the input table.
     """
-    total = F.coalesce(F.size("findings"), F.lit(0))
+    if "findings_total" in observations.columns:
+        total = F.col("findings_total")
+    else:
+        total = F.coalesce(F.size("findings"), F.lit(0))
     listed = F.slice(F.coalesce("findings", F.array()), 1, settings.max_findings_per_tool)
     head = F.octet_length(F.to_json(F.struct("tool", "status", "summary")))
     sizes = F.transform("kept", lambda f: F.octet_length(F.to_json(f)))
+    budget = settings.max_observation_bytes
+    data = F.col("data") if "data" in observations.columns else F.lit(None).cast("string")
+    data_size = F.coalesce(F.octet_length(data), F.lit(0))
+    all_sizes = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, s: acc + s)
     # running total of sizes: fold to (sum, fitting), stop growing at the first overflow
     zero = F.struct(F.col("head").cast("bigint").alias("used"), F.lit(0).alias("fitting"))
     step = F.aggregate(
@@ -31,7 +41,7 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
         lambda acc, s: F.struct(
             (acc["used"] + s).alias("used"),
             F.when(
-                acc["used"] + s <= settings.max_observation_bytes, acc["fitting"] + 1
+                acc["used"] + s <= budget, acc["fitting"] + 1
             ).otherwise(acc["fitting"]).alias("fitting"),
         ),
         lambda acc: acc["fitting"],
@@ -40,15 +50,21 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
         observations.withColumn("findings_total", total)
         .withColumn("kept", listed)
         .withColumn("head", head)
-        .withColumn("fitting", step)
-        .withColumn("oversize", F.col("head") > settings.max_observation_bytes)
+        .withColumn("data_omitted", (data_size > 0) & (F.col("head") + data_size + all_sizes > budget))
+        .withColumn("fitting", F.when(F.col("data_omitted") | (data_size == 0), step).otherwise(F.size("kept")))
+        .withColumn("oversize", F.col("head") > budget)
     )
     kept = F.when(F.col("oversize"), F.slice("kept", 1, 0)).otherwise(F.slice("kept", 1, F.col("fitting")))
     omitted = F.col("findings_total") - F.size("findings")
     return (
         out.withColumn("findings", kept)
         .withColumn("findings_omitted", omitted)
-        .withColumn("output_limited", F.col("oversize") | (F.col("findings_omitted") > 0))
+        .withColumn("output_limited", F.col("oversize") | F.col("data_omitted") | (F.col("findings_omitted") > 0))
+        .withColumns({"data": F.when(F.col("data_omitted") | F.col("oversize"), F.lit("{}")).otherwise(data)} if "data" in observations.columns else {})
+        .withColumns(
+            {"coverage_limitation": F.when(F.col("nonfinite") > 0, F.lit(V.NONFINITE_LIMITATION))}
+            if "nonfinite" in observations.columns else {}
+        )
         .withColumn("status", F.when(F.col("oversize"), "skipped").otherwise(F.col("status")))
         .withColumn(
             "summary", F.when(F.col("oversize"), V.OVERSIZE_SUMMARY).otherwise(F.col("summary"))
@@ -63,6 +79,19 @@ def bound_observations(observations: DataFrame, settings: Settings = DEFAULTS) -
     )
 
 
+def observed_findings(
+    observations: DataFrame, findings: DataFrame, keys: list[str], settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Observations with the leading findings of each as an array, and ``findings_total`` of all.
+
+    Only the rows that may stay are gathered: a rank filter keeps them before the shuffle.
+    """
+    totals = findings.groupBy(*keys).agg(F.count("*").alias("findings_total"))
+    top = leading_rows(findings, keys, "position", settings.max_findings_per_tool)
+    joined = observations.join(finding_array(top, keys), keys, "left").join(totals, keys, "left")
+    return joined.withColumn("findings_total", F.coalesce("findings_total", F.lit(0)))
+
+
 def bounded_data(data: dict, settings: Settings = DEFAULTS) -> tuple[dict, dict]:
     """Trim long lists and mappings of one check's data; also returns how much was left out."""
     caps = {list: settings.max_findings_per_tool, dict: settings.max_schema_columns or None}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
 from gaugeline.functions.text import repeat_number
+from gaugeline.operators.ranking import numbered_rows
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *recency: str) -> DataFrame:
@@ -32,13 +33,13 @@ def event_sequence(
 ) -> DataFrame:
     """Position of each row within its key.
 
-    ``bucket`` is a coarse, never decreasing function of the order columns.  With it a
-    key is numbered bucket by bucket in parallel: the rows of earlier buckets are
-    counted, and only those small counts are summed up per key.
+    Keys with very many rows are found by a sketch and numbered in parts by ranges of the
+    order.  ``bucket``, a coarse, never decreasing function of the order columns, gives the
+    parts beforehand: the rows of earlier buckets are counted, and only those small counts are
+    summed up per key.
     """
     if bucket is None:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn("sequence", place)
+        return numbered_rows(df, keys, order)
     parts = [*keys, "__bucket"]
     cut = df.withColumn("__bucket", bucket)
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

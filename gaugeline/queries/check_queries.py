@@ -404,6 +404,17 @@ def class_order_ties(t: Tables) -> DataFrame:
     return classes.class_distribution(t.nation, "n_regionkey", ["n_nationkey"])
 
 
+@query("class_distribution_customers", _classes_sql("orders", "o_custkey", "o_orderkey"))
+def class_distribution_customers(t: Tables) -> DataFrame:
+    """A target with a class for every customer, ranked in full."""
+    return classes.class_distribution(t.orders, "o_custkey", ["o_orderkey"])
+
+
+@query("class_imbalance_customers", _imbalance_sql("orders", "o_custkey", "o_orderkey"))
+def class_imbalance_customers(t: Tables) -> DataFrame:
+    return classes.class_imbalance(t.orders, "o_custkey", ["o_orderkey"])
+
+
 @query("class_imbalance_toxic", _imbalance_sql("labels", "toxic", "doc_id"))
 def class_imbalance_toxic(t: Tables) -> DataFrame:
     return classes.class_imbalance(t.labels, "toxic", ["doc_id"])
@@ -467,6 +478,32 @@ def strong_correlations(t: Tables) -> DataFrame:
     return numeric.strong_correlations(t.lineitem.selectExpr(*PAIR_LINES))
 
 
+# 60 columns, a third of them with gaps; the divisors make some pairs related
+_WIDE = [
+    f"CASE WHEN {k} % 3 = 0 AND (l_orderkey + {k}) % 5 = 0 THEN NULL ELSE "
+    f"CAST((l_partkey * {1 + k % 7} + l_suppkey * {k % 4} + l_linenumber * {k}) % {50 + 3 * k} AS DOUBLE) END AS w{k:02d}"
+    for k in range(60)
+]
+
+
+def _wide_sql() -> str:
+    pairs = [(f"w{i:02d}", f"w{j:02d}") for i in range(60) for j in range(i + 1, 60)]
+    found = ", ".join(f"round(corr({a}, {b}), 6)" for a, b in pairs)
+    listed = ", ".join(f"'{a} {b}'" for a, b in pairs)
+    return (
+        f"SELECT CAST(p - 1 AS INTEGER) AS position, pair[1:3] AS \"left\", pair[5:7] AS \"right\", r + 0.0 AS r FROM (SELECT "
+        f"unnest(range(1, {len(pairs) + 1})) AS p, unnest([{listed}]) AS pair, unnest(rs) AS r FROM "
+        f"(SELECT [{found}] AS rs FROM (SELECT {', '.join(_WIDE)} FROM lineitem) w) s) u"
+    )
+
+
+@query("pearson_pairs_wide", _wide_sql())
+def pearson_pairs_wide(t: Tables) -> DataFrame:
+    """All 1,770 pairs of 60 columns by matrix products."""
+    pairs = numeric.pearson_pairs(t.lineitem.selectExpr(*_WIDE))
+    return pairs.withColumn("r", F.round("r", 6) + F.lit(0.0))
+
+
 # -- findings and the suite -----------------------------------------------------------------------
 
 

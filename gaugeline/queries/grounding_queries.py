@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.operators import findings
+from gaugeline.operators import findings, ranking
 from gaugeline.plans import evidence, grounding, reconcile
 from gaugeline.queries.registry import Tables, query
 from gaugeline.settings import Settings
@@ -308,16 +308,15 @@ def findings_byte_budget(t: Tables) -> DataFrame:
 
 @query(
     "bounded_observations",
-    "SELECT tool, least(total, 20) AS findings_total, least(total, 5) AS kept, least(total, 20) - least(total, 5) AS findings_omitted, "
+    "SELECT tool, total AS findings_total, least(total, 5) AS kept, greatest(total - 5, 0) AS findings_omitted, "
     "total > 5 AS output_limited FROM (SELECT event_type || '_' || user_id AS tool, count(*) AS total FROM events GROUP BY event_type, user_id) e",
 )
 def bounded_observations(t: Tables) -> DataFrame:
-    """Twenty findings are stored per tool, five are passed on."""
+    """Five of all findings of a tool are passed on; the others are counted."""
     named = _event_findings(t).withColumn("tool", F.concat("source_tool", F.lit("_"), F.col("column")))
-    stored = findings.top_findings(named, ["tool"], "position", 20)
-    listed = evidence.finding_array(stored, ["tool"])
-    observed = listed.withColumn("status", F.lit("ok")).withColumn("summary", F.lit("Events."))
-    bounded = evidence.bound_observations(observed, Settings(max_findings_per_tool=5))
+    observed = named.select("tool", F.lit("ok").alias("status"), F.lit("Events.").alias("summary")).distinct()
+    five = Settings(max_findings_per_tool=5)
+    bounded = evidence.bound_observations(evidence.observed_findings(observed, named, ["tool"], five), five)
     return bounded.select(
         "tool", F.col("findings_total").cast("bigint").alias("findings_total"),
         F.size("findings").cast("bigint").alias("kept"),
@@ -325,6 +324,36 @@ def bounded_observations(t: Tables) -> DataFrame:
     )
 
 
+_HEAD = "strlen('{\"tool\":\"' || tool || '\",\"status\":\"ok\",\"summary\":\"Events.\"}')"
+
+
+@query(
+    "observation_byte_budget",
+    "SELECT tool, n AS findings_total, data_omitted, CASE WHEN data_omitted THEN fitting ELSE n END AS kept, "
+    "n - CASE WHEN data_omitted THEN fitting ELSE n END AS findings_omitted, nonfinite FROM (SELECT tool, "
+    "count(*) AS n, min(head) + min(data) + sum(size) > 2048 AS data_omitted, min(u) % 4 = 0 AS nonfinite, "
+    "count(*) FILTER (WHERE running + head <= 2048) AS fitting FROM (SELECT *, "
+    f"{_HEAD} AS head, 10 * (u % 130) + 4 AS data FROM (SELECT event_type || '_' || user_id AS tool, user_id AS u, {_SIZE} AS size, "
+    f"sum({_SIZE}) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS running FROM events) r) h GROUP BY tool) k",
+)
+def observation_byte_budget(t: Tables) -> DataFrame:
+    """Details go first, then findings from the last on, until 2 KiB hold the rest."""
+    named = _event_findings(t).withColumn("tool", F.concat("source_tool", F.lit("_"), F.col("column")))
+    user = F.col("column").cast("bigint")
+    observed = named.select(
+        "tool", F.lit("ok").alias("status"), F.lit("Events.").alias("summary"),
+        F.concat(F.lit('["'), F.repeat(F.lit("details..."), (user % 130).cast("int")), F.lit('"]')).alias("data"),
+        (user % 4 == 0).cast("int").alias("nonfinite"),
+    ).distinct()
+    small = Settings(max_findings_per_tool=1_000_000, max_observation_bytes=2048)
+    bounded = evidence.bound_observations(evidence.observed_findings(observed, named, ["tool"], small), small)
+    return bounded.select(
+        "tool", F.col("findings_total").cast("bigint").alias("findings_total"), (F.col("data") == "{}").alias("data_omitted"),
+        F.size("findings").cast("bigint").alias("kept"), F.col("findings_omitted").cast("bigint").alias("findings_omitted"),
+        F.col("coverage_limitation").isNotNull().alias("nonfinite"),
+    )
+
+
 @query(
     "event_sequence",
     "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events",
@@ -337,6 +366,16 @@ def event_sequence(t: Tables) -> DataFrame:
     ).drop("ts")
 
 
+@query(
+    "event_sequence_by_type",
+    "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS sequence FROM events",
+)
+def event_sequence_by_type(t: Tables) -> DataFrame:
+    """A few keys with most of the rows, numbered in parts that the order's own ranges give."""
+    events = t.events.select("event_id", "event_type", "ts")
+    return ranking.numbered_rows(events, ["event_type"], ["ts", "event_id"], hot_rows=1).drop("ts")
+
+
 @query(
     "evidence_bundles",
     f"{BASE_SQL} SELECT run_id, count(*) AS events, 1 AS schema_version, "

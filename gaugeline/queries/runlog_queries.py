@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.plans import reconcile
 from gaugeline.queries.registry import Tables, query, select_sql
+from gaugeline.sources import files
+from gaugeline.sources.store import Store
 
 TOOL = (
     "CASE event_id % 4 WHEN 0 THEN 'missing_values_check' WHEN 1 THEN 'duplicate_rows_check' "
@@ -246,6 +248,26 @@ def stored_results(t: Tables) -> DataFrame:
     return missing_requests(requested, stored).select("user_id", "tool")
 
 
+@query(
+    "stored_results_appended",
+    "SELECT user_id, event_type AS tool, CASE WHEN bool_or(event_id % 3 = 0) THEN count(*) FILTER (WHERE event_id % 3 = 0) "
+    "ELSE count(*) END AS found, CASE WHEN bool_or(event_id % 3 = 0) THEN 1 ELSE 2 END AS run, 0 AS added_again "
+    "FROM events GROUP BY user_id, event_type",
+)
+def stored_results_appended(t: Tables) -> DataFrame:
+    """A second run adds the results the first one lacks; a third one finds nothing to add."""
+    store, keys = Store(t.spark, files.work_dir(t.spark, "results")), ["user_id", "tool"]
+
+    def results(events: DataFrame, run: int) -> DataFrame:
+        counted = events.groupBy("user_id", F.col("event_type").alias("tool")).agg(F.count("*").alias("found"))
+        return counted.withColumn("run", F.lit(run))
+
+    store.append_missing(results(t.events.filter("event_id % 3 = 0"), 1), keys)
+    store.append_missing(results(t.events, 2), keys)
+    again = store.append_missing(results(t.events, 3), keys)
+    return store.read().withColumn("added_again", F.lit(again))
+
+
 _FILES = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) d"
 
 

@@ -282,6 +282,41 @@ def file_digests(t: Tables) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
+_TREE_FAN = 64
+
+
+def _tree_sql() -> str:
+    line = "o_orderkey || ',' || o_orderstatus || ',' || o_custkey"
+    level = "SELECT part, place // {fan} AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {name} GROUP BY ALL"
+    steps = [
+        f"lines AS (SELECT o_orderkey // 20000 AS part, o_orderkey AS k, {line} AS line FROM orders)",
+        "sizes AS (SELECT part, sum(strlen(line) + 1) + strlen('row') + 1 AS length FROM lines GROUP BY part)",
+        "l0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY k) AS place, sha256(line) AS digest FROM lines "
+        "UNION ALL SELECT part, 0, sha256('row') FROM sizes)",
+    ]
+    steps += [f"l{n} AS ({level.format(fan=_TREE_FAN, name=f'l{n - 1}')})" for n in range(1, 5)]
+    tops = union_sql([
+        f"SELECT part, {n} AS level, min(digest) AS digest FROM l{n} GROUP BY part HAVING count(*) = 1" for n in range(1, 5)
+    ])
+    return (
+        f"WITH {', '.join(steps)} SELECT part, CAST(length AS BIGINT) AS length, "
+        f"sha256(arg_min(digest, level) || ' ' || CAST(length AS BIGINT)) AS sha256 FROM ({tops}) t JOIN sizes USING (part) GROUP BY part, length"
+    )
+
+
+@query("file_tree_digests", _tree_sql())
+def file_tree_digests(t: Tables) -> DataFrame:
+    """Digests of files of any size from trees over their lines."""
+    path = files.work_dir(t.spark, "tree-csv")
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_custkey")
+    rows = t.orders.select(F.expr("o_orderkey div 20000").alias("part"), "o_orderkey", line.alias("line"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "o_orderkey")
+    _write_lines(rows, "row", F.col("line"), path, "part")
+    found = files.tree_digests(t.spark, path, _TREE_FAN)
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part")
+    return found.select(part, "length", "sha256")
+
+
 @query("inspect_csv_files", "SELECT 'utf-8' AS encoding, 'lines' AS layout, count(*) AS rows FROM nation")
 def inspect_csv_files(t: Tables) -> DataFrame:
     """Encoding and layout verdicts; header lines are not counted as rows."""

@@ -32,8 +32,8 @@ class Settings:
     # size of a shortened observation (:func:`gaugeline.plans.evidence.bound_observations`)
     max_findings_per_tool: int = 20
     max_observation_bytes: int = 16384
-    # classes that an observation on the driver lists; it tells how many more there are
-    max_listed_classes: int = 10_000
+    # classes that an observation on the driver lists, 0 for all; it tells how many more there are
+    max_listed_classes: int = 0
     # 0 switches the quartile admission rule off: the quantile job spills, so it
     # does not need the rule; set a byte budget to reproduce the skip status
     max_quantile_bytes: int = 0
@@ -46,7 +46,7 @@ class Settings:
 
     def __post_init__(self) -> None:
         positive = (
-            "max_findings_per_tool max_listed_classes broadcast_max_rows quantile_accuracy "
+            "max_findings_per_tool broadcast_max_rows quantile_accuracy "
             "quantile_finish_rows"
         ).split()
         bad = [name for name in positive if getattr(self, name) < 1]

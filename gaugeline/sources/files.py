@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
@@ -70,6 +70,47 @@ def file_digests(spark: SparkSession, path: str | list[str], line_feeds: bool =
     return binary_files(spark, path).select("path", "length", digest.alias("sha256"))
 
 
+#: Children of a node of a digest tree.
+TREE_FAN = 1024
+
+
+def tree_digests(spark: SparkSession, path: str | list[str], fan: int = TREE_FAN) -> DataFrame:
+    """(path, length, sha256) of files of any size, each read by many tasks.
+
+    The root of a tree of SHA-256: leaves are the digests of the lines (cut at line feeds),
+    each ``fan`` neighbours are joined as lower-case hex and digested, level by level, and the
+    root is digested once more with the length in bytes.  It does not depend on how files are
+    cut into blocks, and it is not the SHA-256 of the content.  Scans show no empty files.
+    """
+    listing = binary_files(spark, path).select("path", "length")
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.sha2("value", 256).alias("digest"),
+    )
+    lines = materialized(lines, "leaf-digests")
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # the rows of a block are read by one task, so their ids follow each other
+    place = F.col("before") + F.col("id") - F.col("first")
+    nodes = lines.join(counts, ["path", "block"]).select("path", place.alias("place"), "digest")
+    done = None
+    while True:
+        parent = F.floor(F.col("place") / fan)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "")
+        nodes = nodes.groupBy("path", parent.alias("parent")).agg(F.sha2(joined, 256).alias("digest"))
+        nodes = materialized(nodes.withColumnRenamed("parent", "place"), "node-digests")
+        ends = nodes.groupBy("path").agg(F.max("place").alias("last"))
+        tops = nodes.join(ends.filter("last = 0"), "path").select("path", "digest")
+        done = tops if done is None else done.unionAll(tops)
+        more = ends.filter("last > 0")
+        if more.isEmpty():
+            break
+        nodes = nodes.join(more.select("path"), "path", "left_semi")
+    named = F.concat("digest", F.lit(" "), F.col("length").cast("string"))
+    return listing.join(done, "path").select("path", "length", F.sha2(named, 256).alias("sha256"))
+
+
 def content_fingerprint(digests: DataFrame) -> str:
     """SHA-256 of one file, or of the sorted file digests of several."""
     row = digests.agg(

@@ -136,7 +136,7 @@ def test_preview_is_of_the_first_file_and_a_failed_import_keeps_the_table(spark,
     (folder / "c.csv").write_text("k,v\n1,2,3\n")
     with pytest.raises(C.ContractError):
         C.import_csv(spark, str(folder), str(tmp_path / "t"), view=None)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 20_003
+    assert C.read_table(spark, str(tmp_path / "t")).count() == 20_003
 
 
 @pytest.mark.parametrize("profile", ["tall_numeric", "quoted_unicode", "null_heavy"])
