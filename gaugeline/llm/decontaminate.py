@@ -50,22 +50,30 @@ _CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}=]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 _UNIT = r"(?i)(?<=\p{Nd}\s|#n\s|\p{Nd}|#n)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
 
 
-def tokens(text: Column, values: bool = False, every: bool = False) -> Column:
-    """Template tokens; with ``values`` each placeholder also shows what it stands for.
-
-    With ``every`` all capitalised words are names, also where a sentence starts.  All forms
-    have the same tokens at the same places.
-    """
+def _raw_tokens(text: Column, values: bool = False) -> Column:
+    """Template tokens with their letters' case, capitalised words at sentence starts left as they are."""
     shown = "=$0" if values else ""
     text = F.replace(F.replace(text, F.lit("#")), F.lit("="))
     measured = F.regexp_replace(F.regexp_replace(text, _NUMBER, f"#n{shown}"), _UNIT, f" #u{shown}")
     text = F.when(text.rlike(r"\p{Nd}"), measured).otherwise(text)
     text = F.regexp_replace(text, _NAME, f"#a{shown}")
-    if every:
-        text = F.regexp_replace(text, _CAPITALISED, f"#a{shown}")
     # punctuation stays between digits only, and templates have none left
     between = r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})" if values else r"[^\p{L}\p{N}#=]+"
-    return F.filter(F.split(F.lower(text), between), lambda t: t != "")
+    return F.filter(F.split(text, between), lambda t: t != "")
+
+
+def _named(token: Column, values: bool = False) -> Column:
+    """A raw token in the second reading, in which every capitalised word is a name."""
+    return F.lower(F.regexp_replace(token, _CAPITALISED, "#a=$0" if values else "#a"))
+
+
+def tokens(text: Column, values: bool = False, every: bool = False) -> Column:
+    """Template tokens; with ``values`` each placeholder also shows what it stands for.
+
+    With ``every`` all capitalised words are names, also where a sentence starts.  All forms
+    have the same tokens at the same places.
+    """
+    return F.transform(_raw_tokens(text, values), lambda t: _named(t, values) if every else F.lower(t))
 
 
 def with_windows(rows: DataFrame, widths: list[int], values: bool = False) -> DataFrame:
@@ -77,49 +85,60 @@ def with_windows(rows: DataFrame, widths: list[int], values: bool = False) -> Da
     anew; explode the windows by an outer generator, as Spark would filter by the array's
     size before it is computed otherwise.
     """
-    rows = rows.withColumn("h", F.transform(tokens(F.col("text"), values), lambda t: F.xxhash64(t)))
+    # both readings come from one cut of the text; most tokens have no capital and are hashed once
+    rows = rows.withColumn("c", _raw_tokens(F.col("text"), values)).withColumn("l", F.transform("c", F.lower))
+    rows = rows.withColumn("h", F.transform("l", lambda t: F.xxhash64(t)))
     if not values:
-        rows = rows.withColumn("e", F.transform(tokens(F.col("text"), every=True), lambda t: F.xxhash64(t)))
+        rows = rows.withColumn("e", F.transform(
+            F.arrays_zip("c", "l", "h"), lambda z: F.when(z["c"] == z["l"], z["h"]).otherwise(F.xxhash64(_named(z["c"])))
+        ))
+    rows = rows.drop("c", "l")
     kind = [F.lit("values")] if values else []
 
-    def hashed(rows: DataFrame, of: str, width: int) -> DataFrame:
-        shifted = [F.slice(of, F.lit(k + 1), F.greatest(F.size(of) - k, F.lit(0))).alias(f"h{k}") for k in range(width)]
-        rows = rows.withColumn("z", F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size(of) - width + 1, F.lit(0))))
-        return rows.withColumn(f"{of}w", F.transform("z", lambda z: F.xxhash64(*kind, *(z[f"h{k}"] for k in range(width)))))
+    def at(of: str, i: Column, width: int) -> list[Column]:
+        return [F.get(of, i + k) for k in range(width)]
 
     def window(i: Column, w: Column, sure: Column, every: Column) -> Column:
         return F.struct(i.alias("pos"), w.alias("w"), sure.alias("sure"), every.alias("every"))
 
     yes, no = F.lit(True), F.lit(False)
     for width in widths:
-        rows = hashed(rows, "h", width)
-        if values:
-            rows = rows.withColumn(f"ws{width}", F.transform("hw", lambda w, i: window(i, w, yes, yes)))
-            continue
-        rows = hashed(rows, "e", width).withColumn("z", F.arrays_zip("hw", "ew"))
-        first = F.transform("z", lambda z, i: window(i, z["hw"], yes, z["hw"] == z["ew"]))
-        second = F.transform("z", lambda z, i: F.when(z["hw"] != z["ew"], window(i, z["ew"], no, yes)))
-        rows = rows.withColumn(f"ws{width}", F.concat(first, F.filter(second, lambda x: x.isNotNull())))
+        places = F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width)).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn("i", places)
+        first = F.transform("i", lambda i: F.struct(
+            i.alias("pos"), F.xxhash64(*kind, *at("h", i, width)).alias("w"),
+            (yes if values else functools.reduce(lambda a, b: a & b, [x == y for x, y in zip(at("h", i, width), at("e", i, width))])).alias("every"),
+        ))
+        rows = rows.withColumn("z", first)
+        made = F.transform("z", lambda z: window(z["pos"], z["w"], yes, z["every"]))
+        if not values:
+            other = F.transform(
+                F.filter("z", lambda z: ~z["every"]),
+                lambda z: window(z["pos"], F.xxhash64(*at("e", z["pos"], width)), no, yes),
+            )
+            made = F.concat(made, other)
+        rows = rows.withColumn(f"ws{width}", made)
     made = [f"ws{width}" for width in widths]
-    return rows.withColumn("ws", F.concat(*made)).drop("h", "e", "hw", "ew", "z", *made)
+    return rows.withColumn("ws", F.concat(*made)).drop("h", "e", "i", "z", *made)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, ipos, w, sure, every, n_windows, width, valued): windows of every item.
+    """(item_id, item_hash, ipos, w, sure, every, n_windows, width, valued): windows of every item.
 
     These are its template windows that hold enough literal words, or nothing but such; an
     item with none of them has all its windows with values.  An item with fewer tokens than
-    a window has one of its own width; rows of one item_id are merged.
+    a window has one of its own width; each distinct text of an item_id is an item of its own.
     """
     rows = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     rows = rows.where("text is not null").distinct().withColumn("t", tokens(F.col("text")))
+    rows = rows.withColumn("item_hash", F.xxhash64("text"))
     rows = rows.withColumn("te", tokens(F.col("text"), every=True))
     rows = rows.withColumn("width", F.least(F.size("t"), F.lit(WINDOW)))
 
     def windows(of: DataFrame, values: bool) -> DataFrame:
         parts = [
             with_windows(of.where(F.col("width") == width), [width], values).select(
-                "item_id", "text", "t", "te", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
+                "item_id", "item_hash", "t", "te", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
             )
             for width in range(1, WINDOW + 1)
         ]
@@ -129,10 +148,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     literal = F.size(F.filter(F.slice(shown, F.col("ipos") + 1, F.col("width")), lambda t: ~F.contains(t, F.lit("#"))))
     telling = windows(rows, False).where(literal >= F.least(F.col("width"), F.lit(LITERALS)))
     telling = materialized(telling, "item-templates")
-    rest = rows.join(telling.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti")
-    kept = telling.unionAll(windows(rest, True)).select("item_id", "ipos", "w", "sure", "every", "width", "valued").distinct()
-    counts = kept.where("sure").groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return kept.join(counts, "item_id")
+    rest = rows.join(telling.select("item_id", "item_hash").distinct(), ["item_id", "item_hash"], "left_anti")
+    kept = telling.unionAll(windows(rest, True)).select(
+        "item_id", "item_hash", "ipos", "w", "sure", "every", "width", "valued"
+    ).distinct()
+    counts = kept.where("sure").groupBy("item_id", "item_hash").agg(F.count("*").alias("n_windows"))
+    return kept.join(counts, ["item_id", "item_hash"])
 
 
 def document_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -160,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
 
     Columns: doc_id, item_id, windows (of the item found), n_windows, start (token of the
     document where the item begins), slots, verbatim (all slot values are the item's own)
-    and text_hash.  Null, empty and wordless texts match nothing; a null doc_id is reported
+    and text_hash.  Items are the distinct texts of each item_id.  Null, empty and wordless texts match nothing; a null doc_id is reported
     as null; rows of one id with different texts are separate.  Other columns are not read.
     """
     text = F.col("text").cast("string")
@@ -168,12 +189,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     known = materialized(item_windows(benchmark), "item-windows")
     places = document_windows(rows, known)
-    known = known.select("item_id", "ipos", "w", "n_windows", F.col("sure").alias("isure"), F.col("every").alias("ievery"))
+    known = known.select("item_id", "item_hash", "ipos", "w", "n_windows", F.col("sure").alias("isure"), F.col("every").alias("ievery"))
     hits = places.join(_small(known, BROADCAST_WINDOWS), "w").select(
-        "doc_id", "text_hash", "item_id", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset"),
+        "doc_id", "text_hash", "item_id", "item_hash", "n_windows", "ipos", (F.col("dpos") - F.col("ipos")).alias("offset"),
         (F.col("sure") & F.col("isure")).alias("sure"), (F.col("every") & F.col("ievery")).alias("every"),
     ).where("sure or every")
-    by_offset = hits.groupBy("doc_id", "text_hash", "item_id", "n_windows", "offset").agg(
+    by_offset = hits.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_windows", "offset").agg(
         F.collect_set("ipos").alias("found"), F.collect_set(F.when(F.col("sure"), F.col("ipos"))).alias("found_sure")
     )
     enough = share * F.col("n_windows")
@@ -181,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     def union(of: str) -> Column:
         return F.size(F.array_distinct(F.flatten(F.collect_list(of))))
 
-    found = by_offset.groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(
+    found = by_offset.groupBy("doc_id", "text_hash", "item_id", "item_hash", "n_windows").agg(
         union("found").alias("windows"), union("found_sure").alias("windows_sure"),
         F.collect_list(F.struct("offset", F.size("found").alias("n"), F.size("found_sure").alias("n_sure"))).alias("places"),
     ).where(F.col("windows") >= enough)
@@ -192,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     # every offset with enough windows, or with the most when they are spread over several
     found = found.withColumn("least", most("n")).withColumn("least_sure", most("n_sure"))
     at_each = found.select("*", F.inline("places")).select(
-        "doc_id", "text_hash", "item_id", "windows", "n_windows", F.col("offset").cast("int").alias("start"), "n",
+        "doc_id", "text_hash", "item_id", "item_hash", "windows", "n_windows", F.col("offset").cast("int").alias("start"), "n",
         ((F.col("windows_sure") >= enough) & (F.col("n_sure") >= F.col("least_sure"))).alias("sure"),
         (F.col("n") >= F.col("least")).alias("every"),
     )
@@ -207,10 +228,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
         ]
 
     valued = texts.select("text_hash", *forms("d"))
-    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(
-        F.min(F.col("text").cast("string")).alias("text")
-    )
-    aligned = candidates.join(valued, "text_hash").join(items.select("item_id", *forms("i")), "item_id")
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    items = items.distinct().select("item_id", F.xxhash64("text").alias("item_hash"), *forms("i"))
+    aligned = candidates.join(valued, "text_hash").join(items, ["item_id", "item_hash"])
     at = F.col("start")
 
     def pairs(t: str, v: str) -> Column:
@@ -233,7 +253,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFram
     slots = F.when(F.col("sure"), own("pairs")).otherwise(own("epairs"))
     verbatim = F.forall("epairs", lambda p: p["item"] == p["doc"])
     best = F.max(F.struct(verbatim.alias("verbatim"), "n", (-at).alias("back"), slots.alias("slots"))).alias("best")
-    return judged.groupBy("doc_id", "text_hash", "item_id", "windows", "n_windows").agg(best).select(
+    return judged.groupBy("doc_id", "text_hash", "item_id", "item_hash", "windows", "n_windows").agg(best).select(
         "doc_id", "item_id", "windows", "n_windows", (-F.col("best.back")).alias("start"), "best.slots", "best.verbatim",
         "text_hash",
     )

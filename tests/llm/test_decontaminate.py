@@ -122,3 +122,20 @@ def test_both_readings_have_the_same_places(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionAll(odd)
     sizes = [F.size(dc.tokens(F.col("text"), v, e)) for v in (False, True) for e in (False, True)]
     assert rows.where(F.greatest(*sizes) != F.least(*sizes)).count() == 0
+
+
+def test_texts_under_one_item_id_are_items_of_their_own(spark):
+    one = "Which of these rivers runs through the old town of the northern valley?"
+    two = "Name the metal that melts at the lowest temperature among the listed ones."
+    docs = spark.createDataFrame([(1, f"Notes. {one} More."), (2, f"Then {two}"), (3, "nothing of it here at all")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (7, two), (None, one)], "item_id bigint, text string")
+    got = dc.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.windows == r.n_windows) for r in got) == [(1, 7, True), (2, 7, True)]
+    assert [r.doc_id for r in dc.without_leaks(docs, items).collect()] == [3]
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    one = "Which of these rivers runs through the old town of the northern valley?"
+    docs = spark.createDataFrame([(1, "Plain words, 12 of them. " * 60_000 + one), (2, "Plain words, 12 of them. " * 60_000)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, one)], "item_id bigint, text string")
+    assert [(r.doc_id, r.start) for r in dc.leaks(docs, items).collect()] == [(1, 300_000)]
