@@ -6,12 +6,15 @@
 2. Equal sets form a class that goes on as its smallest document, so exact copies never
    meet each other in pairs.
 3. Every class is compared with the smallest class of each of its buckets (a star, never
-   all pairs): set sizes and signature bits first, then the full shingle sets.
+   all pairs): set sizes, signature bits and parities first, then the full shingle sets.
 4. Alternating large-star and small-star steps turn the links into components.
 5. Buckets that still hold several components are settled: what lies outside a bucket's
-   largest component is compared with the rest of the bucket.  Signature bits and a bound
-   from shingles that occur once are part of the join condition, so only likely pairs leave
-   the join.
+   largest component is compared with the rest of the bucket.  Signature bits and parities
+   are part of the join condition, so only likely pairs leave the join.
+
+Parities bound the difference of two sets from below: every shingle flips one of 512 bits, so
+sets whose bits differ in d places differ in d shingles at least.  This refutes near copies
+that fall a little short of the similarity, and never a link.
 
 Sets travel as hash arrays of classes that occur in a likely pair; labels, links and sets
 stay in Spark.
@@ -33,8 +36,10 @@ BANDS, ROWS = 48, 6
 HASHES = BANDS * ROWS
 WORDS_OF_BITS = -(-HASHES // 64)
 #: Unequal signature bits of two sets of similarity 0.8 are binomial (288, 0.1): 28.8 on
-#: average with a deviation of 5.1.  Over seven deviations more means no link.
-MOST_UNEQUAL = 66
+#: average with a deviation of 5.1.  More than this has a probability below 1e-7.
+MOST_UNEQUAL = 58
+#: Bits of a set's parity sketch.
+PARITIES = 512
 #: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Word hashes remembered by a Python worker.
@@ -104,22 +109,28 @@ def signature_bits(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` cells whether an odd number of shingles falls into it."""
+    cells = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, high, low, bits, bands = [], [], [], [], []
+            sizes, high, low, bits, bands, odd = [], [], [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), width)
                 sizes.append(len(found))
                 if not len(found):
-                    high.append(None), low.append(None), bits.append(None), bands.append(None)
+                    high.append(None), low.append(None), bits.append(None), bands.append(None), odd.append(None)
                     continue
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 high.append(int.from_bytes(digest[:8], "little", signed=True))
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
                 if digest in seen:
-                    bits.append(None), bands.append(None)
+                    bits.append(None), bands.append(None), odd.append(None)
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -127,13 +138,14 @@ def _signer(width: int):
                 least = minima(found)
                 bits.append(signature_bits(least))
                 bands.append(band_keys(least))
+                odd.append(parities(found))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()),
-                    pa.array(low, pa.int64()), pa.array(bits, longs), pa.array(bands, longs),
+                    pa.array(low, pa.int64()), pa.array(bits, longs), pa.array(bands, longs), pa.array(odd, longs),
                 ],
-                names=["doc_id", "n", "k1", "k2", "bits", "bands"],
+                names=["doc_id", "n", "k1", "k2", "bits", "bands", "odd"],
             )
 
     return sign
@@ -176,11 +188,15 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(ids, key, "left_semi")
 
 
-def _likely(n1: Column, n2: Column, bits1: Column, bits2: Column, percent: int) -> Column:
-    unequal = sum(
-        (F.bit_count(bits1[i].bitwiseXOR(bits2[i])) for i in range(WORDS_OF_BITS)), F.lit(0)
-    )
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (unequal <= MOST_UNEQUAL)
+def _unequal(a: str, b: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
+
+
+def _likely(percent: int) -> Column:
+    """Whether classes with facts na, bits_a, odd_a and nb, bits_b, odd_b may be similar enough."""
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    differ = (100 + percent) * _unequal("odd_a", "odd_b", PARITIES // 64) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return sizes & (_unequal("bits_a", "bits_b", WORDS_OF_BITS) <= MOST_UNEQUAL) & differ
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -188,27 +204,9 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows_of(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def _flat(width: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(text.as_py(), width).view(np.int64)
-                ids = pa.array(np.full(len(found), doc_id.as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found)], names=["id", "h"])
-
-    return sets
-
-
-def single_shingles(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, single): how many of a document's shingles no other of the documents ``ids`` has."""
-    flat = _texts(docs, materialized(ids, "open-ids")).mapInArrow(_flat(width), "id bigint, h bigint")
-    holders = flat.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return holders.groupBy("id").agg(F.count("*").alias("single"))
-
-
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select("a").distinct().unionAll(pairs.select("b").distinct()).toDF("doc_id").distinct()
     sets = materialized(
         _texts(docs, materialized(ids, "pair-ids")).mapInArrow(_hashed(width), "id bigint, hashes binary"), "shingle-sets"
     )
@@ -262,15 +260,8 @@ def _bucket_rows(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
-def _open_pairs(
-    docs: DataFrame, buckets: DataFrame, classes: DataFrame, labels: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """Likely pairs across the components that still share a bucket.
-
-    Shingles that no other class of these buckets has are in no intersection.  This bounds
-    the similarity of every pair before it leaves the join, and keeps classes that merely
-    surround a group of copies from meeting all of its members.
-    """
+def _open_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across the components that still share a bucket."""
     named = (
         buckets.where("size > 2")
         .join(labels, F.col("rep") == F.col("id"), "left")
@@ -284,25 +275,19 @@ def _open_pairs(
         .select("key", F.col("top.component").alias("top"))
     )
     rows = named.where("rep != pivot").join(mixed, "key")
-    single = single_shingles(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), width)
-    facts = classes.select("rep", "n", "bits")
-    shared = F.col("n") - F.coalesce(F.col("single"), F.lit(0))
-    rows = rows.join(facts, "rep").join(single.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = materialized(rows.withColumn("shared", shared).drop("single"), "open-buckets")
+    rows = materialized(rows.join(classes.select("rep", "n", "bits", "odd"), "rep"), "open-buckets")
     left = rows.where("component != top").select(
         "key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("top").alias("t"),
-        F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("shared").alias("sa"),
+        F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("odd").alias("odd_a"),
     )
     right = rows.select(
         "key", F.col("rep").alias("b"), F.col("component").alias("cb"),
-        F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("shared").alias("sb"),
+        F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("odd").alias("odd_b"),
     )
-    near = _likely(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent)
-    near &= (100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))
     once = (F.col("cb") == F.col("t")) | (F.col("a") < F.col("b"))
     return (
         left.join(right, "key")
-        .where((F.col("ca") != F.col("cb")) & once & near)
+        .where((F.col("ca") != F.col("cb")) & once & _likely(percent))
         .select("a", "b", "ca", "cb")
         .distinct()
     )
@@ -322,7 +307,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     signed = materialized(
         plain.mapInArrow(
             _signer(width),
-            "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits array<bigint>, bands array<bigint>",
+            "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits array<bigint>, bands array<bigint>, "
+            "odd array<bigint>",
         ),
         "signatures",
     )
@@ -332,22 +318,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         .agg(
             F.min("doc_id").alias("rep"), F.first("n").alias("n"),
             F.first("bits", ignorenulls=True).alias("bits"),
-            F.first("bands", ignorenulls=True).alias("bands"),
+            F.first("bands", ignorenulls=True).alias("bands"), F.first("odd", ignorenulls=True).alias("odd"),
         )
         .where("rep is not null"),
         "classes",
     )
     buckets = materialized(_bucket_rows(classes), "buckets")
     stars = buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    facts = classes.select("rep", "n", "bits")
+    facts = classes.select("rep", "n", "bits", "odd")
     stars = (
-        stars.join(facts.toDF("b", "nb", "bits_b"), "b")
-        .join(facts.toDF("a", "na", "bits_a"), "a")
-        .where(_likely(F.col("na"), F.col("nb"), F.col("bits_a"), F.col("bits_b"), percent))
+        stars.join(facts.toDF("b", "nb", "bits_b", "odd_b"), "b")
+        .join(facts.toDF("a", "na", "bits_a", "odd_a"), "a")
+        .where(_likely(percent))
         .select("a", "b")
     )
     labels = components(confirmed(plain, materialized(stars, "star-pairs"), width, percent))
-    pairs = materialized(_open_pairs(plain, buckets, classes, labels, width, percent), "open-pairs")
+    pairs = materialized(_open_pairs(buckets, classes, labels, percent), "open-pairs")
     found = confirmed(plain, pairs.select("a", "b"), width, percent)
     joined = pairs.join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(joined).toDF("component", "merged")
@@ -374,9 +360,13 @@ def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 80) -> Data
 
     Rows without an id stay.  Of several equal rows of one id one stays.
     """
-    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null")
-    ids = materialized(kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept-ids")
-    chosen = docs.join(ids.select("__id"), F.col("doc_id").cast("bigint") == F.col("__id"), "left_semi")
-    if not ids.where("__n > 1").isEmpty():
+    told = near_duplicates(docs, width, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    told = materialized(told.agg(F.count("*").alias("__n"), F.bool_or("kept").alias("kept")), "told-ids")
+    dropped = told.where("not kept").select("__id")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    known = docs.where("doc_id is not null")
+    chosen = known.join(dropped, F.col("doc_id").cast("bigint") == F.col("__id"), "left_anti")
+    if not told.where("kept and __n > 1").isEmpty():
         chosen = chosen.dropDuplicates(docs.columns)
     return chosen.unionAll(docs.where("doc_id is null"))

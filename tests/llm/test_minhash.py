@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from gaugeline.llm import minhash
@@ -90,3 +91,13 @@ def test_components(spark, links):
     found = minhash.components(spark.createDataFrame(links, "a bigint, b bigint"))
     want = {2: 1} if len(links) == 1 else {5: 2, 4: 2, 3: 2, 9: 2, 8: 2, 7: 6} if links else {}
     assert {r.id: r.component for r in found.collect()} == want
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(0, 900), dtype=np.uint64)
+        a = np.unique(np.concatenate([base, rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([base, rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]))
+        odd = int(np.bitwise_count((minhash.parities(a) ^ minhash.parities(b)).view(np.uint64)).sum())
+        assert odd <= len(np.setxor1d(a, b)) and odd % 2 == len(np.setxor1d(a, b)) % 2
