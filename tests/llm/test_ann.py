@@ -15,7 +15,7 @@ def brute(ids, x, k=20):
     return out
 
 
-@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s"])
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_recall_and_scores(spark, size):
     table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
     got = {}

@@ -1,27 +1,37 @@
 """Ordinal regression: held-out ranking, order of thresholds, odd rows."""
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.llm import toxicity as tox
 
 
-def test_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
+@pytest.mark.parametrize(("size", "right", "ranked", "caught", "alarms"), [
+    ("check_s", 0.985, 0.99, 0.95, 0.005),
+    # a sixth of the labels to learn from
+    ("sf0.1", 0.94, 0.95, 0.6, 0.005),
+])
+def test_held_out_documents(spark, size, right, ranked, caught, alarms):
+    if not os.path.exists(f"/root/testdata/{size}"):
+        pytest.skip("not on this machine")
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = tox.fit(tox.examples(docs, labels.where(~apart)), 3)
     assert (np.diff(model.thresholds) > 0).all()
     judged = labels.where(apart).select("doc_id", F.col("toxic").alias("label"))
     got = tox.score(docs, model).join(judged, "doc_id").select("expected_severity", "toxic", "label")
     rows = got.collect()
-    right = [r[1] == (r.label == 1) for r in rows]
-    assert len(rows) > 500 and np.mean(right) > 0.985
+    print(size, np.mean([r[1] == (r.label == 1) for r in rows]), np.mean([r[1] for r in rows if r.label == 1]), np.mean([r[1] for r in rows if r.label == 0]))
+    assert len(rows) > 500 and np.mean([r[1] == (r.label == 1) for r in rows]) > right
     bad = [r[0] for r in rows if r.label == 1]
     good = [r[0] for r in rows if r.label == 0]
-    assert np.mean([(b > np.array(good)).mean() for b in bad]) > 0.99
-    assert np.mean([r[1] for r in rows if r.label == 1]) > 0.95
-    assert np.mean([r[1] for r in rows if r.label == 0]) < 0.005
+    assert np.mean([(b > np.array(good)).mean() for b in bad]) > ranked
+    assert np.mean([r[1] for r in rows if r.label == 1]) > caught
+    assert np.mean([r[1] for r in rows if r.label == 0]) < alarms
 
 
 def test_gradient_reaches_separated_grades():
