@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline import fixed_values as V
 from gaugeline.checks import Dataset, as_dataset
 from gaugeline.columns import categorical_columns, leading_columns, numeric_columns
+from gaugeline.functions.local import small_table
 from gaugeline.functions.sanitize import nonfinite_to_null
 from gaugeline.operators.findings import FINDING_FIELDS, leading_rows
 from gaugeline.settings import DEFAULTS, Settings
@@ -113,20 +114,27 @@ def bounded_entries(entries: DataFrame, keys: list[str], order: str, limit: int)
 
 
 def schema_context(
-    source: DataFrame | Dataset, target: str | None = None, settings: Settings = DEFAULTS,
-    selected: list[str] | None = None,
-) -> dict:
-    """Shape and column types only; cell values never enter it."""
+    source: DataFrame | Dataset, target: str | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """(position, name, dtype, kind, is_target, rows, columns_omitted) of the columns shown.
+
+    Column types only; cell values never enter it.  A target is always among the columns.
+    """
     ds = as_dataset(source)
+    numeric, categorical = set(numeric_columns(ds.df)), set(categorical_columns(ds.df))
     shown = leading_columns(ds.columns, settings.max_schema_columns, target)
-    omitted = len(ds.columns) - len(shown)
-    kinds = {"numeric_columns": numeric_columns(ds.df), "categorical_columns": categorical_columns(ds.df)}
-    context = {kind: [c for c in shown if c in set(names)] for kind, names in kinds.items()}
-    context |= {"schema": [{"name": c, "dtype": ds.dtypes[c]} for c in shown]}
-    context |= {"schema_columns_omitted": omitted, "schema_truncated": omitted > 0}
-    context |= {"target_column": target if target in ds.columns else None}
-    context |= {"selected_numeric_columns": selected}
-    return context | {"rows": ds.row_count, "columns": len(ds.columns), "backend": "spark"}
+    rows = [
+        (
+            ds.columns.index(c), c, ds.dtypes[c],
+            "numeric" if c in numeric else "categorical" if c in categorical else "other",
+            c == target, ds.row_count, len(ds.columns) - len(shown),
+        )
+        for c in shown
+    ]
+    return small_table(
+        ds.df.sparkSession, rows,
+        "position int, name string, dtype string, kind string, is_target boolean, rows bigint, columns_omitted int",
+    )
 
 
 def evidence_bundle(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gaugeline import checks
 from gaugeline.columns import identifier_named_column, inf_to_null
 from gaugeline.operators import classes, distinct, findings, metrics, numeric, quantiles
+from gaugeline.operators.distinct import union_all
 from gaugeline.queries.registry import Tables, query, select_sql, union_sql
 
 INF = "CAST('inf' AS DOUBLE)"
@@ -555,14 +556,15 @@ def findings_duplicates(t: Tables) -> DataFrame:
 
 @query(
     "findings_outliers",
-    "SELECT 'IQR outliers' AS issue, 'medium' AS severity, \"column\" FROM "
+    "SELECT 'IQR outliers' AS issue, 'medium' AS severity, \"column\", outlier_count || '/' || non_null_count || ' values outside [' || "
+    "printf('%.4g', lower_bound) || ', ' || printf('%.4g', upper_bound) || '] (' || outlier_pct || '%)' AS evidence FROM "
     f"({_outlier_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'])} UNION ALL "
     f"{_outlier_sql('(SELECT event_id, user_id, value FROM events) t', ['event_id', 'user_id', 'value'])}) o "
     "WHERE outlier_count > 0",
 )
 def findings_outliers(t: Tables) -> DataFrame:
     both = numeric.outliers(t.orders).unionByName(numeric.outliers(t.events.select("event_id", "user_id", "value")))
-    return findings.outlier_findings(both).select("issue", "severity", "column")
+    return findings.outlier_findings(both).select("issue", "severity", "column", "evidence")
 
 
 @query(
@@ -642,6 +644,22 @@ def skip_reasons(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "quartile_admission",
+    union_sql([
+        f"SELECT {step} AS step, CASE WHEN count(*) FILTER (WHERE o_orderkey % {step} = 0) * 24 > 24000 THEN 'skipped' ELSE 'ok' END AS status FROM orders"
+        for step in (1, 5, 40)
+    ]),
+)
+def quartile_admission(t: Tables) -> DataFrame:
+    """Whether quartiles are admitted depends on the finite values of a column, not on the rows."""
+    tight, found = checks.Settings(max_quantile_bytes=48_000), []
+    for step in (1, 5, 40):
+        column = t.orders.selectExpr(f"CASE WHEN o_orderkey % {step} = 0 THEN o_totalprice END AS v")
+        found.append(checks.suite(column, ["outlier_check"], settings=tight).select(F.lit(step).alias("step"), "status"))
+    return union_all(found)
+
+
 @query("flagship_suite")
 def flagship_suite(t: Tables) -> DataFrame:
     """Every check over lineitem: status, coverage and findings."""

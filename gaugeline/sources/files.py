@@ -35,16 +35,33 @@ def work_dir(spark: SparkSession, label: str) -> str:
 _made: list[str] = []
 
 
+def work_mark() -> int:
+    """A mark for :func:`take_work`: folders made from now on lie after it."""
+    return len(_made)
+
+
+def take_work(mark: int) -> list[str]:
+    """The folders made since ``mark``; the caller drops them, :func:`drop_work` no longer does."""
+    taken = _made[mark:]
+    del _made[mark:]
+    return taken
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete folders and empty the list; returns how many there were."""
+    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
+    while paths:
+        path = hadoop.Path(paths.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def drop_work(spark: SparkSession) -> int:
     """Delete the folders that jobs of this process have written under the shared folder.
 
     To be called when no frame that reads them is needed any more; returns their number.
     """
-    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
-    while _made:
-        path = hadoop.Path(_made.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return drop_paths(spark, _made)
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
