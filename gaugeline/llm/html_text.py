@@ -4,9 +4,9 @@ A page is cut into text blocks at block-level tags.  Each block gets a cost for
 content and one for being called boilerplate (its place in the document, names of its
 ancestors, links, length); these are capacities to the two terminals.  Neighbouring blocks
 and blocks near each other in the tree are joined by smoothness edges.  The minimum cut,
-found by augmenting shortest paths, gives the labels.  Blocks whose own cost outweighs all
-their edges keep their label in every minimum cut, so they are fixed first and only the
-rest goes through the flow.  Pages are independent: one Spark task labels its rows.
+found by blocking flows over level graphs, gives the labels.  Navigation, footers and the
+like are certain; names of elements have finite costs, which neighbours can outweigh.  Pages
+are independent: one Spark task labels its rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-HIDDEN = frozenset("script style noscript template svg math iframe object head title textarea select".split())
+HIDDEN = frozenset("script style noscript template svg iframe head title textarea select".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math mi mn mo mrow ms msqrt mstyle msub msubsup msup mtext".split()
 )
-BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside button menu dialog".split())
+FORM_TAGS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
     "menu nav ol p pre section table ul".split()
@@ -46,9 +48,12 @@ BAD_NAMES = frozenset(
 GOOD_NAMES = frozenset("article content entry post story main body text maintext articlebody".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
 )
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Names that tell what else is on the page, such as has-sidebar.
+_ABOUT = re.compile(r"(?:has|with|no|without|is|js)[-_][\w-]*", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?][^>]*", re.S)
 _HIDDEN_ATTRIBUTE = re.compile(r"""\bhidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Nearness in the tree looks at this many open elements from the root.
@@ -58,7 +63,9 @@ LEVELS = 64
 @dataclass
 class Block:
     path: tuple[int, ...]
-    boiler: int
+    sure: bool
+    against: int
+    form: int
     inside: bool
     good: bool
     kind: str
@@ -71,11 +78,17 @@ class Block:
         return _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether names of an element speak against and for it."""
+def _named(attributes: str, tag: str, inside: bool) -> tuple[bool, bool]:
+    """Whether names of an element speak against and for it.
+
+    The id of a heading or section inside an article comes from its words and says nothing.
+    """
     bad = good = False
-    for found in _NAMES.findall(attributes):
-        names = {x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(found)).lower()) if x}
+    for kind, *found in _NAMES.findall(attributes):
+        if kind.lower() == "id" and (tag in HEADINGS or (inside and tag in ("section", "p", "li", "a", "span"))):
+            continue
+        value = _ABOUT.sub(" ", "".join(found)) if kind.lower() == "class" else "".join(found)
+        names = {x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if x}
         bad |= bool(names & BAD_NAMES)
         good |= bool(names & GOOD_NAMES)
     return bad, good
@@ -84,9 +97,9 @@ def _named(attributes: str) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; markup may be unclosed or wrongly nested."""
     out: list[Block] = []
-    # element: tag, its number, hidden, count of boilerplate ancestors, in article or main, named as
-    # content, place of the nearest element that is not inline
-    stack: list[tuple[str, int, bool, int, bool, bool, int]] = [("", 0, False, 0, False, False, 0)]
+    # element: tag, its number, hidden, surely boilerplate, cost of names, outermost form, in article
+    # or main, named as content, place of the nearest element that is not inline
+    stack: list[tuple] = [("", 0, False, False, 0, 0, False, False, 0)]
     opened: Counter[str] = Counter()
     serial, at, current, size = 0, 0, None, len(page)
     links = 0
@@ -97,9 +110,9 @@ def blocks(page: str) -> list[Block]:
         if top[2] or not text:
             return
         if current is None:
-            outer = stack[top[6]]
+            outer = stack[top[8]]
             path = tuple(e[1] for e in stack[:LEVELS] if e[0] not in INLINE)
-            current = Block(path, outer[3], outer[4], outer[5], outer[0])
+            current = Block(path, *outer[3:8], outer[0])
             out.append(current)
         current.text.append(text)
         if links:
@@ -112,15 +125,17 @@ def blocks(page: str) -> list[Block]:
             links -= e[0] == "a"
         del stack[depth:]
 
+    last = page.rfind(">")
     while at < size:
-        found = _TOKEN.search(page, at)
+        # without an end of a tag to come, only comments and declarations are left to find
+        found = (_TOKEN if at <= last else _OPEN).search(page, at)
         if found is None:
             say(page[at:])
             break
         if found.start() > at:
             say(page[at : found.start()])
         at = found.end()
-        if not found[2]:
+        if found.re is _OPEN or not found[2]:
             continue
         tag, closing, attributes = found[2].lower(), bool(found[1]), found[3]
         if tag not in INLINE:
@@ -152,14 +167,21 @@ def blocks(page: str) -> list[Block]:
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
         serial += 1
-        _, _, hidden, boiler, inside, good, outer = stack[-1]
-        bad_name, good_name = _named(attributes) if "=" in attributes else (False, False)
-        main = tag in ("article", "main") or (good_name and not bad_name)
-        against = tag in BOILER_TAGS or (tag == "header" and not inside) or (bad_name and not good_name and tag != "body")
+        _, _, hidden, sure, against, form, inside, good, outer = stack[-1]
+        bad_name, good_name = _named(attributes, tag, inside) if "=" in attributes else (False, False)
+        root = tag in ("article", "main")
+        main = root or (good_name and not bad_name)
+        sure = sure or tag in BOILER_TAGS or (tag == "header" and not inside)
         hidden = hidden or tag in HIDDEN or bool(attributes and _HIDDEN_ATTRIBUTE.search(attributes))
+        if root and not inside:  # wrappers above say little about an article
+            against, form = min(against, NAMED_ABOVE), 0
+        if bad_name and not good_name and tag not in ("html", "body") and not (root and not inside):
+            against += NAMED
+        if tag in FORM_TAGS and not form:
+            form = serial
         stack.append(
             (
-                tag, serial, hidden, boiler + against, inside or tag in ("article", "main"), good or main,
+                tag, serial, hidden, sure, against, form, inside or root, good or main,
                 outer if tag in INLINE else len(stack),
             )
         )
@@ -170,16 +192,42 @@ def blocks(page: str) -> list[Block]:
 
 #: Capacity that no sum of edges reaches.
 CERTAIN = 10_000
+#: Costs of an element's name, of such names above an article, and of a form.
+NAMED, NAMED_ABOVE, FORM = 180, 40, 180
 ADJACENT, NEARNESS = 12, 24
 
 
-def costs(block: Block, page_has_main: bool) -> int:
+@dataclass
+class Page:
+    """What the blocks of a page have in common: whether it has a main part, and page-wide forms."""
+
+    main: bool
+    wide: frozenset[int]
+
+    @staticmethod
+    def of(found: list[Block]) -> Page:
+        inside = outside = 0
+        forms: Counter[int] = Counter()
+        for b in found:
+            if not b.sure:
+                forms[b.form] += len(b.joined)
+                if b.against < NAMED:
+                    inside += len(b.joined) * (b.inside or b.good)
+                    outside += len(b.joined) * (not (b.inside or b.good))
+        # a form with most of the text is a wrapper, and a main part with little text is none
+        total = sum(forms.values())
+        return Page(4 * inside >= max(outside, 1), frozenset(f for f, n in forms.items() if f and 2 * n > total))
+
+
+def costs(block: Block, page: Page) -> int:
     """Cost of calling a block boilerplate minus that of calling it content."""
     text = block.joined
-    if block.boiler:
+    if block.sure:
         return -CERTAIN
-    score = 0
-    if page_has_main:
+    score = -block.against
+    if block.form and block.form not in page.wide:
+        score -= FORM
+    if page.main:
         score += 60 if block.inside or block.good else -60
     elif block.good:
         score += 40
@@ -214,76 +262,87 @@ def minimum_cut(unary: list[int], links: list[tuple[int, int, int]]) -> list[boo
     """Labels (True: content) of a minimum cut; among several the one with least content.
 
     ``unary[i]`` is the capacity from the content terminal when positive and to the
-    boilerplate terminal when negative.
+    boilerplate terminal when negative.  Blocking flows over level graphs: each round raises
+    the distance of the terminals, so rounds are few where edges reach only to the next blocks.
     """
     n = len(unary)
-    graph: list[dict[int, int]] = [{} for _ in range(n + 2)]
     source, sink = n, n + 1
+    ends: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(a: int, b: int, there: int, back: int) -> None:
+        out[a].append(len(ends))
+        out[b].append(len(ends) + 1)
+        ends.extend((b, a))
+        room.extend((there, back))
+
     for i, u in enumerate(unary):
-        if u > 0:
-            graph[source][i] = u
-            graph[i].setdefault(source, 0)
-        elif u < 0:
-            graph[i][sink] = -u
-            graph[sink].setdefault(i, 0)
+        if u:
+            join(source if u > 0 else i, i if u > 0 else sink, abs(u), 0)
     for i, j, w in links:
-        graph[i][j] = graph[i].get(j, 0) + w
-        graph[j][i] = graph[j].get(i, 0) + w
+        join(i, j, w, w)
     while True:
-        before = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
-            u = queue.popleft()
-            for v, room in graph[u].items():
-                if room > 0 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if sink not in before:
-            return [i in before for i in range(n)]
-        path = [sink]
-        while path[-1] != source:
-            path.append(before[path[-1]])
-        path.reverse()
-        room = min(graph[u][v] for u, v in zip(path, path[1:], strict=False))
-        for u, v in zip(path, path[1:], strict=False):
-            graph[u][v] -= room
-            graph[v][u] = graph[v].get(u, 0) + room
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = [source]
+        for a in queue:
+            for e in out[a]:
+                if room[e] and level[ends[e]] < 0:
+                    level[ends[e]] = level[a] + 1
+                    queue.append(ends[e])
+        if level[sink] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        tried = [0] * (n + 2)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                least = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= least
+                    room[e ^ 1] += least
+                cut = next(k for k, e in enumerate(path) if not room[e])
+                at = ends[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while tried[at] < len(out[at]):
+                e = out[at][tried[at]]
+                if room[e] and level[ends[e]] == level[at] + 1:
+                    path.append(e)
+                    at = ends[e]
+                    break
+                tried[at] += 1
+            else:
+                if not path:
+                    break
+                at = ends[path.pop() ^ 1]
+                tried[at] += 1
 
 
 def labels(unary: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
-    """Labels of the minimum cut: sure blocks are fixed, the rest goes through the flow."""
-    unary = list(unary)
-    around: list[list[tuple[int, int]]] = [[] for _ in unary]
+    """Labels of the minimum cut; certain blocks are terminals of their own and leave the graph."""
+    place, free = {}, []
+    for i, u in enumerate(unary):
+        if abs(u) < CERTAIN:
+            place[i] = len(free)
+            free.append(u)
+    inner = []
     for i, j, w in links:
-        around[i].append((j, w))
-        around[j].append((i, w))
-    fixed: dict[int, bool] = {}
-    waiting = deque(range(len(unary)))
-    while waiting:
-        i = waiting.popleft()
-        if i in fixed or abs(unary[i]) <= sum(w for j, w in around[i] if j not in fixed):
-            continue
-        fixed[i] = unary[i] > 0
-        for j, w in around[i]:
-            if j not in fixed:
-                unary[j] += w if fixed[i] else -w
-                waiting.append(j)
-    run: list[int] = []
-    for i in [i for i in range(len(unary)) if i not in fixed] + [len(unary) + 9]:
-        if run and i - run[-1] > 2:  # no edge reaches over the gap: each run is a cut of its own
-            place = {i: k for k, i in enumerate(run)}
-            inner = [(place[a], place[b], w) for a in run for b, w in around[a] if a < b and b in place]
-            fixed.update(zip(run, minimum_cut([unary[i] for i in run], inner), strict=True))
-            run = []
-        run.append(i)
-    return [fixed[i] for i in range(len(unary))]
+        if i in place and j in place:
+            inner.append((place[i], place[j], w))
+        elif i in place or j in place:
+            known, other = (j, i) if i in place else (i, j)
+            free[place[other]] += w if unary[known] > 0 else -w
+    found = minimum_cut(free, inner)
+    return [found[place[i]] if i in place else u > 0 for i, u in enumerate(unary)]
 
 
 def main_text(page: str | None) -> str:
     """Text of the blocks labelled content, in page order, joined by one space."""
     found = blocks(page or "")
-    has_main = any((b.inside or b.good) and not b.boiler for b in found)
-    chosen = labels([costs(b, has_main) for b in found], edges(found))
+    whole = Page.of(found)
+    chosen = labels([costs(b, whole) for b in found], edges(found))
     return " ".join(b.joined for b, content in zip(found, chosen, strict=True) if content)
 
 

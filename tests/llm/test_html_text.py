@@ -2,7 +2,9 @@
 
 import html
 import itertools
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -47,6 +49,20 @@ PAGES = {
 }
 
 
+ART = f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article>"
+TEXT = f"Head {LONG} {LONG}"
+PAGES |= {
+    f"<div class='layout has-sidebar'>{ART}<div class='sidebar'><p>{LONG}</p></div></div>": TEXT,
+    f"<html class='wp-toolbar'><body class='search no-footer'>{ART}</body></html>": TEXT,
+    f"<form id=aspnetForm><div class=menu><a href=x>One</a></div>{ART}</form>": TEXT,
+    f"<form id=aspnetForm><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div></form>": TEXT,
+    f"<div class='sidebar-layout'>{ART}</div>": TEXT,
+    f"<article><h1>Head</h1><section id='related-work'><h2 id='search-results'>Work.</h2><p>{LONG}</p></section></article>": f"Head Work. {LONG}",
+    f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>": f"{LONG} x=2",
+    f"<main>x</main>" + f"<p>{LONG}</p>" * 30: " ".join(["x", *[LONG] * 30]),
+}
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_pages(page):
     assert ht.main_text(page) == PAGES[page]
@@ -71,3 +87,39 @@ def test_pages_table(spark):
         parts = re.split(r"</?(?:p|h1|br)>", re.sub(r"</?b>", "", article[1])) if article else []
         texts = (re.sub(r"\s+", " ", html.unescape(p)).strip() for p in parts)
         assert r.text == " ".join(t for t in texts if t) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("unit", ['<a title="x ', "<a b='", "<div class=\"a' ", "<", "<!-- ", "</p", "<p><b>", '<a "\'>'])
+def test_broken_markup_takes_linear_time(unit):
+    started = time.perf_counter()
+    ht.blocks(unit * (500_000 // len(unit)))
+    assert time.perf_counter() - started < 4
+
+
+def test_large_cuts():
+    rng = random.Random(1)
+    unary = [rng.randint(-40, 40) for _ in range(20_000)]
+    links = [(i, i + g, rng.randint(1, 30)) for g in (1, 2) for i in range(len(unary) - g)]
+    started = time.perf_counter()
+    found = ht.minimum_cut(unary, links)
+    assert 0 < sum(found) < len(found) and time.perf_counter() - started < 20
+
+
+def test_flow_decides_what_is_not_certain(spark, monkeypatch):
+    """Every block of the given pages that is not certain goes through the flow."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    seen, cut = [], ht.minimum_cut
+    monkeypatch.setattr(ht, "minimum_cut", lambda unary, links: seen.append(len(unary)) or cut(unary, links))
+    blocks = 0
+    for page in pages:
+        ht.main_text(page)
+        blocks += sum(not b.sure for b in ht.blocks(page))
+    assert len(seen) == len(pages) and sum(seen) == blocks > len(pages)
+
+
+def test_neighbours_outweigh_a_block_s_own_cost():
+    page = f"<div><p>{LONG}</p><p>{LONG}</p><p><a href=x>See also this page</a></p><p>{LONG}</p><p>{LONG}</p></div>"
+    found = ht.blocks(page)
+    unary = [ht.costs(b, ht.Page.of(found)) for b in found]
+    assert [u > 0 for u in unary] == [True, True, False, True, True] and all(ht.labels(unary, ht.edges(found)))
+    assert ht.main_text(page) == f"{LONG} {LONG} See also this page {LONG} {LONG}"
