@@ -60,6 +60,21 @@ def resolved(target: Column, page: Column) -> Column:
     return F.array_join(climbed, "/")
 
 
+def link_problems(pages: DataFrame, page: str, links: Column, known: DataFrame) -> DataFrame:
+    """(page, target, path, status) of local links that lead nowhere or to an untracked file.
+
+    ``known(path, tracked)`` holds every file and folder of the tree once.  A link that leaves
+    the tree is missing; links to other hosts are not looked at.  Each path is looked up once
+    however many pages link to it.
+    """
+    listed = pages.select(F.col(page).alias("page"), F.explode(links).alias("target")).filter(~is_external(F.col("target")))
+    listed = listed.withColumn("path", resolved(F.col("target"), F.col("page")))
+    looked_up = listed.select("path").distinct().join(known, "path", "left")
+    status = F.when(F.col("tracked").isNull() | F.col("path").startswith(".."), "missing").when(~F.col("tracked"), "untracked")
+    problems = looked_up.select("path", status.alias("status")).filter(F.col("status").isNotNull())
+    return listed.join(problems, "path").select("page", "target", "path", "status")
+
+
 def usable_secrets(settings_table: DataFrame) -> DataFrame:
     """(name, value) entries whose name marks a secret and whose value is long enough."""
     named = F.upper("name").rlike("|".join(V.SECRET_NAME_WORDS))

@@ -242,6 +242,38 @@ def known_secret_hits(t: Tables) -> DataFrame:
     return publication.known_secret_hits(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
+# links of a page to the page before it, written in six ways
+_LINK_KINDS = (
+    "./p{t}.md", "../docs/x/../p{t}.md#part", "/docs/p{t}.md", "../../p{t}.md", "https://example.com/p{t}.md", "p{t}%2Emd",
+)
+
+
+def _link_sql() -> str:
+    cases = []
+    for k, form in enumerate(_LINK_KINDS):
+        shown = form.partition("#")[0].replace("%2E", ".")
+        before, after = shown.split("{t}")
+        cases.append((k, f"'{before}' || t || '{after}'"))
+    target = "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases) + " END"
+    return (
+        f"SELECT 'docs/p' || page_id || '.md' AS page, {target} AS target, CASE WHEN k = 3 THEN '../p' || t || '.md' ELSE 'docs/p' || t || '.md' END AS path, "
+        "CASE WHEN k = 3 OR NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id = t AND t % 5 <> 0) THEN 'missing' ELSE 'untracked' END AS status "
+        "FROM (SELECT page_id, page_id % 6 AS k, page_id - 1 AS t FROM pages) l WHERE k <> 4 AND (k = 3 OR t % 3 = 0 OR "
+        "NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id = t AND t % 5 <> 0))"
+    )
+
+
+@query("link_problems", _link_sql())
+def link_problems(t: Tables) -> DataFrame:
+    """Links resolved against their page: missing (a fifth of the files), untracked (a third) or out of the tree."""
+    form = F.array(*[F.lit(f) for f in _LINK_KINDS])[(F.col("page_id") % 6).cast("int")]
+    target = F.replace(form, F.lit("{t}"), (F.col("page_id") - 1).cast("string"))
+    path = F.concat(F.lit("docs/p"), F.col("page_id").cast("string"), F.lit(".md"))
+    pages = t.pages.select(path.alias("page"), F.concat(F.lit("See [it]("), target, F.lit(") and [top](#top).")).alias("text"))
+    known = t.pages.filter("page_id % 5 <> 0").select(path.alias("path"), (F.col("page_id") % 3 != 0).alias("tracked"))
+    return publication.link_problems(pages, "page", publication.link_targets(F.col("text")), known)
+
+
 _PATHS = (
     "CASE WHEN page_id % 6 = 0 THEN '.venv/lib/x.py' WHEN page_id % 6 = 1 THEN 'src/tmp/a.md' "
     "WHEN page_id % 6 = 2 THEN 'data/benchmarks/a.csv' WHEN page_id % 6 = 3 THEN 'docs/~$draft.docx' "
