@@ -2,7 +2,7 @@
 
 One pass counts n-grams by language with a count matrix per task and sums the matrices in
 Spark; the log-probability matrix has ``languages x 2**bits`` entries whatever the input
-size, is checked against ``max_languages`` and broadcast.  A second pass scores whole texts
+size, at most ``CELLS`` as more languages share fewer buckets, and is broadcast.  A second pass scores whole texts
 in sparse batches: per document the hashed n-grams gather rows of the matrix.
 """
 
@@ -21,6 +21,8 @@ from gaugeline.llm.ngrams import SPACE, buckets, folded
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
 BITS = 15
+#: Entries of the matrix, and languages at most (more than ISO 639 lists).
+CELLS, MAX_LANGUAGES = 1 << 21, 8192
 
 
 @dataclass(frozen=True)
@@ -63,18 +65,21 @@ def _counter(sizes: tuple[int, ...], bits: int):
 
 def fit(
     examples: DataFrame, text: str = "text", lang: str = "lang", sizes: tuple[int, ...] = SIZES,
-    bits: int = BITS, smoothing: float = 0.5, max_languages: int = 64,
+    bits: int = BITS, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """Learn from every row with a language; a null text adds to the prior only.
 
-    Without examples the model knows no language and predicts ``und`` everywhere.  More
-    than ``max_languages`` languages raise, since the matrix is held on the driver.
+    Without examples the model knows no language and predicts ``und`` everywhere.  From 65
+    languages on, n-grams are hashed to fewer bits, so that the matrix stays within ``CELLS``.
+    More than ``max_languages`` values are no list of languages and raise.
     """
     rows = examples.where(F.col(lang).isNotNull()).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     )
-    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+    languages = rows.select("lang").distinct().limit(max_languages + 1).count()
+    if languages > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    bits = min(bits, (CELLS // max(languages, 1)).bit_length() - 1)
     table = (
         rows.mapInArrow(_counter(sizes, bits), "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket")

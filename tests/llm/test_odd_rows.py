@@ -34,9 +34,51 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs.where("false")).collect() == [] and langid.keep_identified(docs.where("false")).count() == 0
     nobody = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nobody} == {"und"}
-    many = spark.range(90).selectExpr("id AS doc_id", "'text' AS text", "'l' || id AS lang")
+    many = spark.range(90).selectExpr("id AS doc_id", "repeat(char(97 + cast(id % 26 AS int)), 3 + cast(id / 26 AS int)) AS text", "'l' || id AS lang")
+    model = langid.fit(many)
+    assert len(model.languages) == 90 and model.bits == 14 and model.weights.size <= langid.CELLS
+    assert langid.posterior(model, "zzz")[0] in {"l25", "l51", "l77"}
     with pytest.raises(ValueError, match="languages"):
-        langid.fit(many)
+        langid.fit(many, max_languages=89)
+
+
+def bayes(examples, texts, smoothing=0.5):
+    """Multinomial naive Bayes with dictionaries of hashed n-grams."""
+    def grams(text):
+        found = Counter()
+        for h in langid.buckets(langid.folded(text or ""), langid.SIZES, langid.BITS):
+            found.update(h.tolist())
+        return found
+
+    counts, docs = {}, Counter()
+    for text, lang in examples:
+        counts.setdefault(lang, Counter()).update(grams(text))
+        docs[lang] += 1
+    out = []
+    for text in texts:
+        found = grams(text)
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        logs = {}
+        for lang in sorted(counts):
+            whole = sum(counts[lang].values()) + smoothing * 2**langid.BITS
+            logs[lang] = math.log((docs[lang] + 1) / (sum(docs.values()) + len(docs)))
+            logs[lang] += sum(n * math.log((counts[lang][g] + smoothing) / whole) for g, n in found.items())
+        best = max(logs, key=lambda k: logs[k])
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_every_score_equals_naive_bayes_by_dictionaries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionAll(spark.createDataFrame([(-1, None, "en"), (-2, "", None), (-3, "§§ 12", "de"), (-4, "le chat", None)], docs.schema))
+    rows = docs.withColumn("held", langid.held_out()).collect()
+    want = bayes([(r.text, r.lang) for r in rows if not r.held and r.lang is not None], [r.text for r in rows])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id][0] == lang and math.isclose(got[r.doc_id][1], score, rel_tol=1e-3, abs_tol=1e-6)
 
 
 def test_long_text_is_read_to_its_end(spark):
