@@ -55,3 +55,33 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(0 <= r.expected_severity <= 2 for r in got)
     assert [r.toxic for r in tox.grade_documents(docs, labels.where("false")).collect()] == [False] * 5
     assert tox.grade_documents(docs.where("false"), labels).collect() == []
+
+
+def test_fit_reaches_the_optimum_of_a_plain_search():
+    """Cumulative-link likelihood less the ridge, climbed by trying steps of every parameter."""
+    rng = np.random.default_rng(11)
+    grades = rng.integers(0, 3, 300)
+    rows = [np.unique([f for f in range(6) if rng.random() < 0.15 + 0.2 * (g > 0) * (f == 1) + 0.3 * (g > 1) * (f == 2)]).astype(int) for g in grades]
+    model = tox.fit_arrays(rows, grades, 3)
+
+    def value(params):
+        w, first, gap = params[:6], params[6], np.exp(params[7])
+        eta = np.array([w[r].sum() for r in rows])
+        below = 1 / (1 + np.exp(-(np.array([first, first + gap])[None, :] - eta[:, None])))
+        whole = np.column_stack([np.zeros(len(eta)), below, np.ones(len(eta))])
+        p = whole[np.arange(len(eta)), grades + 1] - whole[np.arange(len(eta)), grades]
+        return np.log(np.maximum(p, 1e-12)).mean() - tox.RIDGE / 2 * (w**2).sum()
+
+    best, step = np.zeros(8), 1.0
+    while step > 1e-4:
+        moved = False
+        for i in range(8):
+            for change in (step, -step):
+                other = best.copy()
+                other[i] += change
+                if value(other) > value(best):
+                    best, moved = other, True
+        step = step if moved else step / 2
+    got = np.concatenate([model.weights[:6], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert value(got) > value(best) - 1e-3
+    assert np.abs(got - best).max() < 0.15
