@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.worker_memory import remember_for
 from gaugeline.sources.files import materialized
 
 BANDS, ROWS = 48, 6
@@ -117,6 +118,7 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_for("near-dedup", _words.clear)
         seen: set[bytes] = set()
         for batch in batches:
             sizes, high, low, bits, bands, odd = [], [], [], [], [], []
@@ -153,6 +155,7 @@ def _signer(width: int):
 
 def _hashed(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_for("near-dedup", _words.clear)
         for batch in batches:
             found = [shingles(text.as_py(), width).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

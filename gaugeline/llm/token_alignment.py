@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.worker_memory import remember_for
 from gaugeline.sources.files import materialized
 
 #: Id pairs whose counts are broadcast (13 bytes each) and not joined.
@@ -274,6 +275,7 @@ _aligners: dict[tuple[str, str], Aligner] = {}
 
 
 def _aligner(a: str, b: str) -> Aligner:
+    remember_for("token alignment", _aligners.clear)
     if (a, b) not in _aligners:
         _aligners.clear()
         _aligners[a, b] = Aligner(a, b)

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeline.llm.worker_memory import remember_for
 from gaugeline.sources.files import work_dir
 
 BLOCK_IDS = 16_384
@@ -130,6 +131,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def _encoder(definition: str) -> Encoder:
+    remember_for("token files", _encoders.clear)
     if definition not in _encoders:
         _encoders.clear()
         _encoders[definition] = Encoder(definition)

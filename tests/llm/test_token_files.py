@@ -83,6 +83,17 @@ def test_odd_rows(spark):
     assert len(texts[3]) == 3 and any(texts[3][i] == texts[3][i + 1] for i in range(2))
 
 
+def test_a_worker_remembers_for_one_operator():
+    from gaugeline.llm import worker_memory
+
+    log = []
+    worker_memory.remember_for("one", lambda: log.append("one"))
+    worker_memory.remember_for("one", lambda: log.append("again"))
+    worker_memory.remember_for("two", lambda: log.append("two"))
+    worker_memory.remember_for("one", lambda: log.append("one"))
+    assert log[-2:] == ["one", "two"]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert tf.encode_documents(docs, TOKENIZER).collect() == []
