@@ -22,6 +22,8 @@ from gaugeline.sources.files import drop_paths, materialized, take_work, work_ma
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Rows of a batch that goes to Python: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
 _left: list[str] = []
 
 
@@ -31,6 +33,7 @@ def stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_paths(spark, _left)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         mark = work_mark()
         try:
             return f(spark, docs, sf_dir)
