@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.ngrams import SPACE, buckets, folded
+from gaugeline.llm.worker_memory import remember_for
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
@@ -38,6 +39,7 @@ class Model:
 
 def _counter(sizes: tuple[int, ...], bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_for("language ID", lambda: None)
         totals: dict[str, np.ndarray] = {}
         documents: dict[str, int] = {}
         for batch in batches:

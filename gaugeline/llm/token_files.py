@@ -30,7 +30,7 @@ from gaugeline.sources.files import work_dir
 BLOCK_IDS = 16_384
 END_ID = 1
 #: Pieces remembered by a Python worker, and characters encoded at a time.
-REMEMBERED, CHARACTERS = 1_000_000, 1 << 20
+REMEMBERED, CHARACTERS = 1_000_000, 1 << 18
 #: Texts of these characters only are cut into pieces by our own code: ASCII and Latin
 #: letters, for which every Unicode version agrees on letters, digits, spaces and case.
 PLAIN = re.compile("[\t\n\r -~¡-įı-ſ]*")
