@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline import fixed_values as V
-from gaugeline.columns import finite_sql, numeric_columns, sql_text
+from gaugeline.columns import finite_sql, numeric_columns, sql_name, sql_text
 from gaugeline.functions.local import small_table
 from gaugeline.operators.distinct import union_all
 from gaugeline.operators.metrics import ratio
@@ -70,9 +71,13 @@ def pearson_pairs(
     generated code.  Two columns without gaps share their column sums with every other
     such pair; a pair with gaps sums over its own complete rows.  r is NULL when a
     column does not vary over the rows of the pair.  Tables of more than ``CODE_COLUMNS``
-    columns take the sums of the second scan as matrix products in packed blocks.
+    columns are scanned once: each batch of rows gives the moments of all pairs about its own
+    means as matrix products, and moments are merged in packed blocks.
     """
     names = [c for c in (columns if columns is not None else numeric_columns(df)) if c != target]
+    if len(names) > CODE_COLUMNS:
+        values = df.selectExpr(*[f"CAST({sql_name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(names)])
+        return _pearson(_gram_moments(values, names))
     pairs = list(combinations(range(len(names)), 2))
     values = df.selectExpr(*[f"{finite_sql(df, c)} AS x{i}" for i, c in enumerate(names)])
     stats = [("n", "count"), ("m", "avg"), ("lo", "min"), ("hi", "max")]
@@ -86,8 +91,6 @@ def pearson_pairs(
     shifted = values.selectExpr(
         *[f"x{i} - double('{first[f'm{i}'] or 0.0!r}') AS d{i}" for i in range(len(names))]
     )
-    if len(names) > CODE_COLUMNS:
-        return _pearson(_gram_moments(shifted, names))
     shared = [(k, i, j) for k, (i, j) in enumerate(pairs) if i in whole and j in whole]
     gapped = [(k, i, j) for k, (i, j) in enumerate(pairs) if not (i in whole and j in whole)]
     jobs = []
@@ -131,46 +134,91 @@ def pearson_pairs(
 CODE_COLUMNS = 24
 #: Columns of a block, columns whose matrices a task holds, and blocks merged by a task.
 BLOCK_COLUMNS, TASK_COLUMNS, FAN_IN = 128, 1024, 32
-#: Layers of a block for columns i (rows) and j: sums over rows that have both, then the
-#: least and greatest values of i and of j over those rows.
-SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+#: Layers of a block for columns i (rows) and j over rows that have both: their number, the
+#: means of i and j, sums of products of deviations from these, values that are the least and
+#: greatest seen of i and of j.  The last four only tell whether i and j vary.
+SUMS = ("n", "mx", "my", "sxx", "syy", "sxy")
 LEAST, MOST = ("lox", "loy"), ("hix", "hiy")
 LAYERS = (*SUMS, *LEAST, *MOST)
 BLOCKS = "part bigint, left_block int, right_block int, data binary"
-
-
-def _merge(a: np.ndarray, b: np.ndarray, sums: int, least: int) -> np.ndarray:
-    """Two stacks of layers as one: sums, then minima, then maxima."""
-    return np.concatenate([
-        a[:sums] + b[:sums], np.minimum(a[sums : sums + least], b[sums : sums + least]),
-        np.maximum(a[sums + least :], b[sums + least :]),
+#: HotSpot runs longer methods uncompiled; Spark then evaluates expressions in smaller ones.
+METHOD_BYTES = "8000"
+
+
+@contextmanager
+def _short_methods(spark: SparkSession):
+    """Wide projections are not generated as one method that is too long to be compiled."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, METHOD_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two stacks of layers over different rows as one."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy, weight = b[1] - a[1], b[2] - a[2], a[0] * share
+    return np.stack([
+        n, a[1] + dx * share, a[2] + dy * share,
+        a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight,
+        *np.minimum(a[6:8], b[6:8]), *np.maximum(a[8:], b[8:]),
     ])
 
 
-def _gram_task(edge: int, layers: tuple[int, int]):
-    """Task function: packed blocks of the moments of all pairs of columns."""
+def _ranges(values: np.ndarray, there: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest values of columns i over rows that have i and j, for ``open_`` pairs (i, j).
 
-    def square(batch: pa.RecordBatch) -> np.ndarray:
-        values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-        there = ~np.isnan(values)
-        x, m = np.where(there, values, 0.0), there.astype(float)
-        low, high = np.where(there, values, np.inf), np.where(there, values, -np.inf)
-        # over all rows first; columns with gaps then restrict the rows of their pairs
-        least = np.repeat(low.min(axis=0)[:, None], values.shape[1], 1)
-        most = np.repeat(high.max(axis=0)[:, None], values.shape[1], 1)
+    Other pairs get empty ranges.  Pairs that are known to vary stay so and need no look.
+    """
+    least, most = np.full(open_.shape, np.inf), np.full(open_.shape, -np.inf)
+    asked = np.flatnonzero(open_.any(axis=1))
+    if asked.size:
+        low = np.where(there[:, asked], values[:, asked], np.inf)
+        high = np.where(there[:, asked], values[:, asked], -np.inf)
+        least[asked], most[asked] = low.min(axis=0)[:, None], high.max(axis=0)[:, None]
+        # over all rows so far; columns with gaps restrict the rows of their pairs
         for j in np.flatnonzero(~there.all(axis=0)):
-            rows = there[:, j]
-            least[:, j] = low[rows].min(axis=0, initial=np.inf)
-            most[:, j] = high[rows].max(axis=0, initial=-np.inf)
-        s, q = x.T @ m, (x * x).T @ m
-        return np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x, least, least.T, most, most.T])
+            least[:, j], most[:, j] = np.inf, -np.inf
+            kept = np.flatnonzero(open_[asked, j])
+            if kept.size:
+                place = np.ix_(there[:, j], kept)
+                least[asked[kept], j] = low[place].min(axis=0, initial=np.inf)
+                most[asked[kept], j] = high[place].max(axis=0, initial=-np.inf)
+    return least, most
+
+
+def _gram_task(edge: int):
+    """Task function: packed blocks of the moments of all pairs of columns, over finite values."""
+
+    def square(values: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        there = np.isfinite(values)
+        m = there.astype(float)
+        x = np.where(there, values, 0.0)
+        centre = x.sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+        x = np.where(there, x - centre, 0.0)
+        n, s, q, p = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        off = s / np.maximum(n, 1)
+        mean = np.where(n > 0, centre[:, None] + off, 0.0)
+        q = np.maximum(q - s * off, 0.0)
+        least, most = _ranges(values, there, open_)
+        return np.stack([n, mean, mean.T, q, q.T, p - s * off.T, least, least.T, most, most.T])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                found = square(batch)
-                total = found if total is None else _merge(total, found, *layers)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in batch.columns])
+                if total is None:
+                    total = square(values, np.ones((values.shape[1],) * 2, bool))
+                else:
+                    total = _merge(total, square(values, ~(total[6] < total[8])))
         if total is None:
             return
         part, n = TaskContext.get().partitionId(), total.shape[1]
@@ -184,67 +232,67 @@ def _gram_task(edge: int, layers: tuple[int, int]):
     return blocks
 
 
-def _merger(columns: int, edge: int, depth: int, layers: tuple[int, int]):
+def _merger(columns: int, edge: int):
     """Group function: the packed blocks of one place as one."""
 
     def merged(table: pa.Table) -> pa.Table:
         i, j = table["left_block"][0].as_py(), table["right_block"][0].as_py()
-        shape = depth, min(edge, columns - i * edge), min(edge, columns - j * edge)
+        shape = len(LAYERS), min(edge, columns - i * edge), min(edge, columns - j * edge)
         total = None
         for data in table["data"]:
             found = np.frombuffer(data.as_buffer(), float).reshape(shape)
-            total = found if total is None else _merge(total, found, *layers)
+            total = found if total is None else _merge(total, found)
         first = table.slice(0, 1)
         return first.set_column(first.schema.get_field_index("data"), "data", pa.array([total.tobytes()], pa.binary()))
 
     return merged
 
 
-def _unpacked(names_: tuple[str, ...], columns: int, edge: int):
+def _unpacked(columns: int, edge: int):
     """Task function: a row for each pair of columns of merged blocks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
                 i, j = batch.column("left_block")[b].as_py(), batch.column("right_block")[b].as_py()
-                shape = len(names_), min(edge, columns - i * edge), min(edge, columns - j * edge)
+                shape = len(LAYERS), min(edge, columns - i * edge), min(edge, columns - j * edge)
                 data = np.frombuffer(batch.column("data")[b].as_buffer(), float).reshape(shape)
                 x, y = np.indices(shape[1:])
                 kept = (x + i * edge) < (y + j * edge)
                 ids = [pa.array((v[kept] + k * edge).astype(np.int64)) for v, k in ((x, i), (y, j))]
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, *[pa.array(layer[kept]) for layer in data]], names=["i", "j", *names_]
+                    [*ids, *[pa.array(layer[kept]) for layer in data]], names=["i", "j", *LAYERS]
                 )
 
     return rows
 
 
-def _gram_blocks(shifted: DataFrame, columns: int) -> DataFrame:
+def _gram_blocks(values: DataFrame, columns: int) -> DataFrame:
     """(i, j, moments) of all pairs of ``columns`` columns.
 
     A task sends its moments as packed blocks, which are merged ``FAN_IN`` at a time, level by
     level; no task holds more than that many blocks, however many tasks scan the table.
     """
-    layers = len(SUMS), len(LEAST)
-    blocks = materialized(shifted.mapInArrow(_gram_task(BLOCK_COLUMNS, layers), BLOCKS), "gram-blocks")
+    with _short_methods(values.sparkSession):
+        blocks = materialized(values.mapInArrow(_gram_task(BLOCK_COLUMNS), BLOCKS), "gram-blocks")
     parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
-    merge = _merger(columns, BLOCK_COLUMNS, len(LAYERS), layers)
+    merge = _merger(columns, BLOCK_COLUMNS)
     while parts > 1:
         blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN))
         blocks = blocks.groupBy("part", "left_block", "right_block").applyInArrow(merge, BLOCKS)
         parts = -(-parts // FAN_IN)
     schema = "i bigint, j bigint, " + ", ".join(f"{s} double" for s in LAYERS)
-    return blocks.mapInArrow(_unpacked(LAYERS, columns, BLOCK_COLUMNS), schema)
+    return blocks.mapInArrow(_unpacked(columns, BLOCK_COLUMNS), schema)
 
 
-def _gram_moments(shifted: DataFrame, names: Sequence[str]) -> DataFrame:
+def _gram_moments(values: DataFrame, names: Sequence[str]) -> DataFrame:
     """Moments of all pairs; more than ``TASK_COLUMNS`` columns are taken two groups at a time."""
     half = TASK_COLUMNS // 2 if len(names) > TASK_COLUMNS else max(1, len(names))
     groups = [list(range(g, min(g + half, len(names)))) for g in range(0, len(names), half)]
     last, parts = len(groups) - 1, []
     for a, b in combinations(range(len(groups)), 2) if last else [(0, 0)]:
         chosen, n = (groups[a] + groups[b], len(groups[a])) if last else (groups[0], 0)
-        found = _gram_blocks(shifted.select(*[f"d{i}" for i in chosen]), len(chosen))
+        found = _gram_blocks(values.select(*[f"x{i}" for i in chosen]), len(chosen))
         # pairs inside a group are taken from one of its jobs
         kept = (F.col("i") < n) & (F.col("j") >= n)
         if b == a + 1:
@@ -256,11 +304,13 @@ def _gram_moments(shifted: DataFrame, names: Sequence[str]) -> DataFrame:
     moments = union_all(parts)
     listed = F.array(*[F.lit(n) for n in names])
     before = F.col("i") * len(names) - F.col("i") * (F.col("i") + 1) / 2
+    # deviations from the means add up to zero
+    zero = F.lit(0.0)
     varies = (F.col("lox") < F.col("hix")) & (F.col("loy") < F.col("hiy"))
     return moments.select(
         (before + F.col("j") - F.col("i") - 1).cast("int").alias("position"),
         F.get(listed, F.col("i")).alias("left"), F.get(listed, F.col("j")).alias("right"),
-        *SUMS, varies.alias("varies"),
+        "n", zero.alias("sx"), zero.alias("sy"), "sxx", "syy", "sxy", varies.alias("varies"),
     )
 
 

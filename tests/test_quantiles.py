@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from gaugeline.operators import numeric
 from gaugeline.operators.quantiles import exact_quantiles, quantile_values
 from gaugeline.settings import Settings
+from gaugeline.sources import files
 
 TIGHT = Settings(quantile_accuracy=20, quantile_finish_rows=5)
 
@@ -105,6 +106,46 @@ def test_wide_correlation_in_blocks(spark, monkeypatch, task_columns):
             assert row["r"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
 
 
+def test_wide_correlation_scans_once_and_in_short_methods(spark, monkeypatch):
+    n, p = 600, 26
+    rnd = np.random.default_rng(3)
+    data = rnd.normal(size=(n, p)) + np.where(np.arange(n) < 300, 0.0, 1e6)[:, None]
+    data[:, 0] = np.arange(n) // 100  # the same in each part
+    data[:, 1], data[::3, 2], data[::7, 3], data[::5, 4] = 4.5, np.nan, np.inf, np.nan
+    data[:, 5] = np.where(np.isnan(data[:, 4]), 1.0, 2.0)  # varies only where column 4 has gaps
+    seen, limits, key = spark.sparkContext.accumulator(0), [], "spark.sql.codegen.hugeMethodLimit"
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def written(df, label):
+        limits.append(spark.conf.get(key))
+        return files.materialized(df, label)
+
+    names = [f"c{i}" for i in range(p)]
+    rows = [tuple(float(v) for v in r) for r in data]
+    schema = ", ".join(f"{c} double" for c in names)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), schema).mapInArrow(counted, schema)
+    monkeypatch.setattr(numeric, "materialized", written)
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = {(r["left"], r["right"]): r["r"] for r in numeric.pearson_pairs(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen.value == n and limits == ["8000"] and spark.conf.get(key) == before
+    assert got["c4", "c5"] is None and got["c0", "c1"] is None and len(got) == p * (p - 1) // 2
+    for (a, b), r in got.items():
+        x, y = data[:, int(a[1:])], data[:, int(b[1:])]
+        ok = np.isfinite(x) & np.isfinite(y)
+        if np.ptp(x[ok]) and np.ptp(y[ok]):
+            assert r == pytest.approx(np.corrcoef(x[ok], y[ok])[0, 1], abs=1e-9)
+        else:
+            assert r is None
+
+
 def test_outliers_come_from_the_scans_of_the_quartiles(spark):
     rnd = np.random.default_rng(4)
     columns = {
