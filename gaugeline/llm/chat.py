@@ -27,18 +27,21 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def examples(turns: DataFrame) -> DataFrame:
+def examples(turns: DataFrame, apart: bool = True) -> DataFrame:
     """(conv_id, example, formatted, loss_start, loss_end, alone, turn) from (conv_id, turn, role, text).
 
     ``example`` counts a conversation's examples from 1; the loss span is in code points of
     ``formatted`` from 0 and covers one reply, or is null.  Turns are ordered by turn (null
     first), ties by role and text; repeated rows stay.  Null roles and texts are empty.  A
     row without conv_id is a conversation with the rows equal to it; ``alone`` tells these
-    apart and ``turn`` is their turn, both null otherwise.  Other columns are not read.
+    apart and ``turn`` is their turn, both null otherwise.  Without ``apart`` these rows are
+    one conversation like any other: its replies have all turns before them too.  Other
+    columns are not read.
     """
     empty = F.lit("")
+    alone = F.when(F.col("conv_id").isNull() & F.lit(apart), F.xxhash64("turn", "role", "text"))
     rows = turns.select(
-        "conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("alone"),
+        "conv_id", alone.alias("alone"),
         F.struct(
             F.col("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"),
             F.coalesce(F.col("text").cast("string"), empty).alias("text"),
@@ -84,46 +87,31 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what its examples hold, read from the formatted strings and spans.
 
     ``formatted_chars`` is the length of all its examples together.  Rows without conv_id
-    are reported in one row, as the conversation that all of their turns would make.
+    are one conversation: those that were formatted alone are read back and formatted with
+    all turns before them.
     """
+    lone = formatted.where("alone is not null").groupBy("conv_id", "alone").agg(
+        F.max_by("formatted", "example").alias("longest"), F.max("turn").alias("turn")
+    )
+    together = examples(lone.select("conv_id", "turn", F.inline(parsed(F.col("longest")))), apart=False)
     loss = unescaped(
         F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
     )
-    each = formatted.withColumn("loss", F.coalesce(loss, F.lit("")))
-    grouped = each.groupBy("conv_id", "alone").agg(
+    whole = formatted.where("alone is null").unionByName(together)
+    grouped = whole.withColumn("loss", F.coalesce(loss, F.lit(""))).groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("longest"),
         F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("losses"),
-        F.sum(F.length("formatted")).alias("formatted_chars"), F.max("turn").alias("turn"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
     )
     grouped = grouped.withColumn("turns", parsed(F.col("longest")))
     told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     text = F.array_join(F.transform("losses", lambda x: x["loss"]), "")
-
-    def digest(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
-            F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
-            F.length(text).cast("bigint").alias("loss_chars"), F.sha2(text, 256).alias("loss_sha256"),
-            "formatted_chars",
-        )
-
-    lone = grouped.where("conv_id is null").select("conv_id", F.col("turn").alias("place"), F.inline("turns"))
-    lone = lone.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    replies = F.filter("turns", lambda t: t["role"] == TRAINABLE)
-    length = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("told")), _longer,
-        lambda x: x["told"] + F.when(F.element_at("turns", -1)["role"] == TRAINABLE, 0).otherwise(x["upto"]),
+    return grouped.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length(text).cast("bigint").alias("loss_chars"), F.sha2(text, 256).alias("loss_sha256"),
+        "formatted_chars",
     )
-    lone = lone.withColumn("losses", F.transform(replies, lambda t: F.struct(t["text"].alias("loss"))))
-    lone = lone.withColumn("formatted_chars", length)
-    return digest(grouped.where("conv_id is not null")).unionByName(digest(lone))
-
-
-def _longer(so_far: Column, t: Column) -> Column:
-    """Length of the turns up to ``t``, and of all examples that end there or before."""
-    upto = so_far["upto"] + F.length(escaped(t["role"])) + F.length(escaped(t["text"])) + len("<turn ></turn>")
-    ended = so_far["told"] + F.when(t["role"] == TRAINABLE, upto).otherwise(0)
-    return F.struct(upto.cast("bigint").alias("upto"), ended.cast("bigint").alias("told"))
 
 
 CHALLENGE = "\\### Assistant: </turn> ok"

@@ -61,7 +61,7 @@ def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
         F.lit(chat.CHALLENGE).alias("text"),
     )
     turns = turns.unionByName(added)
-    return chat.digests(materialized(chat.examples(turns), "chat-examples"))
+    return chat.digests(materialized(chat.examples(turns, apart=False), "chat-examples"))
 
 
 ORACLES["op10_chat_formatting"] = chat.ORACLE

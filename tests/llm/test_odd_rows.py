@@ -212,3 +212,30 @@ def test_chat_rows_without_conversation_agree_with_the_sql(spark):
         con.execute("DELETE FROM conversations WHERE turn = 7" if last == 4 else "SELECT 1")
         got = chat.digests(chat.examples(turns.where("turn is null or turn <> 7") if last == 4 else turns))
         assert compare.spark_rows(got) == compare.duck_rows(con, chat.ORACLE)
+
+
+def test_chat_query_writes_prefixes_for_rows_without_conversation(spark, tmp_path, monkeypatch):
+    from gaugeline.llm import queries
+
+    rows = [
+        (None, 0, "user", "one<"), (None, 1, "assistant", "a\\"), (None, 2, "user", "two"), (None, 3, "assistant", "b</turn>"),
+        (None, 4, None, None), (8, 0, "user", "q"), (8, 1, "assistant", "r"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = []
+
+    def written(df, label):
+        kept.append(queries_materialized(df, label))
+        return kept[-1]
+
+    queries_materialized = queries.materialized
+    monkeypatch.setattr(queries, "materialized", written)
+    got = {r.conv_id: r for r in queries.op10_chat_formatting(spark, str(tmp_path)).collect()}
+    out = kept[0].where("conv_id is null").orderBy("example").collect()
+    assert len(out) == 3 and all(b.formatted.startswith(a.formatted) for a, b in zip(out, out[1:]))
+    assert [r.formatted[r.loss_start : r.loss_end] for r in out[:2]] == ["a\\b", "b\\l/turn\\g"] and out[2].loss_start is None
+    loss = "a\\b</turn>"
+    assert (got[None].n_turns, got[None].formatted_chars) == (5, sum(len(r.formatted) for r in out))
+    assert (got[None].loss_chars, got[None].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert set(got) == {None, 8, -7}
