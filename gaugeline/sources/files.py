@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gaugeline import fixed_values as V
+from gaugeline.functions import sha256
 from gaugeline.functions.text import UNDEFINED, normalized_digest, windows_text
 from gaugeline.settings import DEFAULTS, Settings
 
@@ -77,14 +85,131 @@ def binary_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return reader.load(path)
 
 
+#: Files above this size are digested in steps of about this many bytes, each by a task of its own.
+STEP_BYTES = 128 * 2**20
+BROADCAST_FILES = 100_000
+# scans of text decompress files of these names, so they are read whole
+PACKED_NAME = r"\.(gz|bz2|deflate|snappy|lz4|zst|lzo|lzo_deflate)$"
+_CUT = "path string, length long, block long, place long, size long, data binary, step int"
+_CHAIN = "path string, length long, part int, total long, seen long, state binary, sha256 string"
+
+
 def file_digests(spark: SparkSession, path: str | list[str], line_feeds: bool = False) -> DataFrame:
-    """(path, length, sha256) of whole files, optionally with CRLF read as LF."""
+    """(path, length, sha256) of whole files, optionally with CRLF read as LF.
+
+    A file above ``STEP_BYTES`` is cut by the tasks of one scan; then step by step a task takes up
+    the state that the step before has stored, see :func:`_chained_digests`.
+    """
     content = F.col("content")
     if line_feeds:
         digest = normalized_digest(content.cast("string"))
     else:
         digest = F.sha2(content, 256)
-    return binary_files(spark, path).select("path", "length", digest.alias("sha256"))
+    packed = F.col("_metadata.file_name").rlike(PACKED_NAME)
+    large = (F.col("_metadata.file_size") > STEP_BYTES) & ~packed
+    listing = binary_files(spark, path)
+    whole = listing.filter(~large).select("path", "length", digest.alias("sha256"))
+    named = listing.filter(large).select("path", "length", F.col("_metadata.file_path").alias("file"))
+    if named.isEmpty():
+        return whole
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).filter(large)
+    found = named.join(_chained_digests(lines, line_feeds), "file").select("path", "length", "sha256")
+    return whole.unionAll(found)
+
+
+def _cut(step_bytes: int):
+    """Task function: the lines of a scan as pieces of one block of a file each, a line feed after every line."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_CUT), prefers_large_types=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for batch in batches:
+            paths, blocks = batch.column("path"), batch.column("block")
+            other = pc.or_(pc.not_equal(paths[1:], paths[:-1]), pc.not_equal(blocks[1:], blocks[:-1]))
+            ends = [*(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for first, end in zip([0, *ends], ends):
+                if first == end:
+                    continue
+                data = b"\n".join([*batch.column("value")[first:end].to_pylist(), b""])
+                block = blocks[first].as_py()
+                row = (paths[first].as_py(), batch.column("length")[first].as_py(), block, place, len(data), data, block // step_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+                place += 1
+
+    return run
+
+
+def _chain_task(line_feeds: bool):
+    """For each file the stored state, fed with the pieces of a step; at a file's end its digest."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_CHAIN), prefers_large_types=False)
+
+    def stored(file: dict) -> pa.RecordBatch:
+        if file["seen"] == file["total"]:
+            file |= {"state": None, "sha256": sha256.hex_digest(file["state"])}
+        return pa.RecordBatch.from_pylist([file], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["block"] < 0:
+                    if file:
+                        yield stored(file)
+                    file = {name: row.get(name) for name in schema.names}
+                    continue
+                data, file["seen"] = row["data"], file["seen"] + row["size"]
+                if file["seen"] == file["total"] and file["total"] - file["length"] in (1, -2):
+                    data = data[:-1]  # the file does not end in a line feed
+                if line_feeds:
+                    data = data.replace(b"\r\n", b"\n")
+                file["state"] = sha256.fed(file["state"], data)
+        if file:
+            yield stored(file)
+
+    return run
+
+
+def _chained_digests(lines: DataFrame, line_feeds: bool) -> DataFrame:
+    """(file, sha256) of the files of a scan of lines, none of them read by one task as a whole.
+
+    One scan writes the lines as pieces, by steps of ``STEP_BYTES`` of their files.  A digest is a
+    chain, so step follows step: a task for each file feeds the pieces of the step to the stored
+    state.  The pieces are dropped at the end.
+    """
+    spark = lines.sparkSession
+    cut, chain = work_dir(spark, "digest-pieces"), work_dir(spark, "digest-states")
+    places = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"),
+    )
+    places.mapInArrow(_cut(STEP_BYTES), _CUT).write.partitionBy("step").parquet(cut)
+    pieces = spark.read.schema(_CUT).parquet(cut)
+    files = pieces.groupBy("path", "length").agg(F.sum("size").alias("total"))
+    # the last line has got a line feed too, and scans of text leave out a byte order mark
+    more = F.col("total") - F.col("length")
+    start = F.when(more.between(0, 1), F.lit(sha256.START)).when(
+        more.between(-3, -2), F.lit(sha256.fed(sha256.START, codecs.BOM_UTF8))
+    ).otherwise(F.raise_error(F.concat(F.lit("Not the bytes that were listed: "), "path")).cast("binary"))
+    # one row for each large file; the longest come first, so that those of a step are 0, 1, 2, ...
+    part = F.row_number().over(Window.orderBy(F.desc("total"), "path")) - 1
+    files.select(
+        "path", "length", part.alias("part"), "total", F.lit(0).cast("long").alias("seen"), start.alias("state"),
+        F.lit(None).cast("string").alias("sha256"),
+    ).write.parquet(f"{chain}/step=0")
+    step, read = 0, spark.read.schema(_CHAIN)
+    while n := (states := read.parquet(f"{chain}/step={step}").filter("sha256 IS NULL")).count():
+        known = states.select("path", "part")
+        known = F.broadcast(known) if n <= BROADCAST_FILES else known
+        fed = pieces.filter(F.col("step") == step).select("path", "block", "place", "size", "data").join(known, "path")
+        states = states.withColumn("block", F.lit(-1).cast("long"))
+        dealt = states.unionByName(fed, allowMissingColumns=True).repartitionById(n, F.col("part"))
+        dealt = dealt.sortWithinPartitions("path", "block", "place")
+        step += 1
+        dealt.mapInArrow(_chain_task(line_feeds), _CHAIN).write.parquet(f"{chain}/step={step}")
+    drop_paths(spark, [cut])
+    _made.remove(cut)
+    return read.parquet(chain).filter("sha256 IS NOT NULL").select(F.col("path").alias("file"), "sha256")
 
 
 #: Children of a node of a digest tree.

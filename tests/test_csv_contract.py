@@ -1,4 +1,7 @@
+import gzip
+import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -178,3 +181,44 @@ def test_table_digest_deals_parts_by_the_size_of_the_scan(spark, tmp_path):
         assert found.collect() == [(400, True, True)]
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_above_a_step_are_digested_in_steps(spark, tmp_path, monkeypatch):
+    rng, bom = random.Random(5), b"\xef\xbb\xbf"
+    made = {
+        "binary.parquet": rng.randbytes(50_000), "no%20 feed.csv": b"a,b\r\n" * 3_000 + b"x\r", "mark.csv": bom + b"a\n" * 9_000,
+        "mark-no-feed.csv": bom + b"\n\n" + b"1\r\r\n" * 9_000 + b"x", "long.bin": b"\0" * 30_000 + b"\n" + b"\n" * 9_000,
+        "one-line.bin": b"\0" * 20_000, "sub/binary.parquet": rng.randbytes(4_097), "small": b"\r\n", "full": b"\n" * 4_096,
+        "packed.gz": gzip.compress(rng.randbytes(3_000), mtime=0),
+    }
+    for name, data in made.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(files, "STEP_BYTES", 4_096, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 4_096)  # no value holds more of a file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for feeds in (False, True):
+            found = files.file_digests(spark, str(tmp_path), line_feeds=feeds)
+            assert found.columns == ["path", "length", "sha256"]
+            rows = {r["path"].split(f"{tmp_path.name}/")[1]: (r["length"], r["sha256"]) for r in found.collect()}
+            want = {k: d.replace(b"\r\n", b"\n") if feeds else d for k, d in made.items()}
+            assert rows == {k: (len(made[k]), hashlib.sha256(d).hexdigest()) for k, d in want.items()}
+    finally:
+        for name in ("sources.binaryFile.maxLength", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
+
+
+@pytest.mark.parametrize("blocks", ["in the library", "in Python"])
+def test_a_stored_digest_goes_on(monkeypatch, blocks):
+    from gaugeline.functions import sha256
+
+    if blocks == "in Python":
+        monkeypatch.setattr(sha256, "_blocks", lambda: sha256.blocks_in_python)
+    rng = random.Random(6)
+    for n in (0, 1, 55, 56, 63, 64, 65, 119, 120, 1_000):
+        data, state, at = rng.randbytes(n), sha256.START, 0
+        while at < n:
+            state, at = sha256.fed(state, data[at : at + (k := rng.randint(1, 130))]), at + k
+        assert sha256.hex_digest(state) == hashlib.sha256(data).hexdigest()
