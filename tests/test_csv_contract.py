@@ -222,3 +222,13 @@ def test_a_stored_digest_goes_on(monkeypatch, blocks):
         while at < n:
             state, at = sha256.fed(state, data[at : at + (k := rng.randint(1, 130))]), at + k
         assert sha256.hex_digest(state) == hashlib.sha256(data).hexdigest()
+
+
+def test_a_scan_of_other_bytes_than_listed_gives_no_digest(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.gz").write_bytes(gzip.compress(random.Random(7).randbytes(9_000), mtime=0))
+    monkeypatch.setattr(files, "STEP_BYTES", 4_096)
+    whole = hashlib.sha256((tmp_path / "x.gz").read_bytes()).hexdigest()
+    assert [r["sha256"] for r in files.file_digests(spark, str(tmp_path)).collect()] == [whole]
+    monkeypatch.setattr(files, "PACKED_NAME", r"\.none$")
+    with pytest.raises(Exception, match="Not the bytes that were listed"):
+        files.file_digests(spark, str(tmp_path)).collect()
