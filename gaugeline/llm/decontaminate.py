@@ -50,8 +50,8 @@ _CAPITALISED = r"\p{Lu}(?<![\p{L}\p{N}=]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 _UNIT = r"(?i)(?<=\p{Nd}\s|#n\s|\p{Nd}|#n)(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}#])"
 
 
-def _raw_tokens(text: Column, values: bool = False) -> Column:
-    """Template tokens with their letters' case, capitalised words at sentence starts left as they are."""
+def _spaced(text: Column, values: bool = False) -> Column:
+    """Template tokens between spaces with their letters' case, capitalised words at sentence starts left as they are."""
     shown = "=$0" if values else ""
     text = F.replace(F.replace(text, F.lit("#")), F.lit("="))
     measured = F.regexp_replace(F.regexp_replace(text, _NUMBER, f"#n{shown}"), _UNIT, f" #u{shown}")
@@ -59,12 +59,17 @@ def _raw_tokens(text: Column, values: bool = False) -> Column:
     text = F.regexp_replace(text, _NAME, f"#a{shown}")
     # punctuation stays between digits only, and templates have none left
     between = r"(?<!\p{Nd})[^\p{L}\p{N}#=]+|[^\p{L}\p{N}#=]+(?!\p{Nd})" if values else r"[^\p{L}\p{N}#=]+"
-    return F.filter(F.split(text, between), lambda t: t != "")
+    return F.regexp_replace(text, between, " ")
 
 
-def _named(token: Column, values: bool = False) -> Column:
-    """A raw token in the second reading, in which every capitalised word is a name."""
-    return F.lower(F.regexp_replace(token, _CAPITALISED, "#a=$0" if values else "#a"))
+def _named(spaced: Column, values: bool = False) -> Column:
+    """Spaced tokens in the second reading, in which every capitalised word is a name."""
+    return F.regexp_replace(spaced, _CAPITALISED, "#a=$0" if values else "#a")
+
+
+def _cut(spaced: Column) -> Column:
+    """Lower-case tokens; a space ends what a letter's lower case depends on, so whole texts are lowered."""
+    return F.filter(F.split(F.lower(spaced), " "), lambda t: t != "")
 
 
 def tokens(text: Column, values: bool = False, every: bool = False) -> Column:
@@ -73,53 +78,52 @@ def tokens(text: Column, values: bool = False, every: bool = False) -> Column:
     With ``every`` all capitalised words are names, also where a sentence starts.  All forms
     have the same tokens at the same places.
     """
-    return F.transform(_raw_tokens(text, values), lambda t: _named(t, values) if every else F.lower(t))
+    spaced = _spaced(text, values)
+    return _cut(_named(spaced, values) if every else spaced)
 
 
 def with_windows(rows: DataFrame, widths: list[int], values: bool = False) -> DataFrame:
-    """``rows`` with windows ``ws`` (pos, w, sure, every) of their text's tokens, of every width asked for.
+    """A row (columns of ``rows`` but text, pos, w, sure, every) per window of the text's tokens, of every width asked for.
 
     ``sure`` and ``every`` tell the reading; a window that is the same in both comes once.
     With ``values`` the windows show the values, in one reading, and never equal those
-    without.  Each step is a projection of its own, so that no lambda evaluates an array
-    anew; explode the windows by an outer generator, as Spark would filter by the array's
-    size before it is computed otherwise.
+    without.  Arrays hold tokens only: a lambda runs interpreted, and one for each window costs
+    several times what the cut of the text does.  Rows of places are hashed in generated code.
+    The generator is an outer one, as Spark would filter by the array's size before it is
+    computed otherwise.
     """
-    # both readings come from one cut of the text; most tokens have no capital and are hashed once
-    rows = rows.withColumn("c", _raw_tokens(F.col("text"), values)).withColumn("l", F.transform("c", F.lower))
-    rows = rows.withColumn("h", F.transform("l", lambda t: F.xxhash64(t)))
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.withColumn("spaced", _spaced(F.col("text"), values))
+    # the second reading follows the first and has as many tokens
+    both = F.col("spaced") if values else F.concat_ws(" ", "spaced", _named(F.col("spaced")))
+    rows = rows.withColumn("words", _cut(both)).select(*kept, "words")
+    rows = rows.withColumn("n_words", F.size("words") if values else F.shiftright(F.size("words"), 1))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, widths))).alias("of_width"))
+    rows = rows.select("*", F.posexplode_outer("words").alias("place", "word"))
+    place, n_words, of_width = F.col("place"), F.col("n_words"), F.col("of_width")
+    again = place >= n_words
+    pos = F.when(again, place - n_words).otherwise(place)
+    rows = rows.where(pos <= n_words - of_width)
+
+    def at(k: int) -> Column:
+        """Token ``k`` of the window; null beyond its width, which a hash passes over."""
+        token = F.get("words", place + k)
+        return token if k < min(widths) else F.when(of_width > k, token)
+
+    def alike(other: Column) -> Column:
+        """Whether the window is the same in the other reading."""
+        same = (F.get("words", place + k) == F.get("words", other + k) for k in range(max(widths)))
+        return functools.reduce(
+            lambda a, b: a & b, [s if k < min(widths) else (of_width <= k) | s for k, s in enumerate(same)]
+        )
+
     if not values:
-        rows = rows.withColumn("e", F.transform(
-            F.arrays_zip("c", "l", "h"), lambda z: F.when(z["c"] == z["l"], z["h"]).otherwise(F.xxhash64(_named(z["c"])))
-        ))
-    rows = rows.drop("c", "l")
+        rows = rows.where(~again | ~alike(place - n_words))
     kind = [F.lit("values")] if values else []
-
-    def at(of: str, i: Column, width: int) -> list[Column]:
-        return [F.get(of, i + k) for k in range(width)]
-
-    def window(i: Column, w: Column, sure: Column, every: Column) -> Column:
-        return F.struct(i.alias("pos"), w.alias("w"), sure.alias("sure"), every.alias("every"))
-
-    yes, no = F.lit(True), F.lit(False)
-    for width in widths:
-        places = F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width)).otherwise(F.array().cast("array<int>"))
-        rows = rows.withColumn("i", places)
-        first = F.transform("i", lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(*kind, *at("h", i, width)).alias("w"),
-            (yes if values else functools.reduce(lambda a, b: a & b, [x == y for x, y in zip(at("h", i, width), at("e", i, width))])).alias("every"),
-        ))
-        rows = rows.withColumn("z", first)
-        made = F.transform("z", lambda z: window(z["pos"], z["w"], yes, z["every"]))
-        if not values:
-            other = F.transform(
-                F.filter("z", lambda z: ~z["every"]),
-                lambda z: window(z["pos"], F.xxhash64(*at("e", z["pos"], width)), no, yes),
-            )
-            made = F.concat(made, other)
-        rows = rows.withColumn(f"ws{width}", made)
-    made = [f"ws{width}" for width in widths]
-    return rows.withColumn("ws", F.concat(*made)).drop("h", "e", "i", "z", *made)
+    return rows.select(
+        *kept, pos.alias("pos"), F.xxhash64(*kind, *map(at, range(max(widths)))).alias("w"), (~again).alias("sure"),
+        (F.lit(True) if values else again | alike(place + n_words)).alias("every"),
+    )
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -138,11 +142,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     def windows(of: DataFrame, values: bool) -> DataFrame:
         parts = [
             with_windows(of.where(F.col("width") == width), [width], values).select(
-                "item_id", "item_hash", "t", "te", "width", F.lit(values).alias("valued"), F.inline_outer("ws")
+                "item_id", "item_hash", "t", "te", "width", F.lit(values).alias("valued"), F.col("pos").alias("ipos"), "w", "sure", "every"
             )
             for width in range(1, WINDOW + 1)
         ]
-        return functools.reduce(DataFrame.unionAll, parts).where("w is not null").withColumnRenamed("pos", "ipos")
+        return functools.reduce(DataFrame.unionAll, parts)
 
     shown = F.when(F.col("sure"), F.col("t")).otherwise(F.col("te"))
     literal = F.size(F.filter(F.slice(shown, F.col("ipos") + 1, F.col("width")), lambda t: ~F.contains(t, F.lit("#"))))
@@ -164,7 +168,7 @@ def document_windows(rows: DataFrame, known: DataFrame) -> DataFrame:
     if not kinds[False] and not kinds[True]:
         kinds[False] = [WINDOW]
     parts = [
-        with_windows(rows, sorted(widths), values).select("doc_id", "text_hash", F.inline_outer("ws"))
+        with_windows(rows, sorted(widths), values)
         for values, widths in kinds.items()
         if widths
     ]

@@ -139,3 +139,44 @@ def test_a_very_long_text_is_read_to_its_end(spark):
     docs = spark.createDataFrame([(1, "Plain words, 12 of them. " * 60_000 + one), (2, "Plain words, 12 of them. " * 60_000)], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, one)], "item_id bigint, text string")
     assert [(r.doc_id, r.start) for r in dc.leaks(docs, items).collect()] == [(1, 300_000)]
+
+
+def test_windows_are_rows_and_no_lambda_runs_for_each(spark):
+    from pyspark.sql import functions as F
+
+    text = "Anna met Omar at noon. Lena has 12 km to go, Tom has 3. Then Anna rests"
+    rows = spark.createDataFrame([(1, 5, text), (2, 5, "two words"), (3, 5, " - "), (4, 5, "Go")], "doc_id bigint, text_hash bigint, text string")
+
+    def windows(widths, valued=False):
+        known = spark.createDataFrame([(w, valued) for w in widths], "width int, valued boolean")
+        return dc.document_windows(rows, known)
+
+    assert windows([2, 5])._jdf.queryExecution().executedPlan().toString().count("lambdafunction(") == 1  # the cut into tokens
+    forms = rows.select("doc_id", dc.tokens(F.col("text")), dc.tokens(F.col("text"), every=True), dc.tokens(F.col("text"), values=True)).collect()
+    seen = {}
+    for widths in ([1], [3], [5], [1, 3, 5]):
+        want, shown = [], []
+        for doc, t, e, v in forms:
+            for w in widths:
+                for p in range(len(t) - w + 1):
+                    sure, every = tuple(t[p : p + w]), tuple(e[p : p + w])
+                    want += [(doc, p, True, sure == every, sure)] + [(doc, p, False, True, every)] * (sure != every)
+                    shown.append((doc, p, True, True, ("values", *v[p : p + w])))
+        for valued, expected in ((False, want), (True, shown)):
+            got = sorted((r.doc_id, r.dpos, r.sure, r.every, r.w) for r in windows(widths, valued).collect())
+            assert [g[:4] for g in got] == sorted(x[:4] for x in expected)
+            if len(widths) == 1:
+                for x, r in zip(sorted(expected), got):
+                    assert seen.setdefault(x[4], r[4]) == r[4]
+            else:
+                assert sorted(r[4] for r in got) == sorted(seen[x[4]] for x in expected)
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_lower_case_of_a_token_does_not_depend_on_its_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    text = "ΟΔΟΣ'ΑΣ Σ.Α ΣΑΣ-ΣΑ (İstanbul) İ"
+    pieces = F.transform(F.split(F.lit(text), r"[^\p{L}]+"), F.lower)
+    row = spark.range(1).select(dc.tokens(F.lit(text)).alias("got"), pieces.alias("want")).first()
+    assert row.got == [t for t in row.want if t] and "οδος" in row.got and "i̇stanbul" in row.got
